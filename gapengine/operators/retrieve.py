@@ -1,10 +1,23 @@
-"""Hybrid candidate retrieval."""
+"""Hybrid candidate retrieval: exact BM25 plus exact hashed TF-IDF cosine.
+
+The catalogue is never joined with the incidents pair by pair across the
+network.  Queries (incident terms or vectors) are sent to where the documents
+are, in blocks whose size is checked; scores are formed document by document
+and only each query's best rows per task are shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapengine import fixed
+from gapengine.functions.text import explode_tokens, synonym_map
+from gapengine.operators.sizing import BROADCAST_ROWS, blocks_for, boosted_join, fits_broadcast, materialise
+
+# Queries per pass of the vector search: 10 000 x 512 doubles are 40 MB per task.
+VECTOR_BLOCK = 10_000
 
 
 def blend(
@@ -19,3 +32,306 @@ def blend(
     ):
         score = score * F.when(F.coalesce(applies, F.lit(False)), boost).otherwise(1.0)
     return F.round(F.least(score, F.lit(1.0)), 4)
+
+
+# ------------------------------------------------------------------- lexical half
+
+
+def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
+    """AGG-2: distinct terms of each query, literal ones at 1.0 and their
+    synonyms at 0.5; ``pos`` is the first place a literal term stands."""
+    literal = explode_tokens(queries, key, text).groupBy(key, "term").agg(F.min("pos").alias("pos"))
+    related = literal.filter(F.col("term").isin(list(fixed.SYNONYMS))).select(
+        key, F.explode(F.element_at(synonym_map(), F.col("term"))).alias("term"), F.lit(None).cast("int").alias("pos")
+    )
+    return (
+        literal.unionByName(related)
+        .groupBy(key, "term").agg(F.min("pos").alias("pos"))
+        .withColumn("weight", F.when(F.col("pos").isNotNull(), 1.0).otherwise(fixed.SYNONYM_QUERY_WEIGHT))
+    )
+
+
+def _in_blocks(df: DataFrame, key: str, rows: int, score):
+    """Apply ``score`` to blocks of ``df`` that fit a broadcast and union the
+    results.  One block is the normal case; the number of blocks, not their
+    size, grows with the queries."""
+    n = blocks_for(df.count(), rows)
+    if n == 1:
+        return score(df)
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    parts = [score(df.filter(block == b)) for b in range(n)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def bm25_scores(
+    terms: DataFrame, stats: DataFrame, corpus: DataFrame, queries: DataFrame, key: str = "query_id",
+    rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """JON-1/AGG-2: ``(key, doc_id, bm25)`` for every document sharing a term.
+
+    ``terms`` lies document by document, the query terms come to it, so the sum
+    over a pair's terms closes locally and a term held by a third of the
+    documents is no hot spot: its postings stay spread with their documents.
+    """
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    weighted = boosted_join(queries, stats.select("term", "idf"), "term").select(
+        key, "term", (F.col("weight") * F.col("idf")).alias("w")
+    ).join(F.broadcast(corpus.select("avg_length")))  # one row
+
+    def score(block: DataFrame) -> DataFrame:
+        tf = F.col("tf").cast("double")
+        length = F.greatest("doc_length", F.lit(1)) / F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(1.0)
+        part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
+        return (
+            terms.join(F.broadcast(block), "term")  # at most ``rows`` rows, checked
+            .groupBy("doc_id", key).agg(F.sum(part).alias("bm25"))
+        )
+
+    return _in_blocks(weighted, key, rows, score).select(key, "doc_id", "bm25")
+
+
+def lexical_best(scores: DataFrame, key: str = "query_id") -> DataFrame:
+    """RNK-2: each query's maximum and number of hits; combines map-side."""
+    return scores.groupBy(key).agg(F.max("bm25").alias("best"), F.count(F.lit(1)).alias("n_hits"))
+
+
+def scaled_lexical(scores: DataFrame, best: DataFrame, few_queries: bool, key: str = "query_id") -> DataFrame:
+    """RNK-2: scores divided by their query's maximum.  ``few_queries`` says the
+    one-row-per-query side was checked to fit a broadcast."""
+    side = best.select(key, "best")
+    return scores.join(F.broadcast(side) if few_queries else side, key).withColumn(
+        "lexical", F.when(F.col("best") > 0, F.col("bm25") / F.col("best")).otherwise(F.col("bm25"))
+    ).drop("best")
+
+
+def matched_terms(kept: DataFrame, terms: DataFrame, queries: DataFrame, key: str = "query_id", limit: int = 8) -> DataFrame:
+    """RNK-9: the first literal query terms a kept document holds, in query order."""
+    literal = queries.filter(F.col("pos").isNotNull()).select(key, "term", "pos")
+    found = (
+        boosted_join(terms.select("doc_id", "term"), kept.select(key, "doc_id"), "doc_id")
+        .join(literal, [key, "term"])
+        .groupBy(key, "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t"))
+    )
+    return found.select(key, "doc_id", F.slice(F.col("t.term"), 1, limit).alias("matched_terms"))
+
+
+# -------------------------------------------------------------------- vector half
+
+
+def best_per_query(df: DataFrame, k: int, key: str = "query_id", score: str = "similarity") -> DataFrame:
+    """RNK-1: the k best rows of each query; the cut runs before the shuffle too."""
+    order = Window.partitionBy(key).orderBy(F.desc(score), "doc_id")
+    return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "query_id", block: int = VECTOR_BLOCK) -> DataFrame:
+    """JON-2/RNK-1: exact inner-product top k over packed vectors.
+
+    Every task multiplies its batches with a block of query vectors and keeps
+    the k best per query, so k rows per query and task leave it.  Similarities
+    are rounded to 9 digits so that equal texts tie whatever the batch layout.
+    """
+    key_type = queries.schema[key].dataType.simpleString()
+    doc_type = vectors.schema["doc_id"].dataType.simpleString()
+    n_blocks = blocks_for(queries.count(), block)
+    out = None
+    for b in range(n_blocks):
+        part = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == b)
+        # At most about ``block`` query vectors of a fixed dimension reach the driver.
+        local = part.select(key, "buckets", "weights").toPandas()
+        top = vectors.select("doc_id", "buckets", "weights").mapInPandas(
+            _scorer(local, key, k), f"{key} {key_type}, doc_id {doc_type}, similarity double"
+        )
+        out = top if out is None else out.unionByName(top)
+    return best_per_query(out, k, key)
+
+
+def _dense(rows: pd.DataFrame, width: int) -> np.ndarray:
+    m = np.zeros((len(rows), width))
+    sizes = rows["buckets"].map(len).to_numpy()
+    if sizes.sum():
+        r = np.repeat(np.arange(len(rows)), sizes)
+        m[r, np.concatenate(rows["buckets"].to_list()).astype(int)] = np.concatenate(rows["weights"].to_list())
+    return m
+
+
+def _scorer(queries: pd.DataFrame, key: str, k: int):
+    width = 1 + max((int(max(b)) for b in queries["buckets"] if len(b)), default=0)
+    matrix, ids = _dense(queries, width), queries[key].to_numpy()
+
+    def run(batches):
+        best = None
+        for rows in batches:
+            # Buckets no query of the block touches cannot add to a product.
+            inside = [np.asarray(x) < width for x in rows["buckets"]]
+            rows = rows.assign(
+                buckets=[np.asarray(x)[m] for x, m in zip(rows["buckets"], inside)],
+                weights=[np.asarray(x)[m] for x, m in zip(rows["weights"], inside)],
+            )
+            sims = np.round(_dense(rows, width) @ matrix.T, 9)
+            found = pd.DataFrame(
+                {
+                    key: np.tile(ids, len(rows)),
+                    "doc_id": np.repeat(rows["doc_id"].to_numpy(), len(ids)),
+                    "similarity": sims.ravel(),
+                }
+            )
+            both = found if best is None else pd.concat([best, found], ignore_index=True)
+            both = both.sort_values([key, "similarity", "doc_id"], ascending=[True, False, True], kind="stable")
+            best = both.groupby(key, sort=False).head(k)
+        if best is not None:
+            yield best
+
+    return run
+
+
+def query_vectors(queries: DataFrame, idf: DataFrame, corpus: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
+    """AGG-6 for queries, weighted by the catalogue's idf."""
+    from gapengine.operators.index import packed_vectors, raw_buckets, weighted_features, weighted_vectors
+
+    return packed_vectors(weighted_vectors(raw_buckets(weighted_features(queries, key, text), key), idf, corpus, key), key)
+
+
+# ------------------------------------------------------------------------- hybrid
+
+
+def scored_candidates(
+    lexical: DataFrame, hits: DataFrame, terms: DataFrame, words: DataFrame, incidents: DataFrame, docs: DataFrame,
+    key: str = "query_id",
+) -> DataFrame:
+    """JON-3/JON-4/RNK-3: union of both halves with the blended score.
+
+    The vector hits (at most k per query) come to the lexical pairs, which stay
+    where they are; hits that share no term with their query are added.
+    ``incidents``: key, i_feature, i_keys, i_signals; ``docs``: doc_id, t_feature,
+    t_keys, t_signals.
+    """
+    hits = hits.select(key, "doc_id", "similarity")
+    both = boosted_join(lexical.select(key, "doc_id", "lexical"), hits, [key, "doc_id"], "left")
+    pairs = both.unionByName(vector_only(hits, terms, words, key).withColumn("lexical", F.lit(0.0)))
+    pairs = boosted_join(pairs.join(docs, "doc_id"), incidents, key)
+    vector_score = F.greatest(F.lit(0.0), F.coalesce("similarity", F.lit(0.0)))
+    match = (F.col("i_feature") != "") & (F.col("i_feature") == F.col("t_feature"))
+    return pairs.select(
+        key, "doc_id",
+        blend(
+            vector_score, F.col("lexical"), feature_match=match,
+            shares_condition=F.arrays_overlap("i_keys", "t_keys"),
+            shares_signal=F.arrays_overlap("i_signals", "t_signals"),
+        ).alias("score"),
+        F.round(vector_score, 4).alias("vector_score"),
+        F.round("lexical", 4).alias("lexical_score"),
+        match.alias("feature_match"),
+        "i_signals", "t_signals",
+    )
+
+
+def vector_only(hits: DataFrame, terms: DataFrame, words: DataFrame, key: str = "query_id") -> DataFrame:
+    """Vector hits whose document holds none of the query's terms."""
+    sharing = (
+        boosted_join(terms.select("doc_id", "term"), hits.select(key, "doc_id"), "doc_id")
+        .join(words.select(key, "term"), [key, "term"]).select(key, "doc_id").distinct()
+    )
+    return hits.join(sharing, [key, "doc_id"], "left_anti")
+
+
+def finalists(scored: DataFrame, key: str = "query_id", top_k: int = fixed.TOP_K) -> DataFrame:
+    """The rows any cut can still need: the best of each query, and for each
+    signal it carries the 16 best same-feature carriers (a query has at most 16
+    signals, and no test is picked twice).  Cut before the shuffle, so the
+    result is small whatever the number of scored pairs."""
+    every = F.array(F.lit(""))
+    carried = F.when(F.col("feature_match"), F.array_intersect("i_signals", "t_signals")).otherwise(
+        F.array().cast("array<string>")
+    )
+    order = Window.partitionBy(key, "label").orderBy(F.desc("score"), "doc_id")
+    most = max(top_k, fixed.FALLBACK_KEEP, len(fixed.SIGNAL_PATTERNS))
+    return (
+        scored.withColumn("label", F.explode(F.concat(every, carried)))
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= most)
+    )
+
+
+def retrieval_stats(best: DataFrame, final: DataFrame, alone: DataFrame, key: str = "query_id") -> DataFrame:
+    """AGG-26: number of candidates and best score of each query."""
+    top = final.filter("label = ''").groupBy(key).agg(F.max("score").alias("retrieval_top"))
+    extra = alone.groupBy(key).agg(F.count(F.lit(1)).alias("n_alone"))
+    return top.join(best.select(key, "n_hits"), key, "left").join(extra, key, "left").select(
+        key, "retrieval_top",
+        (F.coalesce("n_hits", F.lit(0)) + F.coalesce("n_alone", F.lit(0))).alias("candidate_count"),
+    )
+
+
+def keep_candidates(final: DataFrame, key: str = "query_id", top_k: int = fixed.TOP_K) -> DataFrame:
+    """RNK-4: the first ``top_k`` above the floor, or the best three when none is."""
+    ranked = final.filter("label = ''").withColumn(
+        "top", F.max("score").over(Window.partitionBy(key))
+    )
+    floor = F.greatest(F.lit(fixed.MIN_SCORE), F.col("top") * fixed.RELATIVE_FLOOR)
+    clears = (F.col("score") >= floor) & (F.col("rank") <= top_k)
+    return ranked.filter(clears | ((F.col("top") < floor) & (F.col("rank") <= fixed.FALLBACK_KEEP))).drop("top")
+
+
+def signal_witnesses(final: DataFrame, kept: DataFrame, key: str = "query_id") -> DataFrame:
+    """RNK-5: for each incident signal no kept test shows, the best same-feature
+    test that does, no test twice.  The sequential choice runs over the bounded
+    lists of ``finalists`` inside one row per query."""
+    shown = kept.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("t_signals"))).alias("shown"))
+    kept_ids = kept.groupBy(key).agg(F.collect_list("doc_id").alias("kept_ids"))
+    missing = (
+        final.filter("label <> ''").join(shown, key).join(kept_ids, key)
+        .filter(~F.array_contains("shown", F.col("label")))
+    )
+    lists = (
+        missing.groupBy(key, F.col("label").alias("signal"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("tests"), F.first("kept_ids").alias("kept_ids"))
+        .groupBy(key)
+        .agg(
+            F.array_sort(F.collect_list(F.struct("signal", F.col("tests.doc_id").alias("tests")))).alias("wanted"),
+            F.first("kept_ids").alias("kept_ids"),
+        )
+    )
+    # Starts from the kept tests and drops them again: a witness is never one of them.
+    chosen = F.aggregate(
+        "wanted",
+        F.col("kept_ids"),
+        lambda acc, w: F.concat(acc, F.slice(F.filter(w["tests"], lambda d: ~F.array_contains(acc, d)), 1, 1)),
+    )
+    picks = lists.select(key, F.posexplode(F.array_except(chosen, F.col("kept_ids"))).alias("turn", "doc_id"))
+    rows = final.filter("label <> ''").drop("label", "rank").dropDuplicates([key, "doc_id"])
+    return picks.join(rows, [key, "doc_id"])
+
+
+def retrieve(
+    index, queries: DataFrame, incidents: DataFrame, docs: DataFrame, key: str = "query_id", top_k: int = fixed.TOP_K
+) -> tuple[DataFrame, DataFrame]:
+    """RNK-1..5 end to end: ``(candidates, stats)``.
+
+    ``queries``: key, text.  Candidates carry ``rank_key``, their place in the
+    result: kept ones by score, witnesses after them.  Two passes over the
+    scored pairs (maxima, then finalists); everything after is small.
+    """
+    few = fits_broadcast(queries)
+    words = materialise(query_terms(queries, key))
+    hits = materialise(
+        vector_top_k(
+            index.vectors, query_vectors(queries, index.bucket_idf, index.corpus, key),
+            top_k * fixed.VECTOR_OVERSAMPLE, key,
+        )
+    )
+    scores = bm25_scores(index.doc_terms, index.term_stats, index.corpus, words, key)
+    best = materialise(lexical_best(scores, key))
+    lexical = scaled_lexical(scores, best, few, key)
+    final = materialise(
+        finalists(scored_candidates(lexical, hits, index.doc_terms, words, incidents, docs, key), key, top_k)
+    )
+    stats = retrieval_stats(best, final, vector_only(hits, index.doc_terms, words, key), key)
+    kept = keep_candidates(final, key, top_k)
+    columns = [key, "doc_id", "score", "vector_score", "lexical_score", "feature_match", "rank_key"]
+    first = kept.withColumn("rank_key", F.col("rank"))
+    more = signal_witnesses(final, kept, key).withColumn("rank_key", F.lit(1000) + F.col("turn"))
+    return first.select(*columns).unionByName(more.select(*columns)), stats

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,6 +17,23 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a reduced result that several later steps read.
+
+    A reliable checkpoint in the folder the cluster names; it survives lost
+    executors.  Only a local session without such a folder gets one of its own.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def blocks_for(n_rows: int, rows: int = BROADCAST_ROWS) -> int:
     return max(1, math.ceil(n_rows / rows))
 
