@@ -228,7 +228,7 @@ def document_numbers(spark, sf):
     return docs.select(
         "doc_id",
         F.size(T.numbers(C("text"))).cast("bigint").alias("n_numbers"),
-        F.round(F.aggregate(T.numbers(C("text")), F.lit(0.0), lambda a, x: a + x), 3).alias("total"),
+        F.array_max(T.numbers(C("text"))).alias("largest"),
         F.size(T.percentages(C("text"))).cast("bigint").alias("n_percentages"),
     )
 

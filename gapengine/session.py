@@ -12,6 +12,8 @@ def tune(spark: SparkSession) -> SparkSession:
     more, smaller partitions; skewed join partitions are split at run time.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Inferring constraints costs more than it prunes on wide nested projections.
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
