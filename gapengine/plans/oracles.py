@@ -133,7 +133,7 @@ types AS (SELECT family_key, string_agg(gap_type, '|' ORDER BY n DESC, gap_type)
                  first(gap_type ORDER BY n DESC, gap_type) AS leading_type
           FROM (SELECT family_key, gap_type, count(*) AS n FROM obs GROUP BY ALL) GROUP BY family_key),
 feats AS (SELECT family_key, feature, count(*) AS n,
-                 row_number() OVER (PARTITION BY family_key ORDER BY count(*) DESC, feature) AS p FROM obs GROUP BY ALL),
+                 row_number() OVER (PARTITION BY family_key ORDER BY count(*) DESC, feature) AS p FROM obs GROUP BY family_key, feature),
 features AS (SELECT family_key, string_agg(feature, '|' ORDER BY p) FILTER (p <= 4) AS features,
                     string_agg(feature, ', ' ORDER BY p) FILTER (p <= 3) AS top3, count(*) FILTER (p <= 4) AS n_top,
                     max(feature) FILTER (p = 1) AS lead_feature, max(n) FILTER (p = 1) AS leading_n
@@ -380,7 +380,7 @@ ORACLES = {
         WHEN 2 THEN 'page_size=' || n[1] || ';order_total=invalid;coupon=expired'
         WHEN 3 THEN 'refund=' || n[1] || '%;email=null'
         WHEN 4 THEN 'item=' || n[1] || ';value=missing'
-        WHEN 5 THEN 'price=' || n[1] || '%;tax=' || n[1] || '%;shipping=' || n[2]
+        WHEN 5 THEN 'tax=' || n[1] || '%;shipping=' || n[2]
         WHEN 6 THEN 'status=' || n[1] || ';username=unknown'
         ELSE 'discount=' || n[2] || '%;retry_count=' || n[1] END AS conditions FROM v""",
     "term_statistics": f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf, round(share, 6) AS share, is_distinctive FROM stats",
