@@ -16,8 +16,8 @@ U = "(?U)"
 
 def strings(values) -> Column:
     """A literal array<string>."""
-    values = list(values)
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"cast(array({quoted}) as array<string>)")
 
 
 def let(value: Column, body) -> Column:
@@ -162,8 +162,9 @@ def explode_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def synonym_map() -> Column:
-    return F.create_map(
-        *[x for head, related in fixed.SYNONYMS.items() for x in (F.lit(head), strings(related.split()))]
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    return F.expr(
+        "map(" + ", ".join(f"'{h}', array({quoted(r.split())})" for h, r in fixed.SYNONYMS.items()) + ")"
     )
 
 
@@ -295,8 +296,8 @@ def join_words(items: Column) -> Column:
 
 def signal_phrase(signal: Column) -> Column:
     """TXT-35."""
-    table = F.create_map(*[F.lit(x) for kv in fixed.SIGNAL_PHRASES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, signal), F.replace(signal, F.lit("_"), F.lit(" ")))
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in fixed.SIGNAL_PHRASES.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), signal), F.replace(signal, F.lit("_"), F.lit(" ")))
 
 
 def canonical_header(header: Column) -> Column:
@@ -336,6 +337,9 @@ def code_label(code: Column) -> Column:
 
 def lookup(code: Column, table: dict, default=None) -> Column:
     """A fixed dict as a CASE expression."""
+    if len(table) > 8 and all(isinstance(k, str) and isinstance(v, str) for k, v in table.items()):
+        pairs = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+        return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), code), F.lit(default))
     expr = F
     for k, v in table.items():
         expr = expr.when(code == k, F.lit(v))

@@ -17,9 +17,10 @@ TEXT = ("title", "feature", "scenario", "description", "failure", "root_cause",
 
 
 def index_catalogue(tests: DataFrame) -> tuple[DataFrame, Index]:
-    """AGG-24: tests with derived signals, and their index."""
-    tests = with_index_signals(tests)
-    return tests, build_index(searchable_tests(tests))
+    """AGG-24: tests with derived signals, and their index.  Both are written once
+    (see ``materialise``), so every analysis starts from stored tables."""
+    tests = materialise(with_index_signals(tests))
+    return tests, Index(*[materialise(t) for t in build_index(searchable_tests(tests))])
 
 
 def candidates_for(incidents: DataFrame, tests: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
@@ -72,9 +73,10 @@ def analyze(
 
     ``similar``: (incident_id, similar_incidents), the recurrence known on arrival.
     """
+    incidents = materialise(incidents)
     candidates, stats = candidates_for(incidents, tests, index)
     candidates = materialise(candidates)
-    prepared = with_distinctive_terms(prepare_incidents(incidents), index)
+    prepared = materialise(with_distinctive_terms(prepare_incidents(incidents), index))
     pairs = compared(prepared, candidates, tests, condition_words).withColumn("feature", F.col("test_feature"))
     summary = summarise(
         pairs, "incident_id", detail=True,
@@ -92,7 +94,7 @@ def analyze(
         rows, corpus_size=F.col("corpus_size"), retrieval_top="retrieval_top", feature_points=feature_points,
         similar=F.coalesce("similar_incidents", F.lit(0)),
     )
-    return with_explanations(decided) if explain else decided
+    return with_explanations(materialise(decided)) if explain else decided
 
 
 def relevant_tests(candidates: DataFrame, tests: DataFrame, matched: DataFrame) -> DataFrame:

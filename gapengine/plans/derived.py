@@ -139,20 +139,20 @@ SLIM = [
 ]
 
 
-def compared_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compared_profiles(incidents: DataFrame, tests: DataFrame) -> DataFrame:
     """Every candidate pair of profiles with its comparison."""
-    incidents = incident_profiles(incident_lines(spark, sf_dir))
-    tests = test_profiles(test_lines(spark, sf_dir))
     pairs = profile_pairs(incidents, tests)
     keys = [*CASE, *[f"test_{c}" for c in CASE]]
     cases = compared_cases(incidents, tests, pairs).select(*keys, *SLIM)
     return boosted_join(pairs, cases, keys).withColumn("rank_key", F.col("test_id"))
 
 
-def profile_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def profile_verdicts(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """One decided row per incident profile."""
-    incidents = incident_profiles(incident_lines(spark, sf_dir))
-    summary = summarise(compared_profiles(spark, sf_dir), PROFILE, detail=False)
+    incidents = incident_profiles(incident_lines(spark, sf_dir) if lines is None else lines)
+    summary = summarise(
+        compared_profiles(incidents, test_profiles(test_lines(spark, sf_dir))), PROFILE, detail=False
+    )
     corpus = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'").agg(
         F.count(F.lit(1)).alias("corpus_size")
     )
@@ -171,8 +171,9 @@ VERDICT_COLUMNS = ["coverage", "effectiveness", "gap_type", "family_key", "confi
 def incident_verdicts(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """The verdict of every incident line: profiles are decided once and fanned
     back out, a join in which each line meets exactly one profile."""
-    verdicts = profile_verdicts(spark, sf_dir).select(
+    lines = incident_lines(spark, sf_dir, *extra)
+    verdicts = profile_verdicts(spark, sf_dir, lines).select(
         *PROFILE, *VERDICT_COLUMNS, F.col("best.test_id").alias("best_test_id"),
         F.round("best.strength", 6).alias("best_strength"),
     )
-    return incident_lines(spark, sf_dir, *extra).join(verdicts, PROFILE)
+    return lines.join(verdicts, PROFILE)
