@@ -19,7 +19,10 @@ def test_headers():
 def test_read_catalogue(spark, tmp_path):
     (tmp_path / "billing").mkdir()
     (tmp_path / "node_modules").mkdir()
-    (tmp_path / "exports.csv").write_text("Report\n\nID;Title;Module;Test Data;Labels\nA-1;pays now;payment desk;amount=5; a:b\n\n;second case;;;\n")
+    (tmp_path / "exports.csv").write_text(
+        'Report\n\nID,Title,Module,Test Data,Labels\nA-1,pays now,payment desk,"amount=5; a:b",\n\n,second case,,,\n'
+    )
+    (tmp_path / "plain.tsv").write_text("Key\tName\nB-1\tfirst\nB-2\tsecond\n")
     (tmp_path / "empty.csv").write_text("")
     (tmp_path / "odd.csv").write_text("q,w\n1,2\n")
     (tmp_path / "node_modules" / "test_x.py").write_text("def test_hidden(): pass\n")
@@ -31,13 +34,13 @@ def test_read_catalogue(spark, tmp_path):
     (tmp_path / "cart.test.ts").write_text("describe('Cart totals', () => {\n  it('adds a 5% discount', () => {\n    expect(total(1)).toBe(2);\n  });\n  test.skip('later', () => {});\n});\n")
     tests, issues = read_catalogue(scan(spark, str(tmp_path)), F.lit(1).cast("bigint"), str(tmp_path))
     by = {r.test_id: r for r in tests.collect()}
-    assert set(by) == {"A-1", "EXPORTS-6", "test_tax::test_tax_rate", "test_tax::TestMore::test_fails", "cart.test::Cart totals::adds a 5% discount", "cart.test::Cart totals::later"}
+    assert set(by) == {"A-1", "EXPORTS-6", "B-1", "B-2", "test_tax::test_tax_rate", "test_tax::TestMore::test_fails", "cart.test::Cart totals::adds a 5% discount", "cart.test::Cart totals::later"}
     tax = by["test_tax::test_tax_rate"]
     values = {p["key"]: p["value"] for p in tax.inputs}
     assert values["amount"] == "5" and values["note"] == "empty" and values["rate"] == "0, 10"
     assert tax.feature == "Billing" and tax.expected_behavior == "total grows" and tax.tags == ["parametrize"]
     assert by["test_tax::TestMore::test_fails"].assertions == ["raises ValueError"]
-    assert by["A-1"].feature == "Payment Desk"
+    assert by["A-1"].feature == "Payment Desk" and [p["key"] for p in by["A-1"].inputs] == ["amount", "a"]
     js = by["cart.test::Cart totals::adds a 5% discount"]
     assert js.feature == "Cart Totals" and js.assertions == ["expect(total(1)).toBe(2)"] and js.line_number == 2
     assert by["cart.test::Cart totals::later"].tags == ["skipped"]
