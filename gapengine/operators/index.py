@@ -78,6 +78,14 @@ def term_stats(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
+def lexical_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, corpus row and term statistics, texts split once.  Stored postings
+    are spread by document again, which is what keeps scoring local."""
+    terms = by_document(materialise(doc_terms(docs)))
+    corpus = materialise(corpus_stats(docs, terms))
+    return terms, corpus, materialise(term_stats(terms, corpus))
+
+
 # -------------------------------------------------------------------- vector half
 
 
@@ -182,8 +190,9 @@ def vocabulary(words: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFr
     All counts combine map-side; after them only (feature, word) rows remain.
     The 40 best words per feature are cut before rows of one feature meet.
     """
-    tests = words.groupBy("feature").agg(F.countDistinct(key).alias("n_tests"))
-    pairs = words.groupBy("feature", "term").agg(F.count(F.lit(1)).alias("n"))
+    per_test = materialise(words.groupBy(key, "feature", "term").agg(F.count(F.lit(1)).alias("n")))
+    tests = per_test.select(key, "feature").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_tests"))
+    pairs = materialise(per_test.groupBy("feature", "term").agg(F.sum("n").alias("n")))
     per_feature = pairs.groupBy("feature").agg(F.sum("n").alias("feature_total"))
     per_term = pairs.groupBy("term").agg(F.sum("n").alias("term_total"))
     total = pairs.agg(F.sum("n").alias("total"))
@@ -209,15 +218,17 @@ def vocabulary(words: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFr
 
 def classify(
     items: DataFrame, weights: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "text",
-    default: str = fixed.UNKNOWN,
+    default: str = fixed.UNKNOWN, words: DataFrame | None = None,
 ) -> DataFrame:
     """AGG-8: the best-scoring feature of each text: ``(key, feature, score)``.
 
     The vocabulary holds at most 40 words per feature; it is broadcast when that
-    is small and shuffled by word otherwise.
+    is small and shuffled by word otherwise.  ``words``: (key, term) already split.
     """
     weights, counts = materialise(weights), materialise(counts)
-    words = explode_tokens(by_document(items, key), key, text).select(key, "term").distinct()
+    if words is None:
+        words = explode_tokens(by_document(items, key), key, text).select(key, "term")
+    words = words.select(key, "term").distinct()
     scores = (
         boosted_join(words, weights, "term")
         .groupBy(key, "feature").agg(F.round(F.sum("weight"), 6).alias("score"))
@@ -260,13 +271,12 @@ def build_index(docs: DataFrame, feature: str = "feature", vocabulary_text: str
     """AGG-24: all retrieval tables of documents ``(doc_id, text, feature)``."""
     if vocabulary_text not in docs.columns:
         docs = docs.withColumn(vocabulary_text, F.concat_ws(" ", "text", feature))
-    terms = doc_terms(docs)
-    corpus = corpus_stats(docs, terms)
-    buckets = raw_buckets(weighted_features(docs))
-    idf = bucket_idf(buckets, corpus)
+    terms, corpus, stats = lexical_index(docs)
+    buckets = materialise(raw_buckets(weighted_features(docs)))
+    idf = materialise(bucket_idf(buckets, corpus))
     weights, counts = vocabulary(feature_words(docs, feature, vocabulary_text))
     return Index(
-        terms, term_stats(terms, corpus), corpus, packed_vectors(weighted_vectors(buckets, idf, corpus)), idf, weights, counts
+        terms, stats, corpus, packed_vectors(weighted_vectors(buckets, idf, corpus)), idf, weights, counts
     )
 
 

@@ -20,7 +20,8 @@ def index_catalogue(tests: DataFrame) -> tuple[DataFrame, Index]:
     """AGG-24: tests with derived signals, and their index.  Both are written once
     (see ``materialise``), so every analysis starts from stored tables."""
     tests = materialise(with_index_signals(tests))
-    return tests, Index(*[materialise(t) for t in build_index(searchable_tests(tests))])
+    index = build_index(searchable_tests(tests))
+    return tests, index._replace(**{n: materialise(getattr(index, n)) for n in ("vectors", "vocabulary", "feature_counts")})
 
 
 def candidates_for(incidents: DataFrame, tests: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:

@@ -336,10 +336,9 @@ def postings(spark, sf):
 
 def _bm25(spark, sf):
     docs, queries = _docs(spark, sf), _queries(spark, sf)
-    terms = ix.doc_terms(docs)
-    corpus = ix.corpus_stats(docs, terms)
+    terms, corpus, stats = ix.lexical_index(docs)
     words = materialise(ret.query_terms(queries))
-    return ret.bm25_scores(terms, ix.term_stats(terms, corpus), corpus, words), queries
+    return ret.bm25_scores(terms, stats, corpus, words), queries
 
 
 def bm25_top(spark, sf):
@@ -365,7 +364,7 @@ def bucket_weights(spark, sf):
 def _vector_hits(spark, sf, k):
     docs, queries = _docs(spark, sf), _queries(spark, sf)
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    buckets = ix.raw_buckets(ix.weighted_features(docs))
+    buckets = materialise(ix.raw_buckets(ix.weighted_features(docs)))
     idf = materialise(ix.bucket_idf(buckets, n))
     vectors = ix.packed_vectors(ix.weighted_vectors(buckets, idf, n))
     return ret.vector_top_k(vectors, ret.query_vectors(queries, idf, n), k)
