@@ -8,11 +8,13 @@ evenly than with independent hashes, and an element stops as soon as ``j``
 exceeds the largest value the document still holds.
 
 Documents with equal sets form one class and go on as one.  Classes that share
-a band meet in that band's bucket.  First each is held against the bucket's
-smallest member only; connected classes need no more comparison, so a bucket
-of thousands of near copies costs a line and not a square.  What is still
-unconnected inside a bucket is then compared pair by pair, after a bound on
-the set sizes and on single-bit signatures.  Links are confirmed on full sets.
+a band meet in that band's bucket.  First each is compared with the bucket's
+smallest member, its pivot, only: connected classes need no more comparison, so
+thousands of near copies cost a line and not a square.  Those still apart are
+compared by their differences from the pivot where a prefix bound on these
+leaves a link possible; documents far from their pivot meet the bucket's others
+under a bound on sizes and single-bit signatures.  All links are confirmed on
+full sets.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gapengine.llm.common import C, stored
 from gapengine.llm.components import components
@@ -203,36 +205,21 @@ def near_duplicates(
     classes = stored(
         linkable.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     )
-    member = C("member")
-    banded = classes.select(F.struct(C("rep").alias("id"), "n", "d1", "bits").alias("member"), F.explode("bands").alias("key"))
-    buckets = (
-        banded.select("key", member.getField("id").alias("id"), member.getField("d1").alias("d1")).groupBy("key")
-        .agg(F.min("id").alias("pivot"), F.min(F.struct("id", "d1")).alias("least"), F.max(F.struct("id", "d1")).alias("most"))
-        .filter(C("least") != C("most")).select("key", "pivot")
+    banded = classes.select(F.explode("bands").alias("key"), C("rep").alias("id"))
+    buckets = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter(C("pivot") < C("last")).select("key", "pivot")
+    outline = classes.select(C("rep").alias("id"), F.struct(C("rep").alias("id"), "n", "bits").alias("outline"))
+    others = banded.join(buckets, "key").filter(C("id") != C("pivot"))
+    meeting = stored(
+        others.join(outline.select("id", C("outline").alias("member")), "id").join(outline.select(C("id").alias("pivot"), C("outline").alias("first")), "pivot")
+        .withColumn("possible", _possible("first", "member", percent, bands * rows)).select("key", "pivot", "id", "member", "possible")
     )
-    meeting = stored(banded.join(buckets, "key"))
-    pivots = meeting.filter(member.getField("id") == C("pivot")).select("key", C("member").alias("first"))
-    first = (
-        meeting.join(pivots, "key").filter((C("first.id") < C("member.id")) & _possible("first", "member", percent, bands * rows))
-        .select(C("first.id").alias("a"), C("member.id").alias("b")).distinct()
+    star = stored(_compared(source, stored(meeting.filter("possible").select(C("pivot").alias("a"), C("id").alias("b")).distinct()), words, percent))
+    links = star.filter("linked").select("a", "b")
+    grouped = stored(components(links))
+    more = stored(
+        _inside_stars(star, grouped, percent)
+        .union(_outside_stars(source, meeting, grouped, words, percent, bands * rows)).distinct()
     )
-    links = stored(_verified(source, stored(first), words, percent))
-    grouped = components(links)
-    # Pairs inside a bucket that the first links have not connected.
-    apart = meeting.join(grouped, C("member.id") == C("id"), "left").select(
-        "key", "pivot", "member", F.coalesce("component", C("member.id")).alias("group")
-    )
-    mixed = apart.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter(C("lo") < C("hi")).select("key")
-    apart = stored(apart.join(mixed, "key"))
-    left = apart.select("key", "pivot", C("member").alias("first"), C("group").alias("group1"))
-    right = apart.select("key", "member", "group")
-    rest = (
-        left.join(right, "key")
-        .filter((C("first.id") < C("member.id")) & (C("group1") != C("group")) & (C("first.id") != C("pivot"))
-                & _possible("first", "member", percent, bands * rows))
-        .select(C("first.id").alias("a"), C("member.id").alias("b")).distinct()
-    )
-    more = stored(_verified(source, stored(rest), words, percent))
     found = components(links.union(more)) if more.limit(1).count() else grouped
     labels = (
         classes.join(found, C("rep") == C("id"), "left")
@@ -247,13 +234,79 @@ def near_duplicates(
     )
 
 
-def _verified(source: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _compared(source: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Full sets of the pairs (a, b) compared: sizes, whether they link, and ``delta``, the elements only one of them has."""
     wanted = pairs.select(C("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(source.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id bigint, elements array<bigint>"))
+    sets = stored(source.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id bigint, elements array<bigint>").distinct())
     both = pairs.join(sets.select(C("id").alias("a"), C("elements").alias("left")), "a").join(
         sets.select(C("id").alias("b"), C("elements").alias("right")), "b"
     )
-    shared = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - shared
-    return both.filter(shared * 100 >= union * percent).select("a", "b").distinct()
+    delta = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
+    return both.select(
+        "a", "b", F.size("left").alias("na"), F.size("right").alias("nb"), delta.alias("delta"),
+    ).withColumn("linked", _links(C("na"), C("nb"), F.size("delta"), percent))
+
+
+def _links(na, nb, apart, percent: int):
+    """Similarity from the set sizes and the number of elements that only one set has (both sides doubled)."""
+    return (na + nb - apart) * 100 >= (na + nb + apart) * percent
+
+
+def _inside_stars(star: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of one star that its own links have not connected.
+
+    Each document is known by its difference from the pivot.  Two linked ones
+    differ in at most ``r * (n1 + n2)`` elements, so their differences from
+    the pivot, a and b elements, share t = (a + b - r * (n1 + n2)) / 2 or more.
+    Ordered from rare to common, the first a - t + 1 elements of one and the
+    first b - t + 1 of the other then have an element in common: only such
+    pairs are compared, exactly, by their differences.
+    """
+    r = (100 - percent) / (100 + percent)
+    group = grouped.select(C("id").alias("b"), C("component").alias("own"))
+    members = star.join(group, "b", "left").select(
+        "a", C("b").alias("x"), C("nb").alias("n"), "delta", F.size("delta").alias("d"), "linked", F.coalesce("own", "b").alias("group")
+    )
+    stars = members.groupBy("a").agg(
+        F.min("group").alias("lo"), F.max("group").alias("hi"), F.max("n").alias("most"), F.min(F.when(~C("linked"), C("d"))).alias("nearest")
+    ).filter(C("lo") < C("hi")).select("a", "most", "nearest")
+    reach = (C("n") + F.least(C("most"), C("n") * 100 / percent)) * r + 1e-6
+    shared = F.when(C("linked"), F.ceil((C("nearest") + C("d") - reach) / 2)).otherwise(F.ceil(C("d") - reach))
+    members = stored(
+        members.join(stars, "a").withColumn("t", shared).withColumn("free", ~C("linked") & (C("t") < 1)).withColumn("t", F.greatest("t", F.lit(1)))
+        .filter(C("free") | (C("t") <= C("d"))).drop("most", "nearest")
+    )
+    element = members.select("a", "x", "group", "linked", "d", "t", F.explode("delta").alias("element"))
+    often = element.groupBy("a", "element").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("a", "x").orderBy("often", "element"))
+    front = stored(
+        element.join(often, ["a", "element"]).withColumn("place", place).filter((C("place") <= C("d") - C("t") + 1) & (C("often") > 1))
+        .select("a", "element", "x", "group", "linked")
+    )
+    left = front.filter(~C("linked"))
+    right = front.select("a", "element", C("x").alias("y"), C("group").alias("group2"), C("linked").alias("linked2"))
+    once = C("linked2") | (C("x") < C("y"))
+    near = left.join(right, ["a", "element"]).filter((C("group") != C("group2")) & once).select("a", "x", "y")
+    # Documents for which no bound holds (sizes far apart) meet all of their star that lie in reach.
+    free = members.filter("free").select("a", "x", "group", "n", "d")
+    other = members.select("a", C("x").alias("y"), C("group").alias("group2"), C("n").alias("n2"), C("d").alias("d2"))
+    far = free.join(other, "a").filter((C("group") != C("group2")) & (F.abs(C("d") - C("d2")) <= (C("n") + C("n2")) * r)).select("a", "x", "y")
+    one = members.select("a", "x", "n", C("delta").alias("delta1"))
+    two = members.select("a", C("x").alias("y"), C("n").alias("n2"), C("delta").alias("delta2"))
+    pairs = near.union(far).distinct().join(one, ["a", "x"]).join(two, ["a", "y"])
+    apart = F.size("delta1") + F.size("delta2") - 2 * F.size(F.array_intersect("delta1", "delta2"))
+    return pairs.filter(_links(C("n"), C("n2"), apart, percent)).select(C("x").alias("a"), C("y").alias("b"))
+
+
+def _outside_stars(source: DataFrame, meeting: DataFrame, grouped: DataFrame, words: int, percent: int, length: int) -> DataFrame:
+    """Links of documents too far from their bucket's pivot with the bucket's others."""
+    group = grouped.select("id", "component")
+    rows = meeting.select("key", "member", "possible").join(group, C("member.id") == C("id"), "left").select(
+        "key", "member", "possible", F.coalesce("component", C("member.id")).alias("group")
+    )
+    left = rows.filter(~C("possible")).select("key", C("member").alias("first"), C("group").alias("group1"))
+    right = rows.select("key", "member", C("possible").alias("known"), "group")
+    once = C("known") | (C("first.id") < C("member.id"))
+    pairs = left.join(right, "key").filter((C("group1") != C("group")) & once & _possible("first", "member", percent, length))
+    pairs = stored(pairs.select(C("first.id").alias("a"), C("member.id").alias("b")).distinct())
+    return _compared(source, pairs, words, percent).filter("linked").select("a", "b")
