@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gapengine.llm import bitsliced, mixing
+from gapengine.llm.bitsliced import exact_top_k
 from gapengine.llm.common import table
+from gapengine.llm.mixing import mix_sources
 from gapengine.llm.neardup import near_duplicates
+from gapengine.llm.pii import pii_report
 from gapengine.session import tune
 
 
@@ -15,9 +19,21 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(table(prepared(spark), sf, "documents")).drop("taken_by_share")
+
+
 def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(prepared(spark), sf, "documents"), words=2)
 
 
-QUERIES = [op2_near_duplicates]
-ORACLES: dict[str, str] = {}
+def op6_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_top_k(table(prepared(spark), sf, "embeddings"))
+
+
+def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii_report(table(prepared(spark), sf, "documents"))
+
+
+QUERIES = [op1_mix_sources, op2_near_duplicates, op6_exact_top_k, op9_personal_data]
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op6_exact_top_k": bitsliced.ORACLE}
