@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapengine.llm import bitsliced, mixing
+from gapengine.llm import bitsliced, mixing, rotation, vectordup
 from gapengine.llm.bitsliced import exact_top_k
 from gapengine.llm.common import table
+from gapengine.llm.kneserney import score_quality
+from gapengine.llm.licences import licence_report
 from gapengine.llm.mixing import mix_sources
 from gapengine.llm.neardup import near_duplicates
+from gapengine.llm.pages import main_text
+from gapengine.llm.pieces import encode_pieces
 from gapengine.llm.pii import pii_report
+from gapengine.llm.rotation import rotate_perspectives
+from gapengine.llm.vectordup import near_vectors
 from gapengine.session import tune
 
 
+# Vocabulary file on the driver; every caller may name another.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, as one text may be long."""
     tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
@@ -35,5 +45,38 @@ def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii_report(table(prepared(spark), sf, "documents"))
 
 
-QUERIES = [op1_mix_sources, op2_near_duplicates, op6_exact_top_k, op9_personal_data]
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op6_exact_top_k": bitsliced.ORACLE}
+def op3_perspectives(spark: SparkSession, sf: str) -> DataFrame:
+    return rotate_perspectives(table(prepared(spark), sf, "conversations"))
+
+
+def op4_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licence_report(table(prepared(spark), sf, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    trusted = table(prepared(spark), sf, "labels").filter(F.col("quality") == 1)
+    return score_quality(table(spark, sf, "documents"), trusted)
+
+
+def op7_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(prepared(spark), sf, "embeddings"))
+
+
+def op8_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text(table(prepared(spark), sf, "pages"))
+
+
+def op10_pieces(spark: SparkSession, sf: str, model: str = VOCABULARY) -> DataFrame:
+    """Ids of every text, and whether they decode to exactly that text."""
+    docs = table(prepared(spark), sf, "documents").select("doc_id", "text")
+    out = encode_pieces(docs, model, decode=True)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+
+
+QUERIES = [
+    op1_mix_sources, op2_near_duplicates, op3_perspectives, op4_licences, op5_quality, op6_exact_top_k, op7_near_vectors, op8_main_text,
+    op9_personal_data, op10_pieces,
+]
+ORACLES = {
+    "op1_mix_sources": mixing.ORACLE, "op3_perspectives": rotation.ORACLE, "op6_exact_top_k": bitsliced.ORACLE, "op7_near_vectors": vectordup.ORACLE,
+}
