@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 C = F.col
@@ -89,3 +91,30 @@ def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return ranged.withColumn("_inside", inside).join(F.broadcast(pieces), "_piece").withColumn(
         out, (C("_before") + C("_inside")).cast("bigint")
     ).drop("_piece", "_inside", "_before")
+
+
+# A bitmap over ids of 4 MB, whatever the number of ids.
+FILTER_BITS = 25
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the place of every id (one bigint column) is set.
+
+    The more ids there are, the more others pass.  It saves shuffling rows that
+    the join behind it would not keep, and decides nothing itself.
+    """
+    x = C(ids.columns[0])
+    place = x.bitwiseXOR(F.shiftright(x, FILTER_BITS)).bitwiseXOR(F.shiftright(x, 2 * FILTER_BITS)).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    parts = ids.filter(x.isNotNull()).select(F.shiftright(place, 5).alias("word"), F.pow(F.lit(2), place % 32).cast("bigint").alias("bit"))
+    found = parts.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def in_filter(bitmap: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Which of ``ids`` may be in the filter; nulls are not."""
+    x = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    place = (x ^ (x >> FILTER_BITS) ^ (x >> (2 * FILTER_BITS))) & ((1 << FILTER_BITS) - 1)
+    there = (bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1
+    return there.astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gapengine.llm.common import C, stored
+from gapengine.llm.common import C, id_filter, in_filter, stored
 from gapengine.llm.wordhash import Words, buffers, chunks
 
 U = np.uint64
@@ -144,6 +144,14 @@ def train(texts: DataFrame) -> np.ndarray:
     return np.log(lower).astype(np.float32)
 
 
+def _passing(bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(bitmap.value, batch.column(0))))
+
+    return run
+
+
 def _scored(shared, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
@@ -184,7 +192,13 @@ def score_quality(
     """
     rows = docs.select(C(id_col).alias("doc_id"), C(lang_col).cast("string").alias("lang"), C(text_col).cast("string").alias("text"))
     ids = trusted.select(C(id_col).alias("doc_id")).filter(C("doc_id").isNotNull()).distinct()
-    logs = train(rows.join(ids, "doc_id", "left_semi").select("text"))
+    if dict(rows.dtypes)["doc_id"] == "bigint":
+        # Of the other texts only few reach the shuffle of the join.
+        bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+        learned = rows.select("doc_id", "text").mapInArrow(_passing(bitmap), "doc_id bigint, text string")
+    else:
+        learned = rows
+    logs = train(learned.join(ids, "doc_id", "left_semi").select("text"))
     shared = docs.sparkSession.sparkContext.broadcast(logs)
     id_type = dict(rows.dtypes)["doc_id"]
     scores = stored(rows.mapInArrow(_scored(shared, 2), f"doc_id {id_type}, lang string, n_words bigint, log_perplexity double"))

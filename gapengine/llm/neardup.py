@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gapengine.llm.common import C, stored
+from gapengine.llm.common import C, id_filter, in_filter, stored
 from gapengine.llm.components import components
 from gapengine.llm.wordhash import CHUNK_BYTES, Words, buffers, chunks, mix
 
@@ -146,9 +146,10 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(rows.reshape(-1)))
 
 
-def _sets(words: int):
+def _sets(words: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_filter(wanted.value, batch.column(0))))
             data, offsets = buffers(batch.column(1))
             for a, b in chunks(offsets, CHUNK_BYTES):
                 elements, sizes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
@@ -236,8 +237,10 @@ def near_duplicates(
 
 def _compared(source: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Full sets of the pairs (a, b) compared: sizes, whether they link, and ``delta``, the elements only one of them has."""
-    wanted = pairs.select(C("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(source.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id bigint, elements array<bigint>").distinct())
+    ids = pairs.select(C("a").alias("id")).union(pairs.select("b"))
+    # Texts stay where they are: only the sets of the wanted documents, and of few others, are shuffled.
+    wanted = source.sparkSession.sparkContext.broadcast(id_filter(ids))
+    sets = stored(source.mapInArrow(_sets(words, wanted), "id bigint, elements array<bigint>").distinct())
     both = pairs.join(sets.select(C("id").alias("a"), C("elements").alias("left")), "a").join(
         sets.select(C("id").alias("b"), C("elements").alias("right")), "b"
     )
@@ -259,8 +262,9 @@ def _inside_stars(star: DataFrame, grouped: DataFrame, percent: int) -> DataFram
     differ in at most ``r * (n1 + n2)`` elements, so their differences from
     the pivot, a and b elements, share t = (a + b - r * (n1 + n2)) / 2 or more.
     Ordered from rare to common, the first a - t + 1 elements of one and the
-    first b - t + 1 of the other then have an element in common: only such
-    pairs are compared, exactly, by their differences.
+    first b - t + 1 of the other then have an element in common, and from it on
+    both still have t or more: only such pairs are compared, exactly, by their
+    differences.
     """
     r = (100 - percent) / (100 + percent)
     group = grouped.select(C("id").alias("b"), C("component").alias("own"))
@@ -276,17 +280,20 @@ def _inside_stars(star: DataFrame, grouped: DataFrame, percent: int) -> DataFram
         members.join(stars, "a").withColumn("t", shared).withColumn("free", ~C("linked") & (C("t") < 1)).withColumn("t", F.greatest("t", F.lit(1)))
         .filter(C("free") | (C("t") <= C("d"))).drop("most", "nearest")
     )
-    element = members.select("a", "x", "group", "linked", "d", "t", F.explode("delta").alias("element"))
+    element = members.select("a", "x", "group", "linked", "n", "d", "t", F.explode("delta").alias("element"))
     often = element.groupBy("a", "element").agg(F.count(F.lit(1)).alias("often"))
     place = F.row_number().over(Window.partitionBy("a", "x").orderBy("often", "element"))
     front = stored(
         element.join(often, ["a", "element"]).withColumn("place", place).filter((C("place") <= C("d") - C("t") + 1) & (C("often") > 1))
-        .select("a", "element", "x", "group", "linked")
+        .select("a", "element", "x", "group", "linked", "n", "d", "place")
     )
     left = front.filter(~C("linked"))
-    right = front.select("a", "element", C("x").alias("y"), C("group").alias("group2"), C("linked").alias("linked2"))
+    right = front.select("a", "element", C("x").alias("y"), *[C(c).alias(f"{c}2") for c in ("group", "linked", "n", "d", "place")])
     once = C("linked2") | (C("x") < C("y"))
-    near = left.join(right, ["a", "element"]).filter((C("group") != C("group2")) & once).select("a", "x", "y")
+    # From their first common element on, both must have enough elements left.
+    left_over = F.least(C("d") - C("place"), C("d2") - C("place2")) + 1
+    enough = left_over >= (C("d") + C("d2") - (C("n") + C("n2")) * r) / 2 - 1e-6
+    near = left.join(right, ["a", "element"]).filter((C("group") != C("group2")) & once & enough).select("a", "x", "y")
     # Documents for which no bound holds (sizes far apart) meet all of their star that lie in reach.
     free = members.filter("free").select("a", "x", "group", "n", "d")
     other = members.select("a", C("x").alias("y"), C("group").alias("group2"), C("n").alias("n2"), C("d").alias("d2"))
