@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from gapengine.llm.common import C, id_filter, in_filter, stored
 from gapengine.llm.wordhash import Words, buffers, chunks
@@ -152,72 +153,80 @@ def _passing(bitmap):
     return run
 
 
-def _scored(shared, keep: int):
+def _scored(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
         for batch in batches:
-            data, offsets = buffers(batch.column(keep))
+            data, offsets = buffers(batch.column(text_at))
             for a, b in chunks(offsets):
                 symbol, counts = symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 code, text = trigrams(symbol, counts)
                 total = np.bincount(text, weights=logs[code].astype(np.float64), minlength=b - a)
-                log = np.where(counts > 0, np.round(-total / (counts + 1), 6), np.nan)
+                log = np.round(-total / (counts + 1), 6)
                 yield pa.record_batch(
-                    [*[batch.column(i).slice(a, b - a) for i in range(keep)], pa.array(counts), pa.array(log, mask=counts == 0)],
-                    names=[*batch.schema.names[:keep], "n_words", "log_perplexity"],
+                    [*batch.slice(a, b - a).columns, pa.array(counts), pa.array(log, mask=counts == 0)],
+                    names=[*batch.schema.names, "n_words", "log_perplexity"],
                 )
 
     return run
 
 
-def score_quality(
+def _with_scores(rows: DataFrame, shared, text_col: str) -> DataFrame:
+    fields = StructType(list(rows.schema.fields)).add("n_words", LongType()).add("log_perplexity", DoubleType())
+    return rows.mapInArrow(_scored(shared, rows.columns.index(text_col)), fields)
+
+
+def with_quality(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    quantile: float = 0.99, spread: float = 3.0,
+    quantile: float = 0.99, spread: float = 3.0, full_words: int = 100,
 ) -> DataFrame:
-    """(doc_id, lang, n_words, log_perplexity, threshold, kept), one row for each row of ``docs``.
+    """``docs`` with n_words, log_perplexity, threshold and kept.
 
     ``trusted`` has the ids (``id_col``) of the texts to learn from; all of them
     are counted.  The perplexity of a text is that of its words and its end.  A
-    language's threshold is the median of its trusted texts plus ``spread``
-    times the distance from there to their ``quantile``, both exact on values
-    rounded to three decimals; a language without trusted texts takes that of
-    all.  Texts above it are rejected, ``kept`` is false.  A short text has few
-    words to judge by: its distance from the median counts in proportion to
-    the root of its number of words, up to ``FULL_WORDS``.
+    language's threshold is the median of its trusted texts (of ``full_words``
+    or more) plus ``spread`` times the distance from there to their
+    ``quantile``, both exact on values rounded to three decimals; a language
+    without trusted texts takes that of all.  A short text has few words to
+    judge by: below ``full_words`` the distance grows as the root of what is
+    missing.  Texts above their threshold are rejected, ``kept`` is false.
 
     A null, empty or blank text has no perplexity and is kept, as nothing
     speaks against it; null languages are one language.  Without trusted texts
-    nothing is rejected.  Rows that share an id are each scored, all trusted if
-    the id is.  Other columns are not read.
+    nothing is rejected.  Rows that share an id are each scored, and are all
+    trusted if the id is.  Columns of ``docs`` with the names of the result's
+    are replaced.
     """
-    rows = docs.select(C(id_col).alias("doc_id"), C(lang_col).cast("string").alias("lang"), C(text_col).cast("string").alias("text"))
-    ids = trusted.select(C(id_col).alias("doc_id")).filter(C("doc_id").isNotNull()).distinct()
-    if dict(rows.dtypes)["doc_id"] == "bigint":
-        # Of the other texts only few reach the shuffle of the join.
-        bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-        learned = rows.select("doc_id", "text").mapInArrow(_passing(bitmap), "doc_id bigint, text string")
-    else:
-        learned = rows
-    logs = train(learned.join(ids, "doc_id", "left_semi").select("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(logs)
-    id_type = dict(rows.dtypes)["doc_id"]
-    scores = stored(rows.mapInArrow(_scored(shared, 2), f"doc_id {id_type}, lang string, n_words bigint, log_perplexity double"))
-    language = F.coalesce(F.concat(F.lit("l"), "lang"), F.lit(""))
-    known = scores.join(ids, "doc_id", "left_semi").filter(C("log_perplexity").isNotNull() & (C("n_words") >= FULL_WORDS))
+    docs = docs.drop("n_words", "log_perplexity", "threshold", "kept")
+    rows = docs.select(C(id_col).cast("bigint").alias("id"), C(lang_col).cast("string").alias("lang"), C(text_col).cast("string").alias("text"))
+    ids = trusted.select(C(id_col).cast("bigint").alias("id")).filter(C("id").isNotNull()).distinct()
+    # Of the other texts only few reach the shuffle of the join.
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    learned = stored(rows.mapInArrow(_passing(bitmap), rows.schema).join(ids, "id", "left_semi").select("lang", "text"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(learned.select("text")))
+    language = F.coalesce(F.concat(F.lit("l"), C("lang")), F.lit(""))
+    known = _with_scores(learned, shared, "text").filter(C("n_words") >= full_words)
     known = known.select(language.alias("language"), F.round("log_perplexity", 3).alias("x"))
     cut = [F.percentile("x", 0.5).alias("middle"), F.percentile("x", quantile).alias("high")]
-    by_language = known.groupBy("language").agg(*cut)
-    overall = known.agg(*cut).select(C("middle").alias("middle0"), C("high").alias("high0"))
-    # One row, and one row for each language.
-    judged = scores.withColumn("language", language).join(stored(by_language), "language", "left").join(F.broadcast(overall))
-    middle, high = F.coalesce("middle", "middle0"), F.coalesce("high", "high0")
-    room = spread * F.greatest(high - middle, F.lit(LEAST_ROOM)) * F.sqrt(FULL_WORDS / F.least(F.greatest("n_words", F.lit(1)), F.lit(FULL_WORDS)))
-    threshold = F.round(middle + room, 6)
-    return judged.select(
-        "doc_id", "lang", "n_words", "log_perplexity", threshold.alias("threshold"),
-        F.coalesce(C("log_perplexity") <= threshold, F.lit(True)).alias("kept"),
-    )
-
-
-FULL_WORDS = 100
+    cuts = stored(known.rollup("language").agg(*cut))
+    overall = cuts.filter(C("language").isNull()).select(C("middle").alias("_middle0"), C("high").alias("_high0"))
+    each = cuts.filter(C("language").isNotNull()).select(C("language").alias("_language"), C("middle").alias("_middle"), C("high").alias("_high"))
+    judged = _with_scores(docs, shared, text_col).withColumn("_language", F.coalesce(F.concat(F.lit("l"), C(lang_col).cast("string")), F.lit("")))
+    # One row for each language, and one row.
+    judged = judged.join(each, "_language", "left").join(F.broadcast(overall), how="left")
+    middle, high = F.coalesce("_middle", "_middle0"), F.coalesce("_high", "_high0")
+    short = F.sqrt(full_words / F.least(F.greatest("n_words", F.lit(1)), F.lit(full_words)))
+    threshold = F.round(middle + spread * F.greatest(high - middle, F.lit(LEAST_ROOM)) * short, 6)
+    return judged.withColumn("threshold", threshold).withColumn(
+        "kept", F.coalesce(C("log_perplexity") <= C("threshold"), F.lit(True))
+    ).drop("_language", "_middle", "_high", "_middle0", "_high0")
+
+
+def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:
+    """(doc_id, lang, n_words, log_perplexity, threshold, kept), one row for each row of ``docs``; see ``with_quality``."""
+    narrow = docs.select(C(id_col).alias("doc_id"), C(lang_col).alias("lang"), C(text_col).alias("text"))
+    return with_quality(narrow, trusted.select(C(id_col).alias("doc_id")), **settings).drop("text")
+
+
+# Least distance between a language's median and its quantile.
 LEAST_ROOM = 0.01

@@ -91,29 +91,30 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return edge.select(*keys, F.when(C("rest") * 2 > C("inside"), C("bucket") + 1).otherwise(C("bucket")).alias("threshold"))
 
 
-def mix_sources(
+def with_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[int] = (5, 2, 1), repeats: int = 3, shares: Sequence[float] = (1.0,),
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, taken_by_share) for every row of ``docs``.
+    """``docs`` with size, source_size, target, times and times_by_share.
 
     ``size`` counts the text's words (null: 0).  Sources in code-point order,
-    null last, take ``weights`` in turn; see ``source_targets``.  ``taken`` is
-    how many words the mix takes from the row, a multiple of its size and
-    ``repeats`` times it at most; it and ``target`` hold for the last of
-    ``shares``, and ``taken_by_share`` has all of them, each mix containing
-    those of smaller shares.
+    null last, take ``weights`` in turn; see ``source_targets``.  ``times`` is
+    how often the mix takes the row, ``repeats`` times at most; it and
+    ``target`` hold for the last of ``shares``, and ``times_by_share`` has all
+    of them, each mix containing those of smaller shares.
 
     A null source is a source; a null id is an id.  Rows with equal ids fall on
     the same side of a threshold.  A source without words has target 0 and
-    takes nothing.  Results depend on ids and texts alone, so reruns agree.  An
-    empty table gives no rows.
+    is not taken.  Results depend on ids and texts alone, so reruns agree.  An
+    empty table gives no rows.  Columns of ``docs`` with the names of the
+    result's are replaced.
     """
-    source = F.concat(F.lit("s"), C(source_col).cast("string"))
-    sized = stored(docs.select(
-        C(id_col).alias("doc_id"), F.coalesce(source, F.lit("\U0010ffff")).alias("source"),
-        word_count(C(text_col)).alias("size"), document_hash(C(id_col)).alias("hash"),
-    ))
+    docs = docs.drop("size", "source_size", "target", "times", "times_by_share")
+    keyed = docs.withColumns({
+        "_source": F.coalesce(F.concat(F.lit("s"), C(source_col).cast("string")), F.lit("\U0010ffff")),
+        "size": word_count(C(text_col)), "_hash": document_hash(C(id_col)),
+    })
+    sized = stored(keyed.select(C("_source").alias("source"), "size", C("_hash").alias("hash")))
     sizes = stored(ranked(sized.groupBy("source").agg(F.sum("size").alias("source_size")), [C("source")], "place"))
     goals = None
     for i, share in enumerate(shares):
@@ -122,18 +123,20 @@ def mix_sources(
     passes = F.when(C("source_size") > 0, F.floor(C("target") / C("source_size"))).otherwise(0)
     goals = stored(goals.withColumn("passes", passes.cast("bigint")).withColumn("rest", C("target") - C("passes") * C("source_size")))
     found = thresholds(sized, goals.filter(C("rest") > 0).select("source", "budget", "rest"))
-    plan = (
-        goals.join(found, ["source", "budget"], "left").groupBy("source", "source_size")
-        .agg(F.array_sort(F.collect_list(F.struct("budget", "passes", F.coalesce("threshold", F.lit(0)).alias("threshold"), "target"))).alias("plan"))
-    )
+    step = F.struct("budget", "passes", F.coalesce("threshold", F.lit(0)).alias("threshold"), "target")
+    plan = goals.join(found, ["source", "budget"], "left").groupBy("source", "source_size").agg(F.array_sort(F.collect_list(step)).alias("_plan"))
     # One row for each source, its size known to Spark from the stored table.
-    out = sized.join(stored(plan), "source").withColumn(
-        "taken_by_share", F.transform("plan", lambda p: C("size") * (p.passes + (C("hash") < p.threshold).cast("bigint")))
-    )
-    return out.select(
-        "doc_id", "size", "source_size", F.element_at("plan", -1).target.alias("target"),
-        F.element_at("taken_by_share", -1).alias("taken"), "taken_by_share",
-    )
+    out = keyed.join(stored(plan.withColumnRenamed("source", "_source")), "_source")
+    times = F.transform("_plan", lambda p: p.getField("passes") + (C("_hash") < p.getField("threshold")).cast("bigint"))
+    return out.withColumn("target", F.element_at("_plan", -1).getField("target")).withColumn("times_by_share", times).withColumn(
+        "times", F.element_at("times_by_share", -1)
+    ).drop("_source", "_hash", "_plan")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), one row for each row of ``docs``; ``taken`` is ``times`` its size, see ``with_mix``."""
+    narrow = docs.select(C(id_col).alias("doc_id"), C(text_col).alias("text"), C(source_col).alias("source"))
+    return with_mix(narrow, **settings).select("doc_id", "size", "source_size", "target", (C("times") * C("size")).alias("taken"))
 
 
 ORACLE = f"""

@@ -30,7 +30,7 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return mix_sources(table(prepared(spark), sf, "documents")).drop("taken_by_share")
+    return mix_sources(table(prepared(spark), sf, "documents"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
