@@ -65,7 +65,7 @@ def mod97(number: Column) -> Column:
         code = F.ascii(c)
         return F.when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1
+    return F.aggregate(F.regexp_extract_all(turned, F.lit("."), F.lit(0)), F.lit(0), step) == 1
 
 
 def confirmed(kind: str, match: Column) -> Column:

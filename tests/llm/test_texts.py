@@ -217,7 +217,7 @@ def test_language_model_is_a_distribution_and_follows_its_formula(spark, docs_of
 def test_quality(spark, docs_of):
     rng = np.random.default_rng(8)
     words = "the of and to in a is that for it with as was on be by at this from".split() + [f"{a}{b}{c}" for a in ("tra", "mon", "vel") for b in ("di", "so", "ra") for c in ("tion", "ing", "er")]
-    good = [" ".join(rng.choice(words, 150)) + "." for _ in range(120)]
+    good = [" ".join(rng.choice(words, 400)) + "." for _ in range(120)]
     bad = ["buy## now## " * 60, "same " * 200, " | ".join(rng.choice(words[20:], 120)), None, "", "  "]
     docs = docs_of(*enumerate(good), *[(1000 + i, t) for i, t in enumerate(bad)], (None, good[0]))
     got = {r.doc_id: r for r in score_quality(docs, docs.select("doc_id").filter("doc_id < 80")).collect()}
