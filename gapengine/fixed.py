@@ -141,21 +141,21 @@ TEST_VALUE_SIGNALS = {
 }
 
 SIGNAL_PHRASES = {
-    "null": "null input handling",
-    "empty": "empty input handling",
-    "missing_field": "a missing required field",
-    "invalid": "invalid input handling",
-    "boundary_max": "the upper boundary value",
-    "boundary_min": "the lower boundary value",
-    "timeout": "timeout behaviour",
-    "retry": "retry behaviour",
-    "concurrency": "concurrent access",
-    "permission": "permission / authorisation handling",
-    "unicode": "Unicode / non-ASCII input",
-    "error_handling": "error handling",
-    "state_transition": "a state transition",
-    "data_format": "data format handling",
-    "environment": "environment-specific behaviour",
+    "null": "null values",
+    "empty": "empty values",
+    "missing_field": "absent fields",
+    "invalid": "unreadable values",
+    "boundary_max": "upper limit",
+    "boundary_min": "lower limit",
+    "timeout": "time limits",
+    "retry": "repeated attempts",
+    "concurrency": "parallel use",
+    "permission": "access rights",
+    "unicode": "text beyond ASCII",
+    "error_handling": "reaction to errors",
+    "state_transition": "change of state",
+    "data_format": "form of the data",
+    "environment": "influence of the environment",
 }
 
 # ------------------------------------------------------- condition extraction
@@ -307,8 +307,6 @@ PATTERN_EXAMPLES = 12
 PATTERN_FEATURES = 4
 MAX_RECOMMENDATIONS = 6
 
-MAX_PROPOSED_CONDITIONS = 6
-MAX_PROPOSED_SIGNALS = 6
 MIN_QUOTE_CHARS = 6
 TEST_ID_PATTERN = r"\b(?:TC-\d+|[A-Za-z_][\w]*::[\w:]+)\b"
 
@@ -328,9 +326,7 @@ COLUMN_ALIASES = {
     "tags": ["tags", "labels", "markers", "marker", "type", "test type", "priority"],
     "inputs": ["inputs", "input", "test data", "data", "parameters", "params", "input data", "when"],
 }
-INPUT_PAIR_PATTERN = r"^\s*([A-Za-z_][\w .-]{0,39}?)\s*[=:]\s*(.+?)\s*$"
-HEADER_SCAN_ROWS = 10
-MAX_DATA_ROWS = 200_000
+INPUT_PAIR_PATTERN = r"^\s*([A-Za-z_][\w .-]*?)\s*[=:]\s*(.+?)\s*$"
 CSV_DELIMITERS = ",;\t|"
 
 IGNORED_DIRECTORIES = (

@@ -205,10 +205,10 @@ def humanize_test_name(name: Column) -> Column:
 
 
 def infer_scenario(*texts: Column, fallback: Column | None = None) -> Column:
-    """TXT-13: the first sentence of the first non-blank text, at most 240 characters."""
+    """TXT-13: the first sentence of the first non-blank text."""
     first = F.coalesce(*[F.when(trimmed(t) != "", trimmed(t)) for t in texts])
     sentence = trimmed(F.get(F.split(first, r"(?<=[.!?])\s", 2), F.lit(0)))
-    return F.coalesce(F.substring(sentence, 1, 240), fallback if fallback is not None else F.lit(""))
+    return F.coalesce(sentence, fallback if fallback is not None else F.lit(""))
 
 
 # ----------------------------------------------------------------- searchable text
@@ -269,13 +269,13 @@ def describe_test(test_id, scenario, expected, name, inputs) -> Column:
 def title_of(description: Column) -> Column:
     """TXT-26."""
     line = trimmed(F.get(F.split(trimmed(description), r"\r\n|\r|\n"), F.lit(0)))
-    sentence = F.substring(F.get(F.split(line, r"(?<=[.!?])\s+"), F.lit(0)), 1, 120)
+    sentence = F.get(F.split(line, r"(?<=[.!?])\s+"), F.lit(0))
     return F.when(F.length(line) <= 120, line).otherwise(sentence)
 
 
 def root_cause_of(description: Column) -> Column:
     """TXT-27."""
-    return F.substring(squeezed(F.regexp_extract(description, "(?is)" + fixed.ROOT_CAUSE_PATTERN, 1)), 1, 400)
+    return squeezed(F.regexp_extract(description, "(?is)" + fixed.ROOT_CAUSE_PATTERN, 1))
 
 
 def failure_of(description: Column) -> Column:
@@ -288,7 +288,7 @@ def scenario_of(feature: Column, conditions: Column, title: Column) -> Column:
     """TXT-29."""
     stated = F.concat(feature, F.lit(": "), pairs_text(conditions, sort=True))
     return F.when(F.size(conditions) > 0, stated).otherwise(
-        F.coalesce(_filled(F.substring(title, 1, 160)), feature)
+        F.coalesce(_filled(title), feature)
     )
 
 

@@ -47,7 +47,7 @@ def unique_ids(
 ) -> DataFrame:
     """SNK-4: ``id``, ``id#2``, ``id#3`` ... in order inside a source.  ``coarse``
     spreads an id shared by very many tests (see ``ordinal_within``)."""
-    base = F.substring(F.when(F.coalesce(test_id, F.lit("")) != "", F.col(test_id)).otherwise(F.lit("TEST")), 1, 120)
+    base = F.when(F.coalesce(test_id, F.lit("")) != "", F.col(test_id)).otherwise(F.lit("TEST"))
     df = ordinal_within(
         tests.withColumn("_base", base), [*within, "_base"], order or [F.col("seq")], coarse, "_turn"
     )

@@ -272,16 +272,15 @@ def coverage_strength(n_conds, n_matched, n_signals, n_matched_signals, score, o
     return F.coalesce(structured * F.when(feature_ok, 1.0).otherwise(0.7), topical)
 
 
-def compare_pairs(pairs: DataFrame, condition_words: int = 4) -> DataFrame:
+def compare_pairs(pairs: DataFrame, condition_words: int) -> DataFrame:
     """DEC-5, first half: compare every (incident, test) pair, row by row.
 
     Needs the ``i_*`` and ``t_*`` columns, ``score`` and ``rank_key`` (candidate
     order).  ``i_distinctive`` (terms of the incident rare in the corpus) is
     optional; without it every shared term counts as distinctive.
 
-    One word holds the facts of eight conditions.  An incident with more than
-    ``condition_words`` words of them fails loudly and asks for a larger number;
-    nothing is dropped.
+    One word holds the facts of ``PER_WORD`` conditions; ``condition_words`` must
+    be enough for the incident with most of them (``analyze`` counts them).
     """
     distinctive = "i_distinctive" if "i_distinctive" in pairs.columns else "i_terms"
     zero = F.lit(0).cast("bigint")

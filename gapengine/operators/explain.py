@@ -1,7 +1,7 @@
 """Evidence, gaps, explanations and recommendations.
 
-Templates over the decided per-incident row (with ``judged`` detail): every
-sentence states an extracted value and, where it names a test, a retrieved one.
+Short statements over the decided per-incident row (with ``judged`` detail): each
+names an extracted value and, where it names a test, a retrieved one.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gapengine import fixed
 from gapengine.functions.extract import joined_phrases, pair, pairs_text, phrases
-from gapengine.functions.text import join_words, let, number_text, signal_phrase, strings
+from gapengine.functions.text import let, number_text, signal_phrase, strings
 from gapengine.operators.compare import first_with, tested_numbers, tested_values, with_status
 
 C = F.col
@@ -65,28 +65,27 @@ def evidence() -> Column:
     thin = F.concat(
         _listed(F.lit(True), _evidence(
             "insufficient_evidence",
-            F.lit("The report states no input value, affected field or behaviour that could be compared with a test."),
+            F.lit("report: no value and no behaviour to compare"),
         )),
         _listed(best.isNotNull(), _evidence(
             "insufficient_evidence",
-            fmt("The nearest test, ", best["test_id"], ", has only suite-wide wording in common with the report; "
-                "that shows neither coverage nor a gap."), cited=best,
+            fmt("nearest test ", best["test_id"], ": only common words shared, neither coverage nor gap"), cited=best,
         )),
     )
     stated = F.transform(
         "i_conds",
-        lambda c: _evidence("production_condition", fmt("Production condition: ", c["key"], " = ", c["value"]), c["value"]),
+        lambda c: _evidence("production_condition", fmt("incident value: ", c["key"], "=", c["value"]), c["value"]),
     )
     behaved = F.transform(
-        "i_decisive", lambda s: _evidence("production_signal", fmt("Production behaviour involved ", signal_phrase(s), "."))
+        "i_decisive", lambda s: _evidence("production_signal", fmt("incident behaviour: ", signal_phrase(s)))
     )
     feature = _evidence(
         "feature",
         F.when(
             best["feature_match"],
-            fmt("Closest test ", best["test_id"], " is in the same feature (", best["feature"], ")."),
+            fmt("nearest test ", best["test_id"], ": feature ", best["feature"], ", as the incident"),
         ).otherwise(
-            fmt("Closest test ", best["test_id"], " is in another feature (", best["feature"], ", not ", C("feature"), ").")
+            fmt("nearest test ", best["test_id"], ": feature ", best["feature"], ", incident: ", C("feature"))
         ),
         cited=best,
     )
@@ -97,33 +96,31 @@ def evidence() -> Column:
         return (
             F.when(untested & c["mentioned_in"].isNotNull(), _evidence(
                 "condition_mentioned",
-                fmt(c["mentioned_in"]["test_id"], " is about '", c["key"], "' but records no value to compare with ",
-                    c["value"], "."),
+                fmt(c["key"], ": named without a value in ", c["mentioned_in"]["test_id"], ", incident: ", c["value"]),
                 c["value"], cited=c["mentioned_in"]))
             .when(untested, _evidence(
-                "condition_absent", fmt("No related test uses '", c["key"], "' at any value."), c["value"]))
+                "condition_absent", fmt(c["key"], ": in no judged test, incident: ", c["value"]), c["value"]))
             .when(c["matched"], _evidence(
-                "condition_matched", fmt("'", c["key"], "' is tested at the production value ", c["value"], "."),
+                "condition_matched", fmt(c["key"], ": tests and incident: ", c["value"]),
                 c["value"], c["value"]))
             .otherwise(_evidence(
                 "condition_difference",
-                fmt("'", c["key"], "' is tested at ", join_words(c["tested"]), " while production used ", c["value"], "."),
+                fmt(c["key"], ": tests: ", listed, ", incident: ", c["value"]),
                 c["value"], listed, c["differs_in"]))
         )
 
     absent = F.transform(
-        "unmatched", lambda s: _evidence("signal_absent", fmt("No related test exercises ", signal_phrase(s), "."))
+        "unmatched", lambda s: _evidence("signal_absent", fmt("in no judged test: ", signal_phrase(s)))
     )
     combined = _evidence(
         "combination",
-        fmt(joined_phrases(C("i_decisive")), " are tested one by one, but no single test combines them."),
+        fmt("tested apart, never in one test: ", joined_phrases(C("i_decisive"))),
     )
     ineffective = _evidence(
         "effectiveness",
-        fmt("Test ", best["test_id"], " represents this scenario and production failed all the same, so its data or "
-            "assertions may not protect the behaviour."), cited=best,
+        fmt("test ", best["test_id"], ": same scenario, yet the incident happened; doubt its checks or its data"), cited=best,
     )
-    nothing = _evidence("retrieval", F.lit("No indexed test is relevant to this scenario."))
+    nothing = _evidence("retrieval", F.lit("retrieval: no test for this scenario"))
     full = F.concat(
         stated, behaved,
         F.when(best.isNull(), F.array(nothing)).otherwise(
@@ -150,47 +147,38 @@ def missing_conditions() -> Column:
 
 
 def gap_summary() -> Column:
-    """EXP-4."""
+    """EXP-4: what is uncovered, most specific fact first."""
     open_pairs = _unmatched_pairs()
     first = F.get(open_pairs, F.lit(0))
-    shown = join_words(F.transform(open_pairs, lambda p: F.concat(p["key"], F.lit(" = "), p["value"])))
+    shown = F.array_join(F.transform(open_pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"])), "; ")
     feature = C("feature")
     return (
-        F.when(C("combination"), fmt("No test combines ", joined_phrases(C("i_decisive")), " in the ", feature, " flow."))
-        .when(
-            C("gap_type") == "WEAK_ASSERTION",
-            fmt("The ", feature, " scenario is covered (", C("best.test_id"), "), yet that test let the failure through."),
-        )
-        .when(
-            (C("gap_type") == "BOUNDARY_CONDITION") & (F.size(open_pairs) > 0),
-            fmt("No test covers the ", first["value"], " boundary of ", first["key"], "."),
-        )
-        .when(F.size(open_pairs) > 0, fmt("No test represents ", shown, " in the ", feature, " flow."))
-        .when(F.size("unmatched") > 0, fmt("No ", feature, " test exercises ", joined_phrases(C("unmatched")), "."))
-        .when(C("coverage") == "NOT_COVERED", fmt("This ", feature, " scenario has no meaningful coverage."))
-        .otherwise(fmt("The ", feature, " tests do not represent what production did."))
+        F.when(C("combination"), fmt(feature, ": untested together: ", F.array_join(phrases(C("i_decisive")), " + ")))
+        .when(C("gap_type") == "WEAK_ASSERTION", fmt(feature, ": ", C("best.test_id"), " matches the incident and stays green"))
+        .when((C("gap_type") == "BOUNDARY_CONDITION") & (F.size(open_pairs) > 0), fmt(feature, ": limit ", first["key"], "=", first["value"], " untested"))
+        .when(F.size(open_pairs) > 0, fmt(feature, ": untested values: ", shown))
+        .when(F.size("unmatched") > 0, fmt(feature, ": untested behaviour: ", F.array_join(phrases(C("unmatched")), "; ")))
+        .when(C("coverage") == "NOT_COVERED", fmt(feature, ": nothing comparable in the catalogue"))
+        .otherwise(fmt(feature, ": catalogue and incident disagree in substance"))
     )
 
 
 def gap_detail() -> Column:
-    """EXP-5."""
+    """EXP-5: the nearest test in numbers."""
     used = F.filter("best.conds", lambda c: c["test_value"].isNotNull())
-    values = F.array_join(F.transform(used, lambda c: F.concat(c["key"], F.lit(" = "), c["test_value"])), ", ")
-    return F.when(C("best").isNull(), F.lit("Retrieval found no related test, so nothing indexed could have caught this.")).otherwise(
+    values = F.array_join(F.transform(used, lambda c: F.concat(c["key"], F.lit("="), c["test_value"])), "; ")
+    return F.when(C("best").isNull(), F.lit("nearest test: none")).otherwise(
         F.concat_ws(
-            " ",
-            fmt("Closest test: ", C("best.described"), "."),
-            F.when(F.size(used) > 0, fmt("It uses ", values, ".")),
-            F.when(
-                F.size("best.missing_signals") > 0,
-                fmt("It does not exercise ", joined_phrases(C("best.missing_signals")), "."),
-            ),
+            " | ",
+            fmt("nearest test: ", C("best.described")),
+            F.when(F.size(used) > 0, fmt("its inputs: ", values)),
+            F.when(F.size("best.missing_signals") > 0, fmt("not in it: ", F.array_join(phrases(C("best.missing_signals")), "; "))),
         )
     )
 
 
 def explanation() -> Column:
-    """EXP-6."""
+    """EXP-6: the verdict and the fact it rests on."""
     feature, verdict, best = C("feature"), C("coverage"), C("best")
     differing = F.filter(
         F.zip_with("best.conds", "condition_detail", lambda b, d: F.when(
@@ -201,29 +189,21 @@ def explanation() -> Column:
     )
     first = F.get(differing, F.lit(0))
     absent = with_status(C("best.conds"), "ABSENT")["key"]
+    listed = lambda names: F.array_join(names, "; ")
     return (
-        F.when(C("corpus_size") == 0, F.lit(
-            "No tests are indexed, so nothing can be said about coverage; load a test source first."))
-        .when((verdict == "INSUFFICIENT_EVIDENCE") & (C("n_candidates") == 0), F.lit(
-            "Too few tests are indexed to judge this scenario; load a test source before drawing a conclusion."))
+        F.when(C("corpus_size") == 0, F.lit("Undecided: the catalogue is empty."))
+        .when((verdict == "INSUFFICIENT_EVIDENCE") & (C("n_candidates") == 0), F.lit("Undecided: retrieval returned no test to compare with."))
         .when(verdict == "INSUFFICIENT_EVIDENCE", F.lit(
-            "The report does not say which conditions led to the failure, so coverage cannot be determined. Add input "
-            "values, the affected field or the order of events, and analyse it again."))
-        .when(best.isNull() | ((verdict == "NOT_COVERED") & ~C("any_feature_match")), fmt(
-            "No indexed test represents this ", feature, " scenario; nothing in the suite would have caught it."))
-        .when(C("combination"), fmt(
-            "Tests cover ", joined_phrases(C("i_decisive")), " one at a time, production failed on the combination, and "
-            "no single test drives them together."))
+            "Undecided: neither a value nor a behaviour could be read from the report. A field name, a value or a sequence of steps would decide it."))
+        .when(best.isNull() | ((verdict == "NOT_COVERED") & ~C("any_feature_match")), fmt("Gap: the catalogue has nothing on this part of ", feature, "."))
+        .when(C("combination"), fmt("Gap: each of ", listed(phrases(C("i_decisive"))), " has a test of its own; the incident needed all at once."))
         .when(verdict == "COVERED", fmt(
-            "Test ", best["test_id"], " represents this scenario with its production conditions; since production failed, "
-            "the weakness is in that test's assertions or data."))
+            "Covered: ", best["test_id"], " runs with the incident's values. As the incident happened anyway, look at what that test checks and feeds."))
         .when(F.size(differing) > 0, fmt(
-            "Tests exercise ", first["key"], " (", join_words(first["tested"]), ") but not the value ", first["value"],
-            " seen in production."))
-        .when(F.size("unmatched") > 0, fmt(
-            "Tests cover the ", feature, " flow, none exercises ", joined_phrases(C("unmatched")), "."))
-        .when(F.size(absent) > 0, fmt("Related ", feature, " tests exist, none sets ", join_words(absent), "."))
-        .otherwise(fmt("Related ", feature, " tests exist, none reproduces this scenario closely enough."))
+            "Partly covered: ", first["key"], " was ", first["value"], " in the incident; tests try ", F.array_join(first["tested"], "; "), "."))
+        .when(F.size("unmatched") > 0, fmt("Partly covered: within ", feature, ", untested behaviour is ", listed(phrases(C("unmatched"))), "."))
+        .when(F.size(absent) > 0, fmt("Partly covered: within ", feature, ", no test mentions ", listed(absent), "."))
+        .otherwise(fmt("Partly covered: tests of ", feature, " come near without the incident's circumstances."))
     )
 
 
@@ -239,6 +219,11 @@ def _advice(title: Column, rationale, inputs: list[tuple] = (), given: Column |
     return F.struct(as_col(title).alias("title"), as_col(rationale).alias("rationale"), pairs.alias("suggested_inputs"))
 
 
+def _case(*what) -> Column:
+    """Title of a proposed test case of the incident's feature."""
+    return fmt("New case, ", C("feature"), ": ", *what)
+
+
 def _boundary_advice() -> Column:
     """EXP-7a: boundary values around the first numeric production condition."""
     target = F.get(F.filter("condition_detail", lambda c: c["num"].isNotNull()), F.lit(0))
@@ -249,38 +234,35 @@ def _boundary_advice() -> Column:
         proposed = F.when(percent, F.array(F.lit(0.0), F.lit(50.0), F.lit(100.0))).otherwise(
             F.array(F.lit(0.0), upper, upper + 1)
         )
-        tested = F.array_join(F.transform(c["numbers"], number_text), ", ")
+        tested = F.array_join(F.transform(c["numbers"], number_text), "; ")
         fresh = F.filter(proposed, lambda v: ~F.array_contains(c["numbers"], v))
         steps = F.transform(
             fresh,
             lambda v: let(
                 F.concat(number_text(v), F.when(percent, F.lit("%")).otherwise(F.lit(""))),
                 lambda shown: _advice(
-                    fmt("Add a ", C("feature"), " test with ", c["key"], " = ", shown),
-                    fmt("Production failed at ", c["key"], " = ", c["value"], "; the suite tests ",
-                        F.when(tested != "", tested).otherwise(F.lit("no value")), "."),
+                    _case(c["key"], "=", shown),
+                    fmt("incident: ", c["value"], ", tests: ", F.when(tested != "", tested).otherwise(F.lit("-"))),
                     [(c["key"], shown)],
                 ),
             ),
         )
         return F.concat(steps, F.array(
-            _advice(fmt("Add a negative-value test for ", c["key"]), "A usual boundary that nothing tests.", [(c["key"], "-1")]),
-            _advice(fmt("Add an invalid-value test for ", c["key"]), "Bad input should be refused early.", [(c["key"], "invalid")]),
+            _advice(_case(c["key"], " below zero"), "the sign of a number is a limit too", [(c["key"], "-1")]),
+            _advice(_case(c["key"], " that is no number"), "shows where unreadable input is stopped", [(c["key"], "invalid")]),
         ))
 
     return F.when(target.isNotNull(), let(target, around))
 
 
-def _empty_advice(value: str, article: str) -> Column:
+def _empty_advice(value: str) -> Column:
     """EXP-7b."""
-    keys = _keys_or("the affected field")
+    keys = _keys_or("input")
     first = F.get(keys, F.lit(0))
     return F.concat(
         F.transform(F.slice(keys, 1, 3), lambda k: _advice(
-            fmt("Add a ", C("feature"), f" test with {article} ", k),
-            fmt(f"Production failed with {article} ", k, " and no indexed test tries it."), [(k, value)])),
-        F.array(_advice(fmt("Add white-space and zero-length variants for ", first),
-                        "They tend to fail apart from null and are seldom covered.", [(first, "'   '")])),
+            _case(k, f" {value}"), fmt(f"seen {value} in the incident, in no test: ", k), [(k, value)])),
+        F.array(_advice(_case(first, " of blanks only"), "absent, empty and blank take different paths", [(first, "'   '")])),
     )
 
 
@@ -295,78 +277,62 @@ def _condition_value(key: str) -> Column:
 
 def _sequence_advice() -> Column:
     """EXP-7c."""
-    steps = F.when(F.size("i_decisive") > 0, F.array_join(phrases(C("i_decisive")), " -> ")).otherwise(
-        F.lit("the production sequence")
-    )
+    steps = F.when(F.size("i_decisive") > 0, F.array_join(phrases(C("i_decisive")), " > ")).otherwise(F.lit("steps of the incident"))
     return F.array(
-        _advice(fmt("Add an end-to-end ", C("feature"), " test for: ", steps),
-                "The steps are tested apart; one test has to drive all of them and check the resulting state.",
-                [("sequence", steps)]),
-        _advice(fmt("Assert the final ", C("feature"), " state once the sequence is done"),
-                "Sequence bugs show as a wrong end state rather than an exception."),
-        _advice("Add a variant whose second attempt arrives before the first is settled",
-                "Timing is what sets this apart from a plain retry.", [("delay", "0ms")]),
+        _advice(_case("in this order: ", steps), "single steps have tests, the order has none", [("sequence", steps)]),
+        _advice(_case("compare the state behind the last step"), "a wrong order rarely raises, it leaves wrong data"),
+        _advice(_case("start the next step while one is pending"), "overlap is another case than repetition", [("delay", "0ms")]),
     )
 
 
 def _concurrency_advice() -> Column:
     return F.array(
-        _advice(fmt("Add a concurrent ", C("feature"), " test with two simultaneous requests"),
-                "Production failed under concurrent access and no indexed test runs in parallel.", [("concurrency", "2")]),
-        _advice("Assert that exactly one operation wins and the state stays consistent",
-                "Races usually produce duplicates, not errors."),
+        _advice(_case("the same call from two workers"), "tests run one caller, the incident had several", [("concurrency", "2")]),
+        _advice(_case("count results after parallel calls"), "look for doubled or lost records"),
     )
 
 
 def _permission_advice() -> Column:
-    role = F.coalesce(_condition_value("role"), _condition_value("permission"), F.lit("the affected role"))
+    role = F.coalesce(_condition_value("role"), _condition_value("permission"), F.lit("each role"))
     return F.array(
-        _advice(fmt("Add a ", C("feature"), " authorisation test for ", role),
-                "Production used an authorisation path no indexed test takes.", [("role", role)]),
-        _advice(fmt("Add a negative authorisation test asserting ", C("feature"), " is denied"),
-                "Suites often test what is allowed and leave out what is denied.", [("expected_status", "403")]),
-        _advice("Cover the combination of role and resource ownership", "Permission defects come from combinations."),
+        _advice(_case("as ", role), "this right is exercised by no test", [("role", role)]),
+        _advice(_case("refusal without the right"), "grants say nothing about refusals", [("expected_status", "403")]),
+        _advice(_case("own and foreign records for each role"), "rights depend on role and owner"),
     )
 
 
 def _unicode_advice() -> Column:
-    key = F.get(_keys_or("the text field"), F.lit(0))
+    key = F.get(_keys_or("text"), F.lit(0))
     return F.array(
-        _advice(fmt("Add a ", C("feature"), " test with non-ASCII input for ", key),
-                "Production failed on Unicode input and indexed tests use ASCII only.", [(key, "Ωüñí çödé 测试")]),
-        _advice(fmt("Add emoji and combining-character variants for ", key),
-                "Multi-byte sequences break length and truncation logic.", [(key, "áb\U0001F600")]),
-        _advice("Assert that text survives storage and the response unchanged", "Corruption often appears after storage."),
+        _advice(_case(key, " in several scripts"), "tests keep to one alphabet", [(key, "Žluťoučký Ελλάδα שלום")]),
+        _advice(_case(key, " with characters of several code points"), "length in bytes, code points and glyphs differs", [(key, "é\U0001F468‍\U0001F469")]),
+        _advice(_case("write and read back the same text"), "a round trip shows a wrong encoding"),
     )
 
 
 def _error_advice() -> Column:
-    cause = F.when(F.coalesce("root_cause", F.lit("")) != "", C("root_cause")).otherwise(F.lit("the production failure mode"))
+    cause = F.when(F.coalesce("root_cause", F.lit("")) != "", C("root_cause")).otherwise(F.lit("cause of the incident"))
     return F.array(
-        _advice(fmt("Add a ", C("feature"), " test that reproduces ", cause), "Only the success path is covered."),
-        _advice("Assert a handled error response instead of an unhandled exception",
-                "The system should degrade predictably.", [("expected_status", "4xx")]),
+        _advice(_case("provoke: ", cause), "tests end well, the incident did not"),
+        _advice(_case("expect a defined error"), "callers rely on a code, not on a stack trace", [("expected_status", "4xx")]),
     )
 
 
 def _assertion_advice() -> Column:
-    test = F.coalesce(C("best.test_id"), F.lit("the covering test"))
-    symptom = F.when(F.coalesce("failure", F.lit("")) != "", C("failure")).otherwise(F.lit("the observed failure"))
+    test = F.coalesce(C("best.test_id"), F.lit("matching test"))
+    symptom = F.when(F.coalesce("failure", F.lit("")) != "", C("failure")).otherwise(F.lit("symptom of the incident"))
     return F.array(
-        _advice(fmt("Strengthen the assertions in ", test), "The test passes without checking what broke."),
-        _advice(fmt("Assert the exact production symptom: ", symptom), "Ties the test to the incident it must prevent."),
-        _advice(fmt("Replace synthetic data in ", test, " with production-like values"),
-                "Unlike data is a common reason a green test misses a defect."),
+        _advice(fmt(test, ": check more of the result"), "green although the scenario broke"),
+        _advice(fmt(test, ": fail on: ", symptom), "makes the incident visible to this test"),
+        _advice(fmt(test, ": feed recorded input"), "made-up input can avoid the fault"),
     )
 
 
 def _invalid_advice() -> Column:
-    key = F.get(_keys_or("the affected input"), F.lit(0))
+    key = F.get(_keys_or("input"), F.lit(0))
     return F.array(
-        _advice(fmt("Add a ", C("feature"), " validation test for malformed ", key),
-                "Production received input the suite never supplies.", [(key, "invalid")]),
-        _advice(fmt("Assert a clear validation error for ", key), "Input should be refused at the boundary.",
-                [("expected_status", "400")]),
+        _advice(_case("unreadable ", key), "tests send well-formed input only", [(key, "invalid")]),
+        _advice(_case("message for unreadable ", key), "names the field and leaves data unchanged", [("expected_status", "400")]),
     )
 
 
@@ -375,34 +341,30 @@ def _generic_advice() -> Column:
     pairs = F.transform("i_conds", lambda c: pair(c["key"], c["value"]))
     failure = F.coalesce("failure", F.lit(""))
     subject = F.when(F.coalesce("title", F.lit("")) != "", C("title")).otherwise(failure)
-    title = F.when(F.size("i_conds") > 0, fmt("Add a ", C("feature"), " test for ", pairs_text(pairs))).otherwise(
-        fmt("Add a ", C("feature"), " test reproducing: ", subject)
-    )
+    title = F.when(F.size("i_conds") > 0, _case(pairs_text(pairs))).otherwise(_case(subject))
     first = F.array(_advice(title, C("gap_summary"), given=pairs))
-    more = F.array(_advice(fmt("Assert the production symptom is prevented: ", failure), "Makes the incident an executable check."))
+    more = F.array(_advice(_case("absence of: ", failure), "the symptom itself as an expectation"))
     return F.when(failure != "", F.concat(first, more)).otherwise(first)
 
 
 def _report_advice() -> Column:
-    area = F.when((F.coalesce("feature", F.lit("")) != "") & (C("feature") != fixed.UNKNOWN), C("feature")).otherwise(F.lit("affected"))
+    area = F.when((F.coalesce("feature", F.lit("")) != "") & (C("feature") != fixed.UNKNOWN), C("feature")).otherwise(F.lit("system"))
     return F.array(
-        _advice("Record the input values or conditions that triggered the failure",
-                "Coverage compares production conditions with test inputs; without any there is nothing to compare."),
-        _advice(fmt("Name the specific ", area, " behaviour that broke"),
-                "One symptom can come from many scenarios with different tests."),
-        _advice("Analyse this incident again once the details are added", "The analysis is reproducible."),
+        _advice("Report: add field names with their values", "a verdict compares values"),
+        _advice(fmt("Report: say which step of the ", area, " went wrong"), "equal symptoms have different causes"),
+        _advice("Then run the analysis over the longer report", "stored verdicts are replaced"),
     )
 
 
-def recommendations() -> Column:
-    """EXP-7/LIM-6: at most six, by gap type."""
+def recommendations(most: int = fixed.MAX_RECOMMENDATIONS) -> Column:
+    """EXP-7/LIM-6: by gap type, the first ``most``."""
     gap = C("gap_type")
     chosen = (
         F.when(C("coverage") == "INSUFFICIENT_EVIDENCE", _report_advice())
         .when(gap == "BOUNDARY_CONDITION", F.coalesce(_boundary_advice(), _generic_advice()))
-        .when(gap == "NULL_HANDLING", _empty_advice("null", "a null"))
-        .when(gap == "EMPTY_INPUT", _empty_advice("empty", "an empty"))
-        .when(gap == "MISSING_FIELD", _empty_advice("missing", "an omitted"))
+        .when(gap == "NULL_HANDLING", _empty_advice("null"))
+        .when(gap == "EMPTY_INPUT", _empty_advice("empty"))
+        .when(gap == "MISSING_FIELD", _empty_advice("missing"))
         .when(gap.isin("RETRY_BEHAVIOR", "TIMEOUT_BEHAVIOR", "STATE_TRANSITION", "INPUT_COMBINATION"), _sequence_advice())
         .when(gap == "CONCURRENCY", _concurrency_advice())
         .when(gap == "PERMISSION", _permission_advice())
@@ -412,7 +374,7 @@ def recommendations() -> Column:
         .when(gap.isin("WEAK_ASSERTION", "TEST_DATA_MISMATCH"), _assertion_advice())
         .otherwise(_generic_advice())
     )
-    return F.when(C("corpus_size") > 0, F.slice(chosen, 1, fixed.MAX_RECOMMENDATIONS))
+    return F.when(C("corpus_size") > 0, F.slice(chosen, 1, most))
 
 
 def with_explanations(df: DataFrame) -> DataFrame:
@@ -454,7 +416,7 @@ def gap_rows(df: DataFrame, key: str = "incident_id") -> DataFrame:
 
 def guarded_text(proposed: Column, original: Column, candidate_ids: Column) -> Column:
     """DEC-19: accept a rewritten explanation only when every test id it names is
-    a candidate; at most 1 200 characters."""
+    a candidate."""
     named = F.regexp_extract_all(proposed, F.lit("(" + fixed.TEST_ID_PATTERN + ")"), F.lit(1))
     sound = (F.trim(proposed) != "") & (F.size(F.array_except(named, candidate_ids)) == 0)
-    return F.when(sound, F.substring(F.trim(proposed), 1, 1200)).otherwise(original)
+    return F.when(sound, F.trim(proposed)).otherwise(original)

@@ -21,7 +21,7 @@ from gapengine.functions.extract import (
 )
 from gapengine.functions.text import expand_compat, normalize, normalized_value, strings, trimmed
 from gapengine.operators.index import classify
-from gapengine.operators.sizing import boosted_join, materialise
+from gapengine.operators.sizing import materialise
 
 
 def _supplied(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -69,13 +69,13 @@ def normalize_incidents(
     given = F.when(F.size("signals") > 0, F.col("signals")) if "signals" in raw.columns else F.lit(None).cast("array<string>")
     return df.select(
         "incident_id",
-        F.substring("title", 1, 240).alias("title"),
+        "title",
         "description",
         "feature",
         F.coalesce(_supplied(raw, "scenario"), scenario_of(F.col("feature"), F.col("conditions"), F.col("title"))).alias("scenario"),
         "conditions",
-        F.substring("failure", 1, 500).alias("failure"),
-        F.substring("root_cause", 1, 500).alias("root_cause"),
+        "failure",
+        "root_cause",
         F.coalesce(given, detect_signals(F.col("corpus"))).alias("signals"),
         F.upper(F.coalesce(_supplied(raw, "severity"), severity_of(F.col("corpus")))).alias("severity"),
         (occurred_at(F.col("occurred_at")) if "occurred_at" in raw.columns else F.lit(None).cast("timestamp")).alias("occurred_at"),
@@ -91,18 +91,19 @@ def _with_feature(df: DataFrame, weights: DataFrame, counts: DataFrame) -> DataF
     guessed = classify(df.select("incident_id", "corpus"), weights, counts, "incident_id", "corpus").select(
         "incident_id", F.col("feature").alias("guessed")
     )
-    df = boosted_join(df.withColumn("_norm", normalized_value(F.col("_feature"))), known, "_norm", "left")
+    df = df.withColumn("_norm", normalized_value(F.col("_feature"))).join(known, "_norm", "left")
     return df.join(guessed, "incident_id", "left").withColumn(
         "feature", F.when(F.col("_feature").isNotNull(), F.coalesce("known", F.initcap("_feature"))).otherwise(F.col("guessed"))
     )
 
 
-def merge_proposed_facts(incidents: DataFrame, proposed: DataFrame, features: DataFrame) -> DataFrame:
+def merge_proposed_facts(incidents: DataFrame, proposed: DataFrame, features: DataFrame, most: int | None = None) -> DataFrame:
     """DEC-18: facts proposed from outside, each backed by a verbatim quote.
 
     A quote needs six characters and must occur in the normalised report; a
     feature is taken only when none is known and it is a known name; conditions
-    and signals only add keys not there yet, six of each in proposal order;
+    and signals only add keys not there yet, the first ``most`` of each in
+    proposal order (default: all);
     signals come from the closed set.  ``provenance`` tells what was accepted.
     """
     name = F.lower(trimmed(F.col("name")))
@@ -113,7 +114,7 @@ def merge_proposed_facts(incidents: DataFrame, proposed: DataFrame, features: Da
     quoted = (F.length(trimmed(F.col("quote"))) >= fixed.MIN_QUOTE_CHARS) & F.col("haystack").contains(
         normalized_value(F.col("quote"))
     )
-    key = F.when(F.col("kind") == "condition", F.substring(F.replace(name, F.lit(" "), F.lit("_")), 1, 40)).otherwise(name)
+    key = F.when(F.col("kind") == "condition", F.replace(name, F.lit(" "), F.lit("_"))).otherwise(name)
     fresh = F.when(
         F.col("kind") == "condition",
         (key != "") & F.col("value").isNotNull() & ~F.array_contains(F.col("conditions")["key"], key),
@@ -126,15 +127,13 @@ def merge_proposed_facts(incidents: DataFrame, proposed: DataFrame, features: Da
         offered.filter(F.col("kind").isin("condition", "signal")).withColumn("key", key).filter(fresh & quoted)
         .withColumn("again", F.row_number().over(once)).filter("again = 1")
         .withColumn("turn", F.row_number().over(turn))
-        .filter(
-            F.col("turn") <= F.when(F.col("kind") == "condition", fixed.MAX_PROPOSED_CONDITIONS).otherwise(fixed.MAX_PROPOSED_SIGNALS)
-        )
+        .filter(F.lit(most is None) | (F.col("turn") <= F.lit(most)))
     )
     is_condition = F.col("kind") == "condition"
     gathered = accepted.groupBy("incident_id").agg(
-        F.array_sort(F.collect_list(F.when(is_condition, F.struct("turn", "key", F.substring("value", 1, 80).alias("value"))))).alias("c"),
+        F.array_sort(F.collect_list(F.when(is_condition, F.struct("turn", "key", "value")))).alias("c"),
         F.array_sort(F.collect_list(F.when(~is_condition, F.struct("turn", "key")))).alias("s"),
-        F.array_sort(F.collect_list(pair(F.concat_ws(":", "kind", "key"), F.substring("quote", 1, 200)))).alias("p"),
+        F.array_sort(F.collect_list(pair(F.concat_ws(":", "kind", "key"), F.col("quote")))).alias("p"),
     )
     named = (
         proposed.filter("kind = 'feature'").join(features.select(F.col("feature").alias("name")).distinct(), "name", "left_semi")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapengine import fixed
 from gapengine.functions.extract import exercised_signals, no_pairs, test_text
-from gapengine.operators.sizing import boosted_join, materialise
+from gapengine.operators.sizing import materialise
 from gapengine.functions.text import explode_tokens, synonym_map, strings
 
 
@@ -230,11 +230,11 @@ def classify(
         words = explode_tokens(by_document(items, key), key, text).select(key, "term")
     words = words.select(key, "term").distinct()
     scores = (
-        boosted_join(words, weights, "term")
+        words.join(weights, "term")
         .groupBy(key, "feature").agg(F.round(F.sum("weight"), 6).alias("score"))
         .filter("score > 0")
     )
-    ranked = boosted_join(scores, counts, "feature").groupBy(key).agg(
+    ranked = scores.join(counts, "feature").groupBy(key).agg(
         F.max(F.struct("score", "n_tests", "feature")).alias("best")
     )
     return items.select(key).join(ranked, key, "left").select(

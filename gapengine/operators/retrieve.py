@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapengine import fixed
 from gapengine.functions.text import explode_tokens, synonym_map
-from gapengine.operators.sizing import BROADCAST_ROWS, blocks_for, boosted_join, fits_broadcast, materialise
+from gapengine.operators.sizing import BROADCAST_ROWS, blocks_for, materialise
 
-# Queries per pass of the vector search: 10 000 x 512 doubles are 40 MB per task.
-VECTOR_BLOCK = 10_000
+# Rows of a block of queries and of a part of the documents: with 512 buckets
+# the two matrices and their product take some 60 MB.
+VECTOR_BLOCK = 1_000
+DOCUMENT_PART = 4_000
 
 
 def blend(
@@ -77,7 +79,7 @@ def bm25_scores(
     documents is no hot spot: its postings stay spread with their documents.
     """
     k1, b = fixed.BM25_K1, fixed.BM25_B
-    weighted = boosted_join(queries, stats.select("term", "idf"), "term").select(
+    weighted = queries.join(stats.select("term", "idf"), "term").select(
         key, "term", (F.col("weight") * F.col("idf")).alias("w")
     ).join(F.broadcast(corpus.select("avg_length")))  # one row
 
@@ -98,11 +100,9 @@ def lexical_best(scores: DataFrame, key: str = "query_id") -> DataFrame:
     return scores.groupBy(key).agg(F.max("bm25").alias("best"), F.count(F.lit(1)).alias("n_hits"))
 
 
-def scaled_lexical(scores: DataFrame, best: DataFrame, few_queries: bool, key: str = "query_id") -> DataFrame:
-    """RNK-2: scores divided by their query's maximum.  ``few_queries`` says the
-    one-row-per-query side was checked to fit a broadcast."""
-    side = best.select(key, "best")
-    return scores.join(F.broadcast(side) if few_queries else side, key).withColumn(
+def scaled_lexical(scores: DataFrame, best: DataFrame, key: str = "query_id") -> DataFrame:
+    """RNK-2: scores divided by their query's maximum."""
+    return scores.join(best.select(key, "best"), key).withColumn(
         "lexical", F.when(F.col("best") > 0, F.col("bm25") / F.col("best")).otherwise(F.col("bm25"))
     ).drop("best")
 
@@ -111,7 +111,7 @@ def matched_terms(kept: DataFrame, terms: DataFrame, queries: DataFrame, key: st
     """RNK-9: the first literal query terms a kept document holds, in query order."""
     literal = queries.filter(F.col("pos").isNotNull()).select(key, "term", "pos")
     found = (
-        boosted_join(terms.select("doc_id", "term"), kept.select(key, "doc_id"), "doc_id")
+        terms.select("doc_id", "term").join(kept.select(key, "doc_id"), "doc_id")
         .join(literal, [key, "term"])
         .groupBy(key, "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t"))
     )
@@ -127,26 +127,31 @@ def best_per_query(df: DataFrame, k: int, key: str = "query_id", score: str = "s
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "query_id", block: int = VECTOR_BLOCK) -> DataFrame:
+def vector_top_k(
+    vectors: DataFrame, queries: DataFrame, k: int, key: str = "query_id", block: int = VECTOR_BLOCK, part: int = DOCUMENT_PART
+) -> DataFrame:
     """JON-2/RNK-1: exact inner-product top k over packed vectors.
 
-    Every task multiplies its batches with a block of query vectors and keeps
-    the k best per query, so k rows per query and task leave it.  Similarities
-    are rounded to 9 digits so that equal texts tie whatever the batch layout.
+    Documents lie in parts and queries in blocks, both of bounded size; every
+    part meets every block in one group, which multiplies the two and keeps the
+    k best documents per query.  Nothing passes through the driver.
+    Similarities are rounded to 9 digits so that equal texts tie whatever the
+    layout.
     """
     key_type = queries.schema[key].dataType.simpleString()
     doc_type = vectors.schema["doc_id"].dataType.simpleString()
-    n_blocks = blocks_for(queries.count(), block)
-    out = None
-    for b in range(n_blocks):
-        part = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == b)
-        # At most about ``block`` query vectors of a fixed dimension reach the driver.
-        local = part.select(key, "buckets", "weights").toPandas()
-        top = vectors.select("doc_id", "buckets", "weights").mapInPandas(
-            _scorer(local, key, k), f"{key} {key_type}, doc_id {doc_type}, similarity double"
-        )
-        out = top if out is None else out.unionByName(top)
-    return best_per_query(out, k, key)
+    vectors, queries = vectors.select("doc_id", "buckets", "weights"), queries.select(key, "buckets", "weights")
+    n_parts, n_blocks = blocks_for(vectors.count(), part), blocks_for(queries.count(), block)
+
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = vectors.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int")).withColumn("block", numbers(n_blocks))
+    right = queries.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")).withColumn("part", numbers(n_parts))
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(
+        _scorer(key, k), f"{key} {key_type}, doc_id {doc_type}, similarity double"
+    )
+    return best_per_query(found, k, key)
 
 
 def _dense(rows: pd.DataFrame, width: int) -> np.ndarray:
@@ -158,32 +163,22 @@ def _dense(rows: pd.DataFrame, width: int) -> np.ndarray:
     return m
 
 
-def _scorer(queries: pd.DataFrame, key: str, k: int):
-    width = 1 + max((int(max(b)) for b in queries["buckets"] if len(b)), default=0)
-    matrix, ids = _dense(queries, width), queries[key].to_numpy()
-
-    def run(batches):
-        best = None
-        for rows in batches:
-            # Buckets no query of the block touches cannot add to a product.
-            inside = [np.asarray(x) < width for x in rows["buckets"]]
-            rows = rows.assign(
-                buckets=[np.asarray(x)[m] for x, m in zip(rows["buckets"], inside)],
-                weights=[np.asarray(x)[m] for x, m in zip(rows["weights"], inside)],
-            )
-            sims = np.round(_dense(rows, width) @ matrix.T, 9)
-            found = pd.DataFrame(
-                {
-                    key: np.tile(ids, len(rows)),
-                    "doc_id": np.repeat(rows["doc_id"].to_numpy(), len(ids)),
-                    "similarity": sims.ravel(),
-                }
-            )
-            both = found if best is None else pd.concat([best, found], ignore_index=True)
-            both = both.sort_values([key, "similarity", "doc_id"], ascending=[True, False, True], kind="stable")
-            best = both.groupby(key, sort=False).head(k)
-        if best is not None:
-            yield best
+def _scorer(key: str, k: int):
+    def run(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if docs.empty or queries.empty:
+            return pd.DataFrame({key: [], "doc_id": [], "similarity": []})
+        docs = docs.sort_values("doc_id", ignore_index=True)
+        width = 1 + max((int(max(b)) for rows in (docs, queries) for b in rows["buckets"] if len(b)), default=0)
+        sims = np.round(_dense(queries, width) @ _dense(docs, width).T, 9)
+        keep = min(k, len(docs))
+        # The k-th best value of each query, and all documents that reach it: ties are cut by id.
+        floor = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1]
+        q, d = np.nonzero(sims >= floor[:, None])
+        order = np.lexsort((d, -sims[q, d], q))
+        q, d = q[order], d[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < keep
+        q, d = q[first], d[first]
+        return pd.DataFrame({key: queries[key].to_numpy()[q], "doc_id": docs["doc_id"].to_numpy()[d], "similarity": sims[q, d]})
 
     return run
 
@@ -210,9 +205,9 @@ def scored_candidates(
     t_keys, t_signals.
     """
     hits = hits.select(key, "doc_id", "similarity")
-    both = boosted_join(lexical.select(key, "doc_id", "lexical"), hits, [key, "doc_id"], "left")
+    both = lexical.select(key, "doc_id", "lexical").join(hits, [key, "doc_id"], "left")
     pairs = both.unionByName(vector_only(hits, terms, words, key).withColumn("lexical", F.lit(0.0)))
-    pairs = boosted_join(pairs.join(docs, "doc_id"), incidents, key)
+    pairs = pairs.join(docs, "doc_id").join(incidents, key)
     vector_score = F.greatest(F.lit(0.0), F.coalesce("similarity", F.lit(0.0)))
     match = (F.col("i_feature") != "") & (F.col("i_feature") == F.col("t_feature"))
     return pairs.select(
@@ -232,7 +227,7 @@ def scored_candidates(
 def vector_only(hits: DataFrame, terms: DataFrame, words: DataFrame, key: str = "query_id") -> DataFrame:
     """Vector hits whose document holds none of the query's terms."""
     sharing = (
-        boosted_join(terms.select("doc_id", "term"), hits.select(key, "doc_id"), "doc_id")
+        terms.select("doc_id", "term").join(hits.select(key, "doc_id"), "doc_id")
         .join(words.select(key, "term"), [key, "term"]).select(key, "doc_id").distinct()
     )
     return hits.join(sharing, [key, "doc_id"], "left_anti")
@@ -315,7 +310,6 @@ def retrieve(
     result: kept ones by score, witnesses after them.  Two passes over the
     scored pairs (maxima, then finalists); everything after is small.
     """
-    few = fits_broadcast(queries)
     words = materialise(query_terms(queries, key))
     hits = materialise(
         vector_top_k(
@@ -325,7 +319,7 @@ def retrieve(
     )
     scores = bm25_scores(index.doc_terms, index.term_stats, index.corpus, words, key)
     best = materialise(lexical_best(scores, key))
-    lexical = scaled_lexical(scores, best, few, key)
+    lexical = scaled_lexical(scores, best, key)
     final = materialise(
         finalists(scored_candidates(lexical, hits, index.doc_terms, words, incidents, docs, key), key, top_k)
     )

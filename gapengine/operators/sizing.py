@@ -1,49 +1,43 @@
-"""Size checks behind every explicit broadcast, and order-safe numbering."""
+"""Stored intermediate tables, block counts, and order-safe numbering."""
 
 from __future__ import annotations
 
 import math
-import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# Rows a relation may hold to be sent to every task: far below what one
-# executor can keep, and never dependent on how large the other side is.
+# Rows of a block that is sent to every task: far below what one executor can
+# keep, and never dependent on how large the other side is.
 BROADCAST_ROWS = 500_000
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; stops counting right after."""
-    return df.limit(rows + 1).count() <= rows
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder the cluster names in
+    ``spark.checkpoint.dir``, which the driver and all executors share.  Only
+    where that is unset, as in tests, the warehouse serves instead."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate").rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a reduced result that several later steps read.
+    """A reduced result that several later steps read, written as Parquet to the
+    shared folder and read back.
 
-    A reliable checkpoint in the folder the cluster names; it survives lost
-    executors.  Only a local session without such a folder gets one of its own.
+    Cuts the lineage, survives lost executors, and gives later plans real sizes,
+    column pruning and pushed filters, so Spark itself picks broadcast joins.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    void = {f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if f.dataType.typeName() == "void"}
+    df = df.withColumns(void) if void else df
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def blocks_for(n_rows: int, rows: int = BROADCAST_ROWS) -> int:
     return max(1, math.ceil(n_rows / rows))
 
 
-def boosted_join(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast when its size allows, else shuffled (where
-    adaptive execution splits skewed partitions)."""
-    return big.join(F.broadcast(small) if fits_broadcast(small, rows) else small, on, how)
-
-
 def ordinal_within(
     df: DataFrame, keys: list[str], order: list[Column], coarse: Column | None = None, name: str = "ordinal"
 ) -> DataFrame:

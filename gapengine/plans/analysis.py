@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from gapengine.functions.extract import incident_text, no_pairs
 from gapengine.functions.text import normalize, strings
-from gapengine.operators.compare import compare_pairs, describe_columns, prepare_incidents, prepare_tests, summarise
+from gapengine.operators.compare import PER_WORD, compare_pairs, describe_columns, prepare_incidents, prepare_tests, summarise
 from gapengine.operators.decide import decide
 from gapengine.operators.explain import with_explanations
 from gapengine.operators.index import Index, build_index, searchable_tests, with_index_signals
 from gapengine.operators.retrieve import retrieve
-from gapengine.operators.sizing import boosted_join, materialise
+from gapengine.operators.sizing import materialise
 
 TEXT = ("title", "feature", "scenario", "description", "failure", "root_cause", "conditions", "signals")
 
@@ -52,10 +52,10 @@ def with_distinctive_terms(prepared: DataFrame, index: Index) -> DataFrame:
     return prepared.join(rare, "incident_id", "left").withColumn("i_distinctive", F.coalesce("i_distinctive", strings([])))
 
 
-def compared(prepared: DataFrame, candidates: DataFrame, tests: DataFrame, condition_words: int = 4) -> DataFrame:
+def compared(prepared: DataFrame, candidates: DataFrame, tests: DataFrame, condition_words: int) -> DataFrame:
     """JON-4/DEC-5: the candidates with both sides' attributes, compared.  Only
     tests that are candidates are prepared."""
-    needed = boosted_join(tests, candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    needed = tests.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     t = prepare_tests(needed)
     t = t.select(
         "doc_id", "test_id", F.col("feature").alias("test_feature"), "source", "line_number",
@@ -68,7 +68,7 @@ def compared(prepared: DataFrame, candidates: DataFrame, tests: DataFrame, condi
 
 def analyze(
     incidents: DataFrame, tests: DataFrame, index: Index, *, similar: DataFrame | None = None,
-    feature_points: dict | None = None, explain: bool = True, condition_words: int = 4,
+    feature_points: dict | None = None, explain: bool = True,
 ) -> DataFrame:
     """DEC-15: one analysed row per incident.
 
@@ -78,7 +78,8 @@ def analyze(
     candidates, stats = candidates_for(incidents, tests, index)
     candidates = materialise(candidates)
     prepared = materialise(with_distinctive_terms(prepare_incidents(incidents), index))
-    pairs = compared(prepared, candidates, tests, condition_words).withColumn("feature", F.col("test_feature"))
+    most = prepared.agg(F.coalesce(F.max(F.size("i_conds")), F.lit(0))).first()[0]
+    pairs = compared(prepared, candidates, tests, max(1, -(-most // PER_WORD))).withColumn("feature", F.col("test_feature"))
     summary = summarise(
         pairs, "incident_id", detail=True,
         best_columns=("test_id", "feature", "source", "line_number", "described"),

@@ -18,7 +18,7 @@ from gapengine.operators.compare import (
 )
 from gapengine.operators.decide import decide
 from gapengine.operators.retrieve import blend
-from gapengine.operators.sizing import boosted_join
+from gapengine.operators.sizing import materialise
 from gapengine.functions.text import strings
 
 PROFILE = ["l_partkey", "feature", "discount_pct", "tax_pct"]
@@ -144,15 +144,15 @@ def compared_profiles(incidents: DataFrame, tests: DataFrame) -> DataFrame:
     pairs = profile_pairs(incidents, tests)
     keys = [*CASE, *[f"test_{c}" for c in CASE]]
     cases = compared_cases(incidents, tests, pairs).select(*keys, *SLIM)
-    return boosted_join(pairs, cases, keys).withColumn("rank_key", F.col("test_id"))
+    return pairs.join(materialise(cases), keys).withColumn("rank_key", F.col("test_id"))
 
 
 def profile_verdicts(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """One decided row per incident profile."""
-    incidents = incident_profiles(incident_lines(spark, sf_dir) if lines is None else lines)
-    summary = summarise(
-        compared_profiles(incidents, test_profiles(test_lines(spark, sf_dir))), PROFILE, detail=False
-    )
+    # Both tables are read several times below and are far smaller than the lines.
+    incidents = materialise(incident_profiles(incident_lines(spark, sf_dir) if lines is None else lines))
+    tests = materialise(test_profiles(test_lines(spark, sf_dir)))
+    summary = summarise(compared_profiles(incidents, tests), PROFILE, detail=False)
     corpus = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'").agg(
         F.count(F.lit(1)).alias("corpus_size")
     )

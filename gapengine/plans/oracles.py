@@ -365,11 +365,11 @@ ORACLES = {
     "incident_fields": r"""WITH u AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS d, lower(text) AS low FROM conversations WHERE role = 'user'),
       l AS (SELECT *, regexp_replace(split_part(d, chr(10), 1), '^\s+|\s+$', '', 'g') AS line FROM u)
       SELECT conv_id, turn,
-        CASE WHEN length(line) <= 120 THEN line ELSE substr(split_part(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1), 1), 1, 120) END AS title,
+        CASE WHEN length(line) <= 120 THEN line ELSE split_part(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1), 1) END AS title,
         CASE """ + " ".join(
         "WHEN " + " OR ".join(f"contains(low, '{k}')" for k in keys) + f" THEN '{level}'" for level, keys in fixed.SEVERITY_KEYWORDS
     ) + r""" ELSE 'MEDIUM' END AS severity,
-        substr(regexp_replace(split_part(regexp_replace(d, '([.!?])\s', '\1' || chr(1), 'g'), chr(1), 1), '^\s+|\s+$', '', 'g'), 1, 240) AS scenario FROM l""",
+        regexp_replace(split_part(regexp_replace(d, '([.!?])\s', '\1' || chr(1), 'g'), chr(1), 1), '^\s+|\s+$', '', 'g') AS scenario FROM l""",
     "code_labels": """WITH c AS (SELECT upper(event_type) AS code FROM events UNION ALL SELECT upper(replace(o_orderpriority, '-', '_')) FROM orders)
       SELECT code, array_to_string(list_transform(string_split(replace(lower(code), '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label, count(*) AS n FROM c GROUP BY code""",
     "sentence_signals": f"WITH {SENTENCES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_signals(norm('sentence'))} AS signals FROM s",

@@ -10,7 +10,7 @@ from gapengine.operators import catalogue as cat, history as hist, index as ix,
 from gapengine.operators.compare import with_status
 from gapengine.operators.decide import confidence_level, recurrence_points, risk_level, risk_points
 from gapengine.operators.incidents import merge_proposed_facts
-from gapengine.operators.sizing import fits_broadcast, materialise, ordinal_within
+from gapengine.operators.sizing import materialise, ordinal_within
 from gapengine.plans import derived as d, report
 from gapengine.plans.derived import table
 

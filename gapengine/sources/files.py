@@ -13,9 +13,6 @@ from gapengine.schemas import RAW_INCIDENT_SCHEMA, TEST_SCHEMA, TRUTH_SCHEMA
 from gapengine.sources.code import read_source_files
 from gapengine.sources.tabular import read_exports
 
-MAX_FILE_BYTES = 2_000_000
-MAX_DEPTH = 25
-
 
 def file_kind(path: Column) -> Column:
     """SRC-14: which reader a path belongs to, NULL for none."""
@@ -27,11 +24,11 @@ def file_kind(path: Column) -> Column:
     )
 
 
-def list_files(files: DataFrame, root: str = "", max_bytes: int = MAX_FILE_BYTES, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def list_files(files: DataFrame, root: str = "", max_bytes: int | None = None, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """SRC-6: ``(accepted, issues)`` of a file listing ``(path, length, ...)``.
 
-    Works on path and length alone, so on a ``binaryFile`` scan the content of
-    rejected files is never used.
+    Works on path and length alone.  No file is left out for its size or depth
+    unless the caller sets a limit; one that is becomes an issue.
     """
     path = F.regexp_replace("path", r"^file:/*", "/")
     relative = F.ltrim(F.when(path.startswith(root), path.substr(len(root) + 1, 100_000)).otherwise(path), F.lit("/"))
@@ -40,11 +37,13 @@ def list_files(files: DataFrame, root: str = "", max_bytes: int = MAX_FILE_BYTES
     hidden = F.exists(folders, lambda d: d.isin(fixed.IGNORED_DIRECTORIES) | d.startswith("."))
     seen = (
         files.withColumns({"source": relative, "kind": file_kind(relative)})
-        .filter(F.col("kind").isNotNull() & ~hidden & (F.size(folders) < max_depth))
-    )
-    reason = F.when(F.col("length") == 0, F.lit("File is empty.")).when(
-        F.col("length") > max_bytes, F.lit(f"File exceeds the {max_bytes} byte limit; skipped.")
+        .filter(F.col("kind").isNotNull() & ~hidden)
     )
+    reason = F.when(F.col("length") == 0, F.lit("File is empty."))
+    if max_bytes is not None:
+        reason = reason.when(F.col("length") > max_bytes, F.lit(f"File exceeds the {max_bytes} byte limit; skipped."))
+    if max_depth is not None:
+        reason = reason.when(F.size(folders) >= max_depth, F.lit(f"File lies {max_depth} folders deep or deeper; skipped."))
     marked = seen.withColumn("reason", reason)
     issues = marked.filter("reason is not null").select(F.col("source").alias("location"), "reason", F.lit("WARNING").alias("severity"))
     return marked.filter("reason is null").drop("reason"), issues

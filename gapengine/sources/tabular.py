@@ -73,13 +73,13 @@ def rows_to_tests(rows: DataFrame, framework: str = "csv") -> DataFrame:
         (F.col("name") != "") | (F.col("scenario") != "") | (F.col("expected") != "")
     )
     stem = F.regexp_replace(F.regexp_replace("source", r"^.*/", ""), r"\.[^.]*$", "")
-    prefix = F.coalesce(F.when(stem != "", F.substring(F.upper(stem), 1, 12)), F.lit("CSV"))
+    prefix = F.coalesce(F.when(stem != "", F.upper(stem)), F.lit("CSV"))
     df = df.withColumn(
         "test_id", F.when(F.col("id") != "", F.col("id")).otherwise(F.concat_ws("-", prefix, F.col("row_no").cast("string")))
     )
     df = df.withColumn(
         "_name",
-        F.coalesce(*[F.when(x != "", x) for x in (F.col("name"), F.substring("scenario", 1, 120), F.col("test_id"))]),
+        F.coalesce(*[F.when(x != "", x) for x in (F.col("name"), F.col("scenario"), F.col("test_id"))]),
     )
     split_tags = F.filter(F.transform(F.split("tags", "[;,|]+"), trimmed), lambda t: t != "")
     stated = [F.col(x) for x in ("_name", "scenario", "expected")]
@@ -138,19 +138,13 @@ def read_rows(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             delimiter = csv.Sniffer().sniff(text[:8192], delimiters=fixed.CSV_DELIMITERS).delimiter
         except csv.Error:
             delimiter = "\t" if path.lower().endswith(".tsv") else ","
-        header, mapping, taken = None, {}, 0
+        header, mapping = None, {}
         try:
             for n, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), start=1):
                 if header is None:
-                    if n > fixed.HEADER_SCAN_ROWS:
-                        break
                     if any(c.strip() for c in row) and usable(row):
                         header, mapping = n, map_headers(row)
                     continue
-                if taken >= fixed.MAX_DATA_ROWS:
-                    yield issue(source, f"Only the first {fixed.MAX_DATA_ROWS} rows of a file are read.")
-                    break
-                taken += 1
                 if any(c.strip() for c in row):
                     values = {f: row[i] if i < len(row) else "" for f, i in mapping.items()}
                     yield {"source": source, "row_no": n, **{f: values.get(f, "") for f in FIELDS}, "issue": None}
