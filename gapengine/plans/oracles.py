@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gapengine import fixed
+from gapengine.plans import explained, records
 
 
 def _quoted(values) -> str:
@@ -438,3 +439,24 @@ ORACLES = {
       FROM customer JOIN o ON c_custkey = o_custkey AND p = 1 WHERE o_orderstatus = 'F' AND (contains(lower(c_name), '9') OR contains(CAST(c_custkey AS VARCHAR), '9'))
       ORDER BY c_custkey DESC LIMIT 25 OFFSET 5""",
 }
+
+_SYNONYMS = ", ".join(f"('{head}', '{word}')" for head, words in fixed.SYNONYMS.items() for word in words.split())
+ORACLES |= records.ORACLES | explained.oracles(LINES, VERDICTS) | {
+    "url_features": f"""WITH s AS (SELECT page_id, list_filter(string_split(replace(url, '\\', '/'), '/'), lambda x: trim(x) <> '') AS p FROM pages),
+      n AS (SELECT page_id, list_concat(list_reverse(p[:len(p) - 1]), [regexp_replace(p[len(p)], '\.[^.]*$', '')]) AS p FROM s),
+      f AS (SELECT page_id, list_filter(list_transform(p, lambda x: array_to_string(list_transform(list_filter(string_split_regex({norm('x')}, '[^A-Za-z0-9]+'),
+              lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_quoted(fixed.FEATURE_NOISE)}))[:{fixed.FEATURE_WORDS}],
+              lambda w: upper(w[1]) || lower(w[2:])), ' ')), lambda x: x <> '') AS l FROM n)
+      SELECT page_id, coalesce(l[1], '{fixed.UNKNOWN}') AS feature FROM f""",
+    "synonym_expansion": f"""WITH {SENTENCES}, y(head, word) AS (VALUES {_SYNONYMS}),
+      d AS (SELECT sentence, count(*) AS lines FROM s GROUP BY sentence), t AS (SELECT sentence, lines, list_distinct({toks('sentence')}) AS t FROM d),
+      w AS (SELECT sentence, unnest(t) AS word FROM t), e AS (SELECT sentence, word FROM w UNION SELECT sentence, y.word FROM w JOIN y ON w.word = head),
+      c AS (SELECT sentence, count(*) AS n_expanded FROM e GROUP BY sentence)
+      SELECT CAST(len(t) AS BIGINT) AS n_tokens, coalesce(n_expanded, 0) AS n_expanded, CAST(sum(lines) AS BIGINT) AS n
+      FROM t LEFT JOIN c USING (sentence) GROUP BY ALL""",
+    "proposed_facts": f"""WITH b AS (SELECT conv_id, turn, role, text, lag(text) OVER w AS earlier, lag(turn) OVER w = turn - 1 AS follows
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+      SELECT conv_id || '-' || turn AS incident_id, CASE WHEN role = 'system' THEN 'Unknown' ELSE role END AS feature,
+        concat_ws(';', CASE WHEN length(trim(text)) >= {fixed.MIN_QUOTE_CHARS} THEN role || '=x' END,
+          CASE WHEN follows AND length(trim(earlier)) >= {fixed.MIN_QUOTE_CHARS} AND contains({norm('text')}, trim({norm('earlier')})) THEN role || '_before=x' END) AS conditions FROM b""",
+}

@@ -11,7 +11,7 @@ from gapengine.operators.compare import with_status
 from gapengine.operators.decide import confidence_level, recurrence_points, risk_level, risk_points
 from gapengine.operators.incidents import merge_proposed_facts
 from gapengine.operators.sizing import materialise, ordinal_within
-from gapengine.plans import derived as d, report
+from gapengine.plans import derived as d, explained, records, report
 from gapengine.plans.derived import table
 
 C = F.col
@@ -528,15 +528,14 @@ def incident_page(spark, sf):
 
 
 def proposed_facts(spark, sf):
-    """DEC-18: passages proposed as evidence for documents, accepted when quoted."""
+    """DEC-18: every turn is offered its own words and those of the turn before as quotes; both count where they stand in it."""
     docs = table(spark, sf, "conversations").select(
         F.concat_ws("-", C("conv_id").cast("string"), C("turn").cast("string")).alias("incident_id"), "text", "role",
         C("conv_id"), "turn")
     incidents = docs.select("incident_id", F.lit("Unknown").alias("feature"), X.no_pairs().alias("conditions"), T.strings([]).alias("signals"), C("text").alias("description"))
-    # Each turn is offered its own opening words and those of the turn before.
-    head = docs.select("conv_id", (C("turn") + 1).alias("turn"), F.substring("text", 1, 12).alias("quote"))
-    own = docs.select("incident_id", F.substring("text", 1, 12).alias("quote"), C("role").alias("name"), F.lit(1).alias("ord"))
-    other = docs.join(head, ["conv_id", "turn"]).select("incident_id", "quote", F.concat(C("role"), F.lit(" before")).alias("name"), F.lit(2).alias("ord"))
+    before = docs.select("conv_id", (C("turn") + 1).alias("turn"), C("text").alias("quote"))
+    own = docs.select("incident_id", C("text").alias("quote"), C("role").alias("name"), F.lit(1).alias("ord"))
+    other = docs.join(before, ["conv_id", "turn"]).select("incident_id", "quote", F.concat(C("role"), F.lit(" before")).alias("name"), F.lit(2).alias("ord"))
     facts = own.unionByName(other).select("incident_id", F.lit("condition").alias("kind"), "name", F.lit("x").alias("value"), "quote", "ord")
     offered = docs.select("incident_id", F.lit("feature").alias("kind"), C("role").alias("name"), F.lit(None).cast("string").alias("value"), F.lit("").alias("quote"), F.lit(0).alias("ord"))
     known = docs.filter("role <> 'system'").select(C("role").alias("feature"))
@@ -554,4 +553,5 @@ QUERIES = [
     embedding_top, hybrid_candidates, learned_vocabulary, classified_documents, classification_matrix,
     latest_analyses, coverage_counts, event_patterns, streamed_patterns, family_recurrence, event_recurrence,
     family_page, status_updates, dashboard, recent_runs, incident_page, proposed_facts,
+    *explained.QUERIES, *records.QUERIES,
 ]
