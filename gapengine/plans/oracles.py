@@ -433,7 +433,7 @@ ORACLES = {
       UNION ALL SELECT 'tests_indexed', count(*) FROM part
       UNION ALL SELECT 'patterns', count(*) FROM (SELECT family_key FROM obs GROUP BY 1 HAVING count(DISTINCT incident_id) >= 3)
       UNION ALL SELECT lower(c), (SELECT count(*) FROM l WHERE coverage = c) FROM (VALUES ('COVERED'), ('PARTIAL'), ('NOT_COVERED'), ('INSUFFICIENT_EVIDENCE')) v(c)""",
-    "recent_runs": "SELECT event_id, event_type, ts FROM events ORDER BY ts DESC LIMIT 6",
+    "recent_runs": "SELECT event_id, event_type, ts FROM events ORDER BY ts DESC, event_id LIMIT 6",
     "incident_page": """WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS p FROM orders)
       SELECT c_custkey AS incident_id, c_name AS title, c_mktsegment AS feature, 'COVERED' AS coverage, o_orderkey AS analysis_id
       FROM customer JOIN o ON c_custkey = o_custkey AND p = 1 WHERE o_orderstatus = 'F' AND (contains(lower(c_name), '9') OR contains(CAST(c_custkey AS VARCHAR), '9'))

@@ -513,7 +513,7 @@ def dashboard(spark, sf):
 
 def recent_runs(spark, sf):
     """LIM-4."""
-    return report.recent(table(spark, sf, "events").select("event_id", "event_type", "ts"), "ts", 6)
+    return report.recent(table(spark, sf, "events").select("event_id", "event_type", "ts"), "ts", 6, "event_id")
 
 
 def incident_page(spark, sf):

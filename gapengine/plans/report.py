@@ -50,6 +50,6 @@ def dashboard(incidents: DataFrame, analyses: DataFrame, gaps: DataFrame, tests:
     return counts
 
 
-def recent(df: DataFrame, by: str, limit: int) -> DataFrame:
-    """LIM-3/LIM-4: newest first."""
-    return df.orderBy(F.desc(by)).limit(limit)
+def recent(df: DataFrame, by: str, limit: int, key: str = "incident_id") -> DataFrame:
+    """LIM-3/LIM-4: newest first, equal times by ``key``."""
+    return df.orderBy(F.desc(by), key).limit(limit)

@@ -101,8 +101,8 @@ def incident_documents(docs: DataFrame) -> DataFrame:
 
 
 def pairs_of(conditions: Column) -> Column:
-    """A JSON object's members as ordered pairs (by key: JSON maps carry no order)."""
-    entries = F.array_sort(F.map_entries(conditions))
+    """A JSON object's members as pairs, in the order they are written in."""
+    entries = F.map_entries(conditions)
     return F.coalesce(
         F.transform(F.filter(entries, lambda e: e["value"].isNotNull()), lambda e: pair(e["key"], e["value"])),
         F.array().cast("array<struct<key:string,value:string>>"),

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gapengine import fixed
 from gapengine.functions.extract import extract_conditions, feature_from_source, first_wins, infer_scenario, pair, detect_signals
-from gapengine.functions.text import normalize, strings, trimmed
+from gapengine.functions.text import expand_compat, normalize, strings, trimmed
+from gapengine.operators.sizing import materialise
 
 FIELDS = list(fixed.COLUMN_ALIASES)
 
@@ -72,6 +73,7 @@ def rows_to_tests(rows: DataFrame, framework: str = "csv") -> DataFrame:
     df = rows.select("source", "row_no", *[c[f].alias(f) for f in FIELDS]).filter(
         (F.col("name") != "") | (F.col("scenario") != "") | (F.col("expected") != "")
     )
+    df = expand_compat(df, "name", "scenario", "expected", "feature", "inputs")
     stem = F.regexp_replace(F.regexp_replace("source", r"^.*/", ""), r"\.[^.]*$", "")
     prefix = F.coalesce(F.when(stem != "", F.upper(stem)), F.lit("CSV"))
     df = df.withColumn(
@@ -120,7 +122,12 @@ def named_columns(table: DataFrame, source: str) -> DataFrame:
 ROW_SCHEMA = "source string, row_no int, " + ", ".join(f"`{f}` string" for f in FIELDS) + ", issue string"
 
 
-def read_rows(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def rows_reader(header_rows: int):
+    """SRC-1 inside a task; the header stands in one of the first ``header_rows`` rows."""
+    return lambda files: read_rows(files, header_rows)
+
+
+def read_rows(files: Iterator[pd.DataFrame], header_rows: int) -> Iterator[pd.DataFrame]:
     """SRC-1 inside a task: each file's rows under canonical names, or its issue."""
     import csv
     import io
@@ -142,6 +149,8 @@ def read_rows(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
             for n, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), start=1):
                 if header is None:
+                    if n > header_rows:
+                        break
                     if any(c.strip() for c in row) and usable(row):
                         header, mapping = n, map_headers(row)
                     continue
@@ -166,9 +175,10 @@ def read_rows(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(block, columns=columns)
 
 
-def read_exports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC-1: ``(tests, issues)`` of delimited exports given as ``(path, content)``."""
-    rows = files.select("path", "content").mapInPandas(read_rows, ROW_SCHEMA)
+def read_exports(files: DataFrame, header_rows: int = 10) -> tuple[DataFrame, DataFrame]:
+    """SRC-1: ``(tests, issues)`` of delimited exports given as ``(path, content)``.
+    Files are parsed once, for both results; all their rows are read."""
+    rows = materialise(files.select("path", "content").mapInPandas(rows_reader(header_rows), ROW_SCHEMA))
     issues = rows.filter("issue is not null").select(
         F.col("source").alias("location"), F.col("issue").alias("reason"), F.lit("ERROR").alias("severity")
     )

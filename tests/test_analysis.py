@@ -119,3 +119,12 @@ def test_guarded_text(spark):
     df = spark.sql("select 'see TC-1' as a, 'see TC-9' as b, 'old' as o, array('TC-1') as ids")
     row = df.select(*[guarded_text(F.col(c), F.col("o"), F.col("ids")) for c in "ab"]).first()
     assert tuple(row) == ("see TC-1", "old")
+
+
+def test_any_number_of_conditions(spark, loaded):
+    tests, index, _, _ = loaded
+    many = [{"key": f"field_{i}", "value": str(i)} for i in range(40)]
+    raw = spark.createDataFrame([("M1", "Checkout failed.", "Checkout", many)], "incident_id string, text string, feature string, conditions array<struct<key:string,value:string>>")
+    incidents, _ = normalize_incidents(raw, index.vocabulary, index.feature_counts)
+    row = analyze(incidents, tests, index).first()
+    assert len(row.facts) == 40 and row.coverage in ("PARTIAL", "NOT_COVERED")

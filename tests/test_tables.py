@@ -8,7 +8,7 @@ from gapengine.operators import catalogue as cat, history as hist, patterns as p
 from gapengine.operators.sizing import ordinal_within
 from gapengine.schemas import OBSERVATION_SCHEMA
 from gapengine.sources.files import incident_documents, read_catalogue, scan
-from gapengine.sources.tabular import map_headers, usable
+from gapengine.sources.tabular import map_headers, rows_to_tests, usable
 
 
 def test_headers():
@@ -124,3 +124,28 @@ def test_witnesses(spark):
 
 def test_empty_strings_helper(spark):
     assert spark.range(1).select(strings([])).first()[0] == []
+
+
+def test_no_row_limit_in_exports(spark, tmp_path):
+    for name, n in (("small", 60_000), ("large", 300_000)):
+        lines = "\n".join(f"{name}-{i},checks value {i} of the long export" for i in range(n))
+        (tmp_path / f"{name}.csv").write_text("ID,Title\n" + lines + "\n")
+    tests, issues = read_catalogue(scan(spark, str(tmp_path)), F.lit(1).cast("bigint"), str(tmp_path))
+    assert {r.source: r["count"] for r in tests.groupBy("source").count().collect()} == {"small.csv": 60_000, "large.csv": 300_000}
+    assert issues.count() == 0
+
+
+def test_long_ids_stay_different(spark):
+    ids = ["x" * 130 + e for e in "ab"]
+    df = spark.createDataFrame([(1, i, n) for n, i in enumerate(ids)], "source_id bigint, test_id string, seq bigint")
+    assert {r.test_id for r in cat.unique_ids(df).collect()} == set(ids)
+
+
+def test_conditions_keep_their_written_order(spark):
+    docs = spark.createDataFrame([("a.json", '{"text":"t","conditions":{"zeta":"2","alpha":"1"}}')], "path string, value string")
+    assert [p["key"] for p in incident_documents(docs).first().conditions] == ["zeta", "alpha"]
+
+
+def test_both_sides_fold_compatibility_characters(spark):
+    rows = spark.createDataFrame([("s.csv", 1, "T", "ﬁlter by ＩＤ", "", "", "", "", "")], "source string, row_no int, id string, name string, scenario string, expected string, feature string, tags string, inputs string")
+    assert rows_to_tests(rows).first().name == "filter by ID"
