@@ -112,6 +112,22 @@ def page(df: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFr
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def counted_page(df: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
+    """LIM-1/LIM-2: a page whose rows also carry the ``total`` of all hits."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return page(df, order, limit, offset).join(F.broadcast(total))  # one row
+
+
+def test_items(tests: DataFrame) -> DataFrame:
+    """FLT-9: what a list of tests shows."""
+    return tests.select("test_id", "name", "feature", "scenario", "framework", "source", "line_number")
+
+
+def incident_items(incidents: DataFrame, shown: int = 400) -> DataFrame:
+    """FLT-9: what a list of incidents shows; the description is cut for display only."""
+    return incidents.withColumn("description", F.substring("description", 1, shown)).select("incident_id", "title", "feature", "severity", "description")
+
+
 def search_incidents(
     incidents: DataFrame, latest: DataFrame, query: str | None = None, feature: str | None = None, coverage: str | None = None
 ) -> DataFrame:

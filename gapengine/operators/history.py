@@ -100,16 +100,25 @@ def first_gap_types(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy("analysis_id").agg(F.min_by("gap_type", "gap_id").alias("gap_type"))
 
 
-def incident_detail(incidents: DataFrame, analyses: DataFrame, gaps: DataFrame, recommendations: DataFrame) -> DataFrame:
-    """JON-11: each incident with its latest analysis, gaps and recommendations.
-    An analysis has at most one gap and a gap at most six recommendations."""
+def incident_detail(
+    incidents: DataFrame, analyses: DataFrame, gaps: DataFrame, recommendations: DataFrame, evidence: DataFrame | None = None,
+    candidates: DataFrame | None = None,
+) -> DataFrame:
+    """JON-11: each incident with its latest analysis, gaps and recommendations,
+    and the evidence (analysis_id, ord, statement) and candidates (analysis_id,
+    rank_key, test_id, score) stored for it.  An analysis has at most one gap, a
+    gap few recommendations, and the candidates are those of the retrieval cut."""
     listed = recommendations.groupBy("gap_id").agg(
         F.array_sort(F.collect_list(F.struct("recommendation_id", "title", "status"))).alias("recommendations")
     )
     packed = gaps.join(listed, "gap_id", "left").groupBy("analysis_id").agg(
         F.array_sort(F.collect_list(F.struct("gap_id", "gap_type", "family_key", "recommendations"))).alias("gaps")
     )
-    return incidents.join(latest_analysis(analyses), "incident_id", "left").join(packed, "analysis_id", "left")
+    out = incidents.join(latest_analysis(analyses), "incident_id", "left").join(packed, "analysis_id", "left")
+    for name, rows, fields in (("evidence", evidence, ("ord", "statement")), ("relevant_tests", candidates, ("rank_key", "test_id", "score"))):
+        if rows is not None:
+            out = out.join(rows.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)), "analysis_id", "left")
+    return out
 
 
 def apply_status_updates(recommendations: DataFrame, updates: DataFrame) -> DataFrame:
@@ -126,6 +135,17 @@ def new_incidents(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return batch.dropDuplicates(["incident_id"]).join(stored.select("incident_id"), "incident_id", "left_anti")
 
 
+def append(df: DataFrame, path: str) -> None:
+    """SNK-7/SNK-14: analyses, gaps, recommendations and runs are only ever added."""
+    df.write.mode("append").parquet(path)
+
+
+def store_incidents(batch: DataFrame, path: str, stored: DataFrame | None = None) -> DataFrame:
+    """SNK-7: add the incidents that ``stored`` (nothing at first) does not hold yet; the table as it then is."""
+    append(batch.dropDuplicates(["incident_id"]) if stored is None else new_incidents(batch, stored), path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
 def stored_gaps_and_recommendations(gaps: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Recommendations are stored under their gap; those of a verdict without a
     gap are shown but not kept."""

@@ -82,6 +82,16 @@ def ordered(patterns: DataFrame) -> DataFrame:
     return patterns.orderBy(F.desc("incident_count"), "label")
 
 
+def strongest(patterns: DataFrame, n: int = 5) -> DataFrame:
+    """LIM-5: the first ``n``."""
+    return ordered(patterns).limit(n)
+
+
+def pattern_by_key(patterns: DataFrame, identifier: str) -> DataFrame:
+    """LIM-7: by family key or label."""
+    return patterns.filter((F.col("family_key") == identifier) | (F.col("label") == identifier))
+
+
 def pattern_points(n_incidents, worst, n_uncovered, n_gaps, n_features) -> Column:
     """AGG-15."""
     uncovered = F.when(n_uncovered / n_gaps >= 0.6, 2).when(n_uncovered > 0, 1).otherwise(0)

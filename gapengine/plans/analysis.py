@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gapengine.functions.extract import incident_text, no_pairs
 from gapengine.functions.text import normalize, strings
@@ -111,3 +111,20 @@ def relevant_tests(candidates: DataFrame, tests: DataFrame, matched: DataFrame)
     )
 
 
+CANDIDATE = (
+    "test_id STRING, name STRING, feature STRING, scenario STRING, inputs MAP<STRING, STRING>, expected_behavior STRING, source STRING, "
+    "framework STRING, line_number INT, score DOUBLE, vector_score DOUBLE, lexical_score DOUBLE, feature_match BOOLEAN, matched_terms ARRAY<STRING>"
+)
+
+
+def candidate_of(stored: Column) -> Column:
+    """TXT-41: a stored candidate's JSON as a struct; absent fields are empty, zero or false."""
+    c = F.from_json(stored, CANDIDATE)
+    texts = ("test_id", "name", "feature", "scenario", "expected_behavior", "source", "framework")
+    return F.struct(
+        *[F.coalesce(c[f], F.lit("")).alias(f) for f in texts], c["line_number"].alias("line_number"),
+        F.coalesce(c["inputs"], F.create_map().cast("map<string,string>")).alias("inputs"),
+        *[F.coalesce(c[f], F.lit(0.0)).alias(f) for f in ("score", "vector_score", "lexical_score")],
+        F.coalesce(c["feature_match"], F.lit(False)).alias("feature_match"),
+        F.coalesce(c["matched_terms"], strings([])).alias("matched_terms"),
+    )

@@ -11,7 +11,7 @@ from gapengine.operators.compare import with_status
 from gapengine.operators.decide import confidence_level, recurrence_points, risk_level, risk_points
 from gapengine.operators.incidents import merge_proposed_facts
 from gapengine.operators.sizing import materialise, ordinal_within
-from gapengine.plans import derived as d, explained, records, report
+from gapengine.plans import derived as d, explained, persisted, records, report
 from gapengine.plans.derived import table
 
 C = F.col
@@ -553,5 +553,5 @@ QUERIES = [
     embedding_top, hybrid_candidates, learned_vocabulary, classified_documents, classification_matrix,
     latest_analyses, coverage_counts, event_patterns, streamed_patterns, family_recurrence, event_recurrence,
     family_page, status_updates, dashboard, recent_runs, incident_page, proposed_facts,
-    *explained.QUERIES, *records.QUERIES,
+    *explained.QUERIES, *records.QUERIES, *persisted.QUERIES,
 ]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from gapengine import fixed
 from gapengine.operators.catalogue import catalogue_stats
 from gapengine.operators.history import coverage_counts, latest_analysis
+from gapengine.operators.patterns import strongest
 
 
 def judged_predictions(predicted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -53,3 +54,21 @@ def dashboard(incidents: DataFrame, analyses: DataFrame, gaps: DataFrame, tests:
 def recent(df: DataFrame, by: str, limit: int, key: str = "incident_id") -> DataFrame:
     """LIM-3/LIM-4: newest first, equal times by ``key``."""
     return df.orderBy(F.desc(by), key).limit(limit)
+
+
+def dashboard_sections(
+    metrics: DataFrame, stats: DataFrame, patterns: DataFrame, incidents: DataFrame, latest: DataFrame, runs: DataFrame,
+    n_patterns: int = 5, n_incidents: int = 8, n_runs: int = 6,
+) -> DataFrame:
+    """AGG-19 whole, as (section, name, value): the headline numbers, catalogue
+    counts, strongest patterns, newest incidents with their verdict (LIM-3) and
+    newest runs."""
+    newest = recent(incidents, "arrival", n_incidents).join(latest.select("incident_id", "coverage"), "incident_id", "left")
+    text = lambda c: F.col(c).cast("string")
+    return (
+        metrics.select(F.lit("metric").alias("section"), F.col("metric").alias("name"), text("n").alias("value"))
+        .unionByName(stats.select(F.lit("catalogue").alias("section"), F.concat_ws(":", "dimension", "value").alias("name"), text("n").alias("value")))
+        .unionByName(strongest(patterns, n_patterns).select(F.lit("pattern").alias("section"), F.col("label").alias("name"), text("incident_count").alias("value")))
+        .unionByName(newest.select(F.lit("incident").alias("section"), text("incident_id").alias("name"), F.coalesce("coverage", F.lit("")).alias("value")))
+        .unionByName(recent(runs, "started_at", n_runs, "run_id").select(F.lit("run").alias("section"), text("run_id").alias("name"), text("kind").alias("value")))
+    )
