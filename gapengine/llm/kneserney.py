@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructType
 
 from gapengine.llm.common import C, id_filter, in_filter, stored
 from gapengine.llm.wordhash import Words, buffers, chunks
@@ -95,15 +95,38 @@ def trigrams(symbol: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return code[inside], text[: len(code)][inside]
 
 
+def _coded(text_at: int, bitmap=None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if bitmap is not None:
+                batch = batch.filter(pa.array(in_filter(bitmap.value, batch.column(0))))
+            data, offsets = buffers(batch.column(text_at))
+            for a, b in chunks(offsets):
+                symbol, counts = symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                lines = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(symbol.astype(np.uint8))])
+                yield pa.record_batch([*batch.slice(a, b - a).columns[:text_at], lines], names=[*batch.schema.names[:text_at], "symbols"])
+
+    return run
+
+
+def coded(rows: DataFrame, bitmap=None) -> DataFrame:
+    """The columns before the last, a text, and its words' symbols, one byte each.  ``bitmap``: only rows whose first column may be in it."""
+    *kept, _ = rows.schema.fields
+    return rows.mapInArrow(_coded(len(kept), bitmap), StructType(kept).add("symbols", BinaryType()))
+
+
+def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = buffers(column)
+    return data.astype(np.int64), np.diff(offsets)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS**3, dtype=np.int64)
     for batch in batches:
-        data, offsets = buffers(batch.column(0))
-        for a, b in chunks(offsets):
-            symbol, counts = symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            code, text = trigrams(symbol, counts)
-            code = code[counts[text] > 0]
-            total += np.bincount(code, minlength=len(total))
+        symbol, counts = _lines(batch.column(0))
+        code, text = trigrams(symbol, counts)
+        total += np.bincount(code[counts[text] > 0], minlength=len(total))
     seen = np.flatnonzero(total)
     yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["code", "n"])
 
@@ -126,9 +149,9 @@ def _order(counts: DataFrame, context: Column) -> tuple[DataFrame, DataFrame]:
     return shares, contexts.select("context", (C("left") / C("total")).alias("weight"))
 
 
-def train(texts: DataFrame) -> np.ndarray:
-    """Log probabilities of all trigrams, [first, second, third], from a column of texts."""
-    counts = stored(texts.mapInArrow(_counted, "code bigint, n bigint").groupBy(C("code").alias("ngram")).agg(F.sum("n").alias("n")))
+def train(lines: DataFrame) -> np.ndarray:
+    """Log probabilities of all trigrams, [first, second, third], from one column of symbols (see ``coded``)."""
+    counts = stored(lines.mapInArrow(_counted, "code bigint, n bigint").groupBy(C("code").alias("ngram")).agg(F.sum("n").alias("n")))
     # Lower orders count in how many different contexts an n-gram occurs.
     pairs = stored(counts.groupBy((C("ngram") % SYMBOLS**2).alias("ngram")).agg(F.count(F.lit(1)).alias("n")))
     singles = pairs.groupBy((C("ngram") % SYMBOLS).alias("ngram")).agg(F.count(F.lit(1)).alias("n"))
@@ -145,26 +168,29 @@ def train(texts: DataFrame) -> np.ndarray:
     return np.log(lower).astype(np.float32)
 
 
-def _passing(bitmap):
+def _log_perplexity(logs: np.ndarray, symbol: np.ndarray, counts: np.ndarray) -> pa.Array:
+    code, text = trigrams(symbol, counts)
+    total = np.bincount(text, weights=logs[code].astype(np.float64), minlength=len(counts))
+    return pa.array(np.round(-total / (counts + 1), 6), mask=counts == 0)
+
+
+def _scored_lines(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_filter(bitmap.value, batch.column(0))))
+            symbol, counts = _lines(batch.column(1))
+            yield pa.record_batch([batch.column(0), pa.array(counts), _log_perplexity(shared.value, symbol, counts)], names=["lang", "n_words", "log_perplexity"])
 
     return run
 
 
 def _scored(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value
         for batch in batches:
             data, offsets = buffers(batch.column(text_at))
             for a, b in chunks(offsets):
                 symbol, counts = symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                code, text = trigrams(symbol, counts)
-                total = np.bincount(text, weights=logs[code].astype(np.float64), minlength=b - a)
-                log = np.round(-total / (counts + 1), 6)
                 yield pa.record_batch(
-                    [*batch.slice(a, b - a).columns, pa.array(counts), pa.array(log, mask=counts == 0)],
+                    [*batch.slice(a, b - a).columns, pa.array(counts), _log_perplexity(shared.value, symbol, counts)],
                     names=[*batch.schema.names, "n_words", "log_perplexity"],
                 )
 
@@ -200,12 +226,12 @@ def with_quality(
     docs = docs.drop("n_words", "log_perplexity", "threshold", "kept")
     rows = docs.select(C(id_col).cast("bigint").alias("id"), C(lang_col).cast("string").alias("lang"), C(text_col).cast("string").alias("text"))
     ids = trusted.select(C(id_col).cast("bigint").alias("id")).filter(C("id").isNotNull()).distinct()
-    # Of the other texts only few reach the shuffle of the join.
+    # Texts stay where they are: a byte for each word of the trusted ones, and of few others, reaches the join.
     bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    learned = stored(rows.mapInArrow(_passing(bitmap), rows.schema).join(ids, "id", "left_semi").select("lang", "text"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(learned.select("text")))
+    learned = stored(coded(rows, bitmap).join(ids, "id", "left_semi").select("lang", "symbols"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(learned.select("symbols")))
     language = F.coalesce(F.concat(F.lit("l"), C("lang")), F.lit(""))
-    known = _with_scores(learned, shared, "text").filter(C("n_words") >= full_words)
+    known = learned.mapInArrow(_scored_lines(shared), "lang string, n_words bigint, log_perplexity double").filter(C("n_words") >= full_words)
     known = known.select(language.alias("language"), F.round("log_perplexity", 3).alias("x"))
     cut = [F.percentile("x", 0.5).alias("middle"), F.percentile("x", quantile).alias("high")]
     cuts = stored(known.rollup("language").agg(*cut))

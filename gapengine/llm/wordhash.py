@@ -52,10 +52,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts and the n + 1 offsets into them; nulls are empty."""
+    """Bytes (UTF-8 of a text) of all values and the n + 1 offsets into them; nulls are empty."""
     if column.null_count:
-        column = column.fill_null("")
-    big = pa.types.is_large_string(column.type)
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    big = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     if offsets is None:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

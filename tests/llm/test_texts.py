@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapengine.llm import licences, pii
-from gapengine.llm.kneserney import SYMBOLS, score_quality, symbols, train
+from gapengine.llm.kneserney import SYMBOLS, coded, score_quality, symbols, train
 from gapengine.llm.mixing import document_hash, mix_sources, with_mix
 from gapengine.llm.pages import common_lines, main_text, page_lines
 from gapengine.llm.pieces import Pieces, decode_pieces, encode_pieces
@@ -177,7 +177,7 @@ def test_perspectives(spark):
 
 def test_language_model_is_a_distribution_and_follows_its_formula(spark, docs_of):
     texts = ["the cat sat on the mat.", "the dog sat on the log.", "a cat and a dog ran", "the the the cat", ""] * 3
-    logs = train(spark.createDataFrame([(t,) for t in texts], "text string")).reshape(SYMBOLS**2, SYMBOLS)
+    logs = train(coded(spark.createDataFrame([(t,) for t in texts], "text string"))).reshape(SYMBOLS**2, SYMBOLS)
     assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
     from collections import Counter
 
