@@ -8,6 +8,8 @@ shuffled, after map-side combining.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -267,17 +269,21 @@ def with_index_signals(tests: DataFrame) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, feature: str = "feature", vocabulary_text: str = "vocabulary_text") -> Index:
-    """AGG-24: all retrieval tables of documents ``(doc_id, text, feature)``."""
+def build_index(
+    docs: DataFrame, feature: str = "feature", vocabulary_text: str = "vocabulary_text",
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+) -> Index:
+    """AGG-24: all retrieval tables of documents ``(doc_id, text, feature)``.
+    ``embed`` (UDF-2) turns (doc_id, text) into (doc_id, buckets, weights)
+    instead of the hashed features."""
     if vocabulary_text not in docs.columns:
         docs = docs.withColumn(vocabulary_text, F.concat_ws(" ", "text", feature))
     terms, corpus, stats = lexical_index(docs)
     buckets = materialise(raw_buckets(weighted_features(docs)))
     idf = materialise(bucket_idf(buckets, corpus))
     weights, counts = vocabulary(feature_words(docs, feature, vocabulary_text))
-    return Index(
-        terms, stats, corpus, packed_vectors(weighted_vectors(buckets, idf, corpus)), idf, weights, counts
-    )
+    vectors = packed_vectors(weighted_vectors(buckets, idf, corpus)) if embed is None else embed(docs.select("doc_id", "text"))
+    return Index(terms, stats, corpus, vectors, idf, weights, counts)
 
 
 SCHEMA_VERSION = 1

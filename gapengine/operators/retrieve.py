@@ -8,6 +8,8 @@ and only each query's best rows per task are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -166,7 +168,8 @@ def _dense(rows: pd.DataFrame, width: int) -> np.ndarray:
 def _scorer(key: str, k: int):
     def run(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or queries.empty:
-            return pd.DataFrame({key: [], "doc_id": [], "similarity": []})
+            return pd.DataFrame({key: queries[key].iloc[:0].reset_index(drop=True), "doc_id": docs["doc_id"].iloc[:0].reset_index(drop=True),
+                                 "similarity": np.zeros(0)})
         docs = docs.sort_values("doc_id", ignore_index=True)
         width = 1 + max((int(max(b)) for rows in (docs, queries) for b in rows["buckets"] if len(b)), default=0)
         sims = np.round(_dense(queries, width) @ _dense(docs, width).T, 9)
@@ -178,7 +181,8 @@ def _scorer(key: str, k: int):
         q, d = q[order], d[order]
         first = np.arange(len(q)) - np.searchsorted(q, q) < keep
         q, d = q[first], d[first]
-        return pd.DataFrame({key: queries[key].to_numpy()[q], "doc_id": docs["doc_id"].to_numpy()[d], "similarity": sims[q, d]})
+        column = lambda ids, rows: pd.Series(ids.to_numpy()[rows], dtype=None if ids.dtype.kind in "iuf" else object)
+        return pd.DataFrame({key: column(queries[key], q), "doc_id": column(docs["doc_id"], d), "similarity": sims[q, d]})
 
     return run
 
@@ -302,21 +306,22 @@ def signal_witnesses(final: DataFrame, kept: DataFrame, key: str = "query_id") -
 
 
 def retrieve(
-    index, queries: DataFrame, incidents: DataFrame, docs: DataFrame, key: str = "query_id", top_k: int = fixed.TOP_K
+    index, queries: DataFrame, incidents: DataFrame, docs: DataFrame, key: str = "query_id", top_k: int = fixed.TOP_K,
+    search: Callable[[DataFrame, DataFrame, int, str], DataFrame] = vector_top_k, embed: Callable[[DataFrame], DataFrame] | None = None,
+    oversample: int = fixed.VECTOR_OVERSAMPLE,
 ) -> tuple[DataFrame, DataFrame]:
     """RNK-1..5 end to end: ``(candidates, stats)``.
 
     ``queries``: key, text.  Candidates carry ``rank_key``, their place in the
-    result: kept ones by score, witnesses after them.  Two passes over the
+    result: kept ones by score, witnesses after them.  ``search`` (UDF-3) finds
+    the ``top_k * oversample`` nearest documents, (key, doc_id, similarity);
+    ``embed`` (UDF-2) turns (key, text) into (key, buckets, weights) and must be
+    the one the index was built with.  Two passes over the
     scored pairs (maxima, then finalists); everything after is small.
     """
     words = materialise(query_terms(queries, key))
-    hits = materialise(
-        vector_top_k(
-            index.vectors, query_vectors(queries, index.bucket_idf, index.corpus, key),
-            top_k * fixed.VECTOR_OVERSAMPLE, key,
-        )
-    )
+    asked = query_vectors(queries, index.bucket_idf, index.corpus, key) if embed is None else embed(queries)
+    hits = materialise(search(index.vectors, asked, top_k * oversample, key))
     scores = bm25_scores(index.doc_terms, index.term_stats, index.corpus, words, key)
     best = materialise(lexical_best(scores, key))
     lexical = scaled_lexical(scores, best, key)

@@ -459,18 +459,17 @@ def event_patterns(spark, sf):
 
 def streamed_patterns(spark, sf):
     """STR-1/STR-2: the same patterns, reached by streaming the events in."""
-    import tempfile
     import uuid
 
-    from gapengine.streaming.intake import start_intake
+    from gapengine.operators.sizing import shared_folder
+    from gapengine.streaming.intake import current_patterns, start_intake
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    run = f"{root}/intake-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/intake-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     q = start_intake(stream, _event_observations, f"{run}/observations", f"{run}/patterns", f"{run}/checkpoint")
     q.awaitTermination()
-    return _pattern_columns(spark.read.parquet(f"{run}/patterns"))
+    return _pattern_columns(current_patterns(spark, f"{run}/patterns"))
 
 
 def family_recurrence(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,7 +25,10 @@ def file_kind(path: Column) -> Column:
     )
 
 
-def list_files(files: DataFrame, root: str = "", max_bytes: int | None = None, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+def list_files(
+    files: DataFrame, root: str = "", max_bytes: int | None = None, max_depth: int | None = None,
+    kinds: Callable[[Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """SRC-6: ``(accepted, issues)`` of a file listing ``(path, length, ...)``.
 
     Works on path and length alone.  No file is left out for its size or depth
@@ -36,7 +40,7 @@ def list_files(files: DataFrame, root: str = "", max_bytes: int | None = None, m
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     hidden = F.exists(folders, lambda d: d.isin(fixed.IGNORED_DIRECTORIES) | d.startswith("."))
     seen = (
-        files.withColumns({"source": relative, "kind": file_kind(relative)})
+        files.withColumns({"source": relative, "kind": (kinds or file_kind)(relative)})
         .filter(F.col("kind").isNotNull() & ~hidden)
     )
     reason = F.when(F.col("length") == 0, F.lit("File is empty."))
@@ -53,14 +57,22 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
 
 
-def read_catalogue(files: DataFrame, source_id: Column, root: str = "") -> tuple[DataFrame, DataFrame]:
-    """SRC-13/SRC-14/UDF-1: every supported file through its reader, united."""
-    accepted, rejected = list_files(files, root)
+def read_catalogue(
+    files: DataFrame, source_id: Column, root: str = "", kinds: Callable[[Column], Column] = file_kind,
+    readers: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """SRC-13/SRC-14/UDF-1: every supported file through its reader, united.
+
+    ``kinds`` names the kind of a path; ``readers`` adds readers of further
+    kinds, each from files (path, content) to (tests, issues).
+    """
+    accepted, rejected = list_files(files, root, kinds=kinds)
     accepted = accepted.withColumn("path", F.col("source"))
     exports, export_issues = read_exports(accepted.filter("kind = 'csv'"))
     code, code_issues = read_source_files(accepted.filter("kind in ('pytest', 'jest')"))
-    tests = unite(exports, code).withColumn("source_id", source_id)
-    return tests, unite(rejected, export_issues, code_issues)
+    more = [read(accepted.filter(F.col("kind") == kind)) for kind, read in (readers or {}).items()]
+    tests = unite(exports, code, *[t for t, _ in more]).withColumn("source_id", source_id)
+    return tests, unite(rejected, export_issues, code_issues, *[i for _, i in more])
 
 
 def unite(*frames: DataFrame) -> DataFrame:

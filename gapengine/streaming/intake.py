@@ -36,18 +36,26 @@ def similar_so_far(batch: DataFrame, history: DataFrame | None) -> DataFrame:
     return recurrence_at_arrival(batch.select("incident_id", "arrival", "signals"), gaps)
 
 
+def current_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """The pattern table as the latest batch left it."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version").alias("version"))
+    return versions.join(F.broadcast(newest), "version").drop("version")  # one row
+
+
 def start_intake(
     incidents: DataFrame, analyse: Callable[[DataFrame], DataFrame], observations_path: str, patterns_path: str,
     checkpoint: str, min_incidents: int = 3, available_now: bool = True,
 ):
     """STR-1/STR-2: run ``analyse`` on every micro-batch of the stream against a
-    static index, append its gap observations, rewrite the pattern table."""
+    static index, append its gap observations, write a new version of the pattern table."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         append_batch(materialise(analyse(batch)), batch_id, observations_path)
         patterns = recurring_patterns(spark.read.parquet(observations_path), min_incidents)
-        patterns.write.mode("overwrite").parquet(patterns_path)
+        # A version of its own: readers of the one before are not disturbed.
+        patterns.write.mode("overwrite").parquet(f"{patterns_path}/version={batch_id}")
 
     writer = incidents.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
