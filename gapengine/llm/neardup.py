@@ -317,3 +317,18 @@ def _outside_stars(source: DataFrame, meeting: DataFrame, grouped: DataFrame, wo
     pairs = left.join(right, "key").filter((C("group1") != C("group")) & once & _possible("first", "member", percent, length))
     pairs = stored(pairs.select(C("first.id").alias("a"), C("member.id").alias("b")).distinct())
     return _compared(source, pairs, words, percent).filter("linked").select("a", "b")
+
+
+# Brute force over all pairs that share a shingle, for tables of test size.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM k WHERE 100 * k >= 80 * (na + nb - k)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM s LEFT JOIN m ON a = doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapengine.llm import bitsliced, mixing, rotation, vectordup
+from gapengine.llm import bitsliced, mixing, neardup, rotation, vectordup
 from gapengine.llm.bitsliced import exact_top_k
 from gapengine.llm.common import table
 from gapengine.llm.kneserney import score_quality
@@ -78,5 +78,5 @@ QUERIES = [
     op9_personal_data, op10_pieces,
 ]
 ORACLES = {
-    "op1_mix_sources": mixing.ORACLE, "op3_perspectives": rotation.ORACLE, "op6_exact_top_k": bitsliced.ORACLE, "op7_near_vectors": vectordup.ORACLE,
+    "op1_mix_sources": mixing.ORACLE, "op2_near_duplicates": neardup.ORACLE, "op3_perspectives": rotation.ORACLE, "op6_exact_top_k": bitsliced.ORACLE, "op7_near_vectors": vectordup.ORACLE,
 }
