@@ -443,7 +443,7 @@ ORACLES = {
 _SYNONYMS = ", ".join(f"('{head}', '{word}')" for head, words in fixed.SYNONYMS.items() for word in words.split())
 ORACLES |= records.ORACLES | persisted.ORACLES | explained.oracles(LINES, VERDICTS) | {
     "url_features": f"""WITH s AS (SELECT page_id, list_filter(string_split(replace(url, '\\', '/'), '/'), lambda x: trim(x) <> '') AS p FROM pages),
-      n AS (SELECT page_id, list_concat(list_reverse(p[:len(p) - 1]), [regexp_replace(p[len(p)], '\.[^.]*$', '')]) AS p FROM s),
+      n AS (SELECT page_id, list_concat(list_reverse(p[:len(p) - 1]), [regexp_replace(p[len(p)], '\\.[^.]*$', '')]) AS p FROM s),
       f AS (SELECT page_id, list_filter(list_transform(p, lambda x: array_to_string(list_transform(list_filter(string_split_regex({norm('x')}, '[^A-Za-z0-9]+'),
               lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_quoted(fixed.FEATURE_NOISE)}))[:{fixed.FEATURE_WORDS}],
               lambda w: upper(w[1]) || lower(w[2:])), ' ')), lambda x: x <> '') AS l FROM n)
