@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gapengine.llm.common import C, ranked
+from gapengine.llm.common import C, ranked, stored
 
 # Names from the mark-up language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -157,27 +158,33 @@ def common_lines(a: list, b: list) -> set[int]:
     return found
 
 
-def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _outlined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         lines = [page_lines(h) for h in frame["html"]]
-        yield pd.DataFrame({
-            "page_id": frame["page_id"], "url": frame["url"], "host": frame["host"], "path": frame["path"],
-            "lines": [[t for t, _ in x] for x in lines], "zones": [[z for _, z in x] for x in lines],
-        })
+        keys = [[int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for t, _ in x] for x in lines]
+        yield frame.drop(columns="html").assign(keys=keys, open=[[i for i, (_, z) in enumerate(x) if z != OWN] for x in lines])
 
 
-def _differenced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        shared = []
+        for keys, open_, before, after in zip(frame["keys"], frame["open"], frame["before"], frame["after"], strict=True):
+            mine, found = list(keys), set()
+            for other in (before, after):
+                # A copy of the page can't tell template from text.
+                if other is not None and len(other) and list(other) != mine:
+                    found |= common_lines(mine, list(other))
+            shared.append(sorted(found.intersection(open_)))
+        yield pd.DataFrame({"page_id": frame["page_id"], "name": frame["name"], "shared": shared})
+
+
+def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         texts = []
-        for lines, zones, keys, before, after in zip(frame["lines"], frame["zones"], frame["keys"], frame["before"], frame["after"], strict=True):
-            mine, shared = list(keys), set()
-            if any(z != OWN for z in zones):
-                for other in (before, after):
-                    # A copy of the page can't tell template from text.
-                    if other is not None and len(other) and list(other) != mine:
-                        shared |= common_lines(mine, list(other))
-            texts.append(" ".join(t for i, (t, z) in enumerate(zip(lines, zones, strict=True)) if z == OWN or i not in shared))
-        yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        for html, shared in zip(frame["html"], frame["shared"], strict=True):
+            gone = set() if shared is None else set(shared)
+            texts.append(" ".join(t for i, (t, _) in enumerate(page_lines(html)) if i not in gone))
+        yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": pd.Series(texts, dtype=object), "n_chars": [len(t) for t in texts]})
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -187,25 +194,32 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     is one space, character references are decoded; nothing is cut.  Null and
     empty html has empty text.  A null or hostless URL makes its page a
     neighbour of other such pages.  Neighbours that are copies of the page are
-    passed over as evidence, so copies keep their text.  Repeated rows get equal
-    results but for what differing neighbours show; other columns are not read.
+    passed over as evidence, so copies keep their text.  Repeated rows (equal id
+    and html) get equal results, from the same one of their places in the
+    order.  Other columns are not read.
+
+    Only hashes of lines are ordered and joined.  The html is parsed once for
+    them and once for the text, and moves only if many pages lose lines.
     """
     url = F.coalesce(C(url_col), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1), "/+$", "")
-    rows = pages.select(
-        C(id_col).alias("page_id"), C(url_col).alias("url"), F.regexp_replace(host, r"^www\.", "").alias("host"), path.alias("path"),
-        F.coalesce(C(html_col), F.lit("")).alias("html"),
-    )
-    schema = "page_id bigint, url string, host string, path string, lines array<string>, zones array<int>"
+    html = F.coalesce(C(html_col), F.lit(""))
+    rows = pages.select(C(id_col).cast("bigint").alias("page_id"), C(url_col).alias("url"), F.xxhash64(html).alias("name"), html.alias("html"))
+    outline = pages.select(
+        C(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.regexp_replace(host, r"^www\.", "").alias("host"), path.alias("path"),
+        F.xxhash64(html).alias("name"), html.alias("html"),
+    ).mapInPandas(_outlined, "page_id bigint, url string, host string, path string, name bigint, keys array<bigint>, open array<int>")
     # One order over all hosts, in ranges: a host with many pages spans many tasks.
-    placed = ranked(rows.mapInPandas(_parsed, schema), [C("host"), C("path"), C("url"), C("page_id")], "place")
-    placed = placed.withColumn("keys", F.transform("lines", lambda x: F.xxhash64(x)))
+    placed = stored(ranked(outline, [C("host"), C("path"), C("url"), C("page_id"), C("name")], "place"))
     near = placed.select("place", C("host").alias("near_host"), C("keys").alias("near_keys"))
     before = near.select((C("place") + 1).alias("place"), C("near_host").alias("host1"), C("near_keys").alias("keys1"))
     after = near.select((C("place") - 1).alias("place"), C("near_host").alias("host2"), C("near_keys").alias("keys2"))
-    joined = placed.join(before, "place", "left").join(after, "place", "left").select(
-        "page_id", "url", "lines", "zones", "keys", F.when(C("host") == C("host1"), C("keys1")).alias("before"),
-        F.when(C("host") == C("host2"), C("keys2")).alias("after"),
+    pairs = placed.filter(F.size("open") > 0).join(before, "place", "left").join(after, "place", "left").select(
+        "page_id", "name", "keys", "open", F.when(C("host") == C("host1"), C("keys1")).alias("before"), F.when(C("host") == C("host2"), C("keys2")).alias("after"),
+    )
+    shared = pairs.mapInPandas(_shared, "page_id bigint, name bigint, shared array<int>").filter(F.size("shared") > 0)
+    lost = stored(shared.groupBy(C("page_id").alias("id"), C("name").alias("of")).agg(F.max("shared").alias("shared")))
+    return rows.join(lost, (C("name") == C("of")) & C("page_id").eqNullSafe(C("id")), "left").select("page_id", "url", "html", "shared").mapInPandas(
+        _texts, "page_id bigint, url string, text string, n_chars bigint"
     )
-    return joined.mapInPandas(_differenced, "page_id bigint, url string, text string, n_chars bigint")
