@@ -12,6 +12,8 @@ detections are counted before suppression and whose labels always stay.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapengine.llm.common import C
@@ -67,42 +69,47 @@ LICENCES = (
     ("cc0", "creative commons (zero|cc0)", "cc0", "cc0", "creativecommons org publicdomain zero"),
 )
 VERSION = "( (version|v) ?[0-9]+( [0-9]+)?| v?[0-9]+( [0-9]+)?)?"
+GRANTED = "(licensed|released|distributed|available|published|provided) under"
 # form, pattern with {name} {id} {url}, keyword (None: the licence's own), priority, confidence
+# A keyword is a piece of the spaced text that every match holds: a word with its spaces, or the beginning of one.
 FORMS = (
-    ("identifier", "spdx license identifier {id}" + VERSION, "spdx", 4, 1.0),
-    ("grant", "(licensed|released|distributed|available|published|provided) under (the )?(terms of )?(the )?{name} licen[cs]e" + VERSION, "under", 3, 0.95),
-    ("short grant", "(licensed|released|distributed|available|published|provided) under (the )?{id}" + VERSION, "under", 3, 0.9),
+    ("identifier", "spdx license identifier {id}" + VERSION, " spdx ", 4, 1.0),
+    ("grant", GRANTED + " (the )?(terms of )?(the )?{name} licen[cs]e" + VERSION, " under ", 3, 0.95),
+    ("short grant", GRANTED + " (the )?{id}" + VERSION, " under ", 3, 0.9),
     ("address", "{url}", None, 3, 0.9),
     ("name", "{name} licen[cs]e" + VERSION, None, 2, 0.8),
-    ("label", "licen[cs]e {id}" + VERSION, "licen", 1, 0.6),
+    ("label", "licen[cs]e {id}" + VERSION, " licen", 1, 0.6),
 )
 # Sentences that name no licence: label, pattern, keyword, priority, confidence.
 SENTENCES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby", 3, 0.95),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "distribute", 3, 0.95),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution", 3, 0.95),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors", "warranty", 3, 0.9),
-    ("public-domain", "(dedicated to|released into|placed in) the public domain", "domain", 3, 0.9),
-    ("all-rights-reserved", "all rights reserved", "reserved", 1, 0.5),
-    ("copyright", "copyright (c )?[0-9]{4}", "copyright", 0, 0.3),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", " hereby ", 3, 0.95),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", " permission ", 3, 0.95),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", " redistribution ", 3, 0.95),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors", " warranty ", 3, 0.9),
+    ("public-domain", "(dedicated to|released into|placed in) the public domain", " domain ", 3, 0.9),
+    ("all-rights-reserved", "all rights reserved", " reserved ", 1, 0.5),
+    ("copyright", "copyright (c )?[0-9]{4}", " copyright ", 0, 0.3),
+)
+# Every text with a detection holds one of these, or a grant.
+HINTS = (
+    "licen", "spdx", "copyright", "hereby", "permission", "redistribution", "warranty", "domain", "reserved", "creativecommons", "wtfpl", "joinup",
+    "mozilla", "eclipse", "latex", "scripts",
 )
+GRANT_HINT = "(?:licensed|released|distributed|available|published|provided)[^a-z0-9]+under[^a-z0-9]"
 BASE_PRIORITY, BASE_CONFIDENCE = 2, 0.8
 TOP_PRIORITY = 4
 
 
 def rules() -> list[tuple[str, str, str, str, int, float]]:
     """(rule, label, pattern, keyword, priority, confidence), in order: every licence in every form, then the sentences."""
-    out = [(f"base {label}", label, phrase, phrase.split()[-1], BASE_PRIORITY, BASE_CONFIDENCE) for phrase, label in BASE]
+    out = [(f"base {label}", label, phrase, " license ", BASE_PRIORITY, BASE_CONFIDENCE) for phrase, label in BASE]
     for label, name, short, own, url in LICENCES:
+        # The name's own word, where every form of the name has it.
+        of_name = " licen" if "|" in name.replace("(lesser|library)", "").replace("(zero|cc0)", "") else f" {name.split()[0]} " if name.startswith("creative") else f" {own} "
         for form, pattern, keyword, priority, confidence in FORMS:
-            if form == "address":
-                own_word = url.split()[0]
-            elif form in ("name",):
-                own_word = own if label not in ("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nc-sa", "cc-by-nd", "cc-by-nc-nd", "cc0") else "creative"
-            else:
-                own_word = own
-            filled = pattern.format(name=name, id=short, url=url) if form != "identifier" else pattern.replace("{id}", short)
-            out.append((f"{form} {label}", label, filled, keyword or own_word, priority, confidence))
+            filled = pattern.replace("{name}", name).replace("{id}", short).replace("{url}", url)
+            own_keyword = f" {url.split()[0]} " if form == "address" else of_name
+            out.append((f"{form} {label}", label, filled, keyword or own_keyword, priority, confidence))
     out += [(f"sentence {label}", label, pattern, keyword, priority, confidence) for label, pattern, keyword, priority, confidence in SENTENCES]
     return out
 
@@ -186,8 +193,9 @@ def scan_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for r, label, p, k, priority, c in table
     ])
     keywords = sorted({k for _, _, _, k, _, _ in table})
-    # A detection needs one of these words; most texts have none and are not rewritten.
-    gate = F.lower(C("_text")).rlike("licen|unlicense|copyright|spdx|under|reserved|hereby|domain|distribut|warranty|" + "|".join(sorted({u.split()[0] for *_, u in LICENCES})))
+    # Most texts have none of the hints and are not rewritten.
+    low = F.lower(C("_text"))
+    gate = reduce(lambda a, b: a | b, [low.contains(h) for h in HINTS]) | (low.contains("under") & low.rlike(GRANT_HINT))
     rows = docs.withColumn("_text", F.coalesce(C(text_col).cast("string"), F.lit("")))
     rows = rows.withColumn("_spaced", F.when(gate, spaced_words(C("_text"))).otherwise(""))
     # Which keywords a text has is found once for all rules that share one.
