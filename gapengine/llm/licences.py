@@ -194,9 +194,10 @@ def scan_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ])
     keywords = sorted({k for _, _, _, k, _, _ in table})
     # Most texts have none of the hints and are not rewritten.
-    low = F.lower(C("_text"))
+    low = C("_low")
     gate = reduce(lambda a, b: a | b, [low.contains(h) for h in HINTS]) | (low.contains("under") & low.rlike(GRANT_HINT))
     rows = docs.withColumn("_text", F.coalesce(C(text_col).cast("string"), F.lit("")))
+    rows = rows.withColumn("_low", F.lower("_text"))
     rows = rows.withColumn("_spaced", F.when(gate, spaced_words(C("_text"))).otherwise(""))
     # Which keywords a text has is found once for all rules that share one.
     present = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(C("_spaced"), k))
@@ -206,7 +207,7 @@ def scan_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumn("_found", F.when(F.size("_present") > 0, F.flatten(F.transform(chosen, lambda r: _matches(C("_spaced"), r)))).otherwise(none))
     base = F.array_sort(F.filter("_found", lambda s: s.getField("rule").startswith("base ")))
     kept = F.when(F.size("_found") > 0, _unsuppressed(C("_found"))).otherwise(none)
-    return rows.withColumns({"base": base, "licences": kept}).drop("_text", "_spaced", "_present", "_found")
+    return rows.withColumns({"base": base, "licences": kept}).drop("_text", "_low", "_spaced", "_present", "_found")
 
 
 def licence_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
