@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StructType
+from pyspark.sql.types import BinaryType, StructType
 
-from gapengine.llm.common import C, id_filter, in_filter, stored
+from gapengine.llm.common import C, in_filter, stored
 from gapengine.llm.wordhash import Words, buffers, chunks
+from gapengine.llm.wordmodel import word_scores
 
 U = np.uint64
 SYMBOLS = 128
@@ -168,40 +169,6 @@ def train(lines: DataFrame) -> np.ndarray:
     return np.log(lower).astype(np.float32)
 
 
-def _log_perplexity(logs: np.ndarray, symbol: np.ndarray, counts: np.ndarray) -> pa.Array:
-    code, text = trigrams(symbol, counts)
-    total = np.bincount(text, weights=logs[code].astype(np.float64), minlength=len(counts))
-    return pa.array(np.round(-total / (counts + 1), 6), mask=counts == 0)
-
-
-def _scored_lines(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            symbol, counts = _lines(batch.column(1))
-            yield pa.record_batch([batch.column(0), pa.array(counts), _log_perplexity(shared.value, symbol, counts)], names=["lang", "n_words", "log_perplexity"])
-
-    return run
-
-
-def _scored(shared, text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch.column(text_at))
-            for a, b in chunks(offsets):
-                symbol, counts = symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.record_batch(
-                    [*batch.slice(a, b - a).columns, pa.array(counts), _log_perplexity(shared.value, symbol, counts)],
-                    names=[*batch.schema.names, "n_words", "log_perplexity"],
-                )
-
-    return run
-
-
-def _with_scores(rows: DataFrame, shared, text_col: str) -> DataFrame:
-    fields = StructType(list(rows.schema.fields)).add("n_words", LongType()).add("log_perplexity", DoubleType())
-    return rows.mapInArrow(_scored(shared, rows.columns.index(text_col)), fields)
-
-
 def with_quality(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     quantile: float = 0.99, spread: float = 3.0, full_words: int = 100,
@@ -226,26 +193,32 @@ def with_quality(
     docs = docs.drop("n_words", "log_perplexity", "threshold", "kept")
     rows = docs.select(C(id_col).cast("bigint").alias("id"), C(lang_col).cast("string").alias("lang"), C(text_col).cast("string").alias("text"))
     ids = trusted.select(C(id_col).cast("bigint").alias("id")).filter(C("id").isNotNull()).distinct()
-    # Texts stay where they are: a byte for each word of the trusted ones, and of few others, reaches the join.
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    learned = stored(coded(rows, bitmap).join(ids, "id", "left_semi").select("lang", "symbols"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(learned.select("symbols")))
+    name = F.xxhash64(F.coalesce("text", F.lit("")))
     language = F.coalesce(F.concat(F.lit("l"), C("lang")), F.lit(""))
-    known = learned.mapInArrow(_scored_lines(shared), "lang string, n_words bigint, log_perplexity double").filter(C("n_words") >= full_words)
-    known = known.select(language.alias("language"), F.round("log_perplexity", 3).alias("x"))
+    # A trusted text is judged by what the other ones say of it.
+    scores = word_scores(rows.select("id", name.alias("name"), "text"), ids).join(ids.withColumn("_trusted", F.lit(True)), "id", "left")
+    scores = stored(scores.select(
+        C("id").alias("_id"), C("name").alias("_of"), "n_words", F.when(C("_trusted"), C("others")).otherwise(C("plain")).alias("log_perplexity"), "_trusted",
+    ).dropDuplicates(["_id", "_of"]))
+    known = rows.select("id", name.alias("name"), language.alias("language")).join(
+        scores.filter(C("_trusted") & (C("n_words") >= full_words)), (C("id") == C("_id")) & (C("name") == C("_of")))
+    known = known.select("language", F.round("log_perplexity", 3).alias("x"))
     cut = [F.percentile("x", 0.5).alias("middle"), F.percentile("x", quantile).alias("high")]
     cuts = stored(known.rollup("language").agg(*cut))
     overall = cuts.filter(C("language").isNull()).select(C("middle").alias("_middle0"), C("high").alias("_high0"))
     each = cuts.filter(C("language").isNotNull()).select(C("language").alias("_language"), C("middle").alias("_middle"), C("high").alias("_high"))
-    judged = _with_scores(docs, shared, text_col).withColumn("_language", F.coalesce(F.concat(F.lit("l"), C(lang_col).cast("string")), F.lit("")))
+    judged = docs.withColumns({
+        "_name": F.xxhash64(F.coalesce(C(text_col).cast("string"), F.lit(""))), "_language": F.coalesce(F.concat(F.lit("l"), C(lang_col).cast("string")), F.lit("")),
+    })
+    judged = judged.join(scores.drop("_trusted"), (C("_name") == C("_of")) & C(id_col).cast("bigint").eqNullSafe(C("_id")), "left")
     # One row for each language, and one row.
     judged = judged.join(each, "_language", "left").join(F.broadcast(overall), how="left")
     middle, high = F.coalesce("_middle", "_middle0"), F.coalesce("_high", "_high0")
     short = F.sqrt(full_words / F.least(F.greatest("n_words", F.lit(1)), F.lit(full_words)))
     threshold = F.round(middle + spread * F.greatest(high - middle, F.lit(LEAST_ROOM)) * short, 6)
-    return judged.withColumn("threshold", threshold).withColumn(
-        "kept", F.coalesce(C("log_perplexity") <= C("threshold"), F.lit(True))
-    ).drop("_language", "_middle", "_high", "_middle0", "_high0")
+    return judged.select(
+        *docs.columns, "n_words", "log_perplexity", threshold.alias("threshold"),
+    ).withColumn("kept", F.coalesce(C("log_perplexity") <= C("threshold"), F.lit(True)))
 
 
 def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:

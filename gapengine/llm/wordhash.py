@@ -92,6 +92,11 @@ class Words:
         up, down = _Powers.upto(n + 1)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_VALUES[lower][data] * up[:n], out=total[1:])
-        self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        self._total, self._down = total, down
+        self.hashes = self.hashes_upto(self.ends)
         self.bounds = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.bounds)
+
+    def hashes_upto(self, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the same words, each only up to its place in ``ends``."""
+        return mix((self._total[ends] - self._total[self.starts]) * self._down[self.starts])
