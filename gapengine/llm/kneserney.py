@@ -1,188 +1,59 @@
-"""Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, and perplexity quantiles by language.
-
-Words become symbols of a fixed alphabet: short words by hash, so function
-words keep a symbol of their own or share it with a few rare ones, longer ones
-by length and by what characters they hold, and a word that repeats the one
-before it has a symbol of its own, by how often it did.  Text of repeated, decorated or randomly joined
-words is then improbable to a model of ordinary text in the same languages.
-
-Trigram counts of all trusted texts are summed per task, then by trigram over
-the shuffle; continuation counts, discounts and context weights follow by
-joins of the count tables.  The finished model has at most ``SYMBOLS`` ** 3
-numbers whatever the data, which is the proven bound of its broadcast.
+"""Quality classifier: perplexity under Kneser-Ney models of trusted text, and its quantiles by language and length.
+
+A text has two perplexities: that of its words (``wordmodel``), and that of
+their shapes and repetitions (``shapes``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BinaryType, StructType
 
-from gapengine.llm.common import C, in_filter, stored
-from gapengine.llm.wordhash import Words, buffers, chunks
+from gapengine.llm.common import C, stored
+from gapengine.llm.shapes import SYMBOLS, coded, symbols, train  # noqa: F401
 from gapengine.llm.wordmodel import word_scores
 
-U = np.uint64
-SYMBOLS = 128
-# Symbols 0: before and behind a text, then short words by hash, then shapes.
-SHORT, SHAPES = 2, 96
-# Words equal to so many right before them.
-RUNS = ((1, 1), (2, 125), (4, 126), (8, 127))
-SHORT_BYTES = 5
-_KIND = np.zeros(256, dtype=np.int64)
-_KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 1 << 20  # signs
-_KIND[48:58] = 1  # digits
-_CLOSING = np.zeros(256, dtype=bool)
-_CLOSING[[ord(c) for c in ".,;:!?)\"'"]] = True
-
-
-def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the words of each text, end to end, and how many words each has."""
-    words = Words(data, offsets)
-    starts, ends = words.starts, words.ends.copy()
-    # One mark that closes a word or sentence is no part of it.
-    ends -= _CLOSING[data[ends - 1]] & (ends - 1 > starts)
-    sums = np.concatenate([[0], np.cumsum(_KIND[data])])
-    inside = sums[ends] - sums[starts]
-    signs, digits, length = inside >> 20, inside & ((1 << 20) - 1), ends - starts
-    out = SHAPES + np.minimum(length, 20) - 1  # letters only: by length
-    out = np.where(digits > 0, SHAPES + 20 + np.minimum(length, 8) // 4, out)
-    out = np.where(signs > 0, SHAPES + 23 + np.minimum(length, 12) // 4, out)
-    out = np.where(signs == length, SHAPES + 27 + np.minimum(length, 2) - 1, out)
-    short = (length <= SHORT_BYTES) & (inside == 0)
-    closed = ends != words.ends
-    names = words.hashes
-    if closed.any():
-        # The hash of a short word must not depend on the mark behind it.
-        names = names.copy()
-        at = np.flatnonzero(closed & short)
-        names[at] = _bare(data, starts[at], ends[at])
-    plain = np.flatnonzero(~closed & short)
-    names[plain] = _bare(data, starts[plain], ends[plain])
-    out = np.where(short, SHORT + (names % U(SHAPES - SHORT)).astype(np.int64), out)
-    same = np.zeros(len(out), dtype=bool)
-    same[1:] = words.hashes[1:] == words.hashes[:-1]
-    same[words.bounds[:-1][words.counts > 0]] = False
-    place = np.arange(len(out))
-    run = place - np.maximum.accumulate(np.where(same, 0, place)) if len(out) else place
-    for least, symbol in RUNS:
-        out = np.where(run >= least, symbol, out)
-    return out, words.counts
-
-
-def _bare(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each short byte string, A-Z lower-cased."""
-    out = (ends - starts).astype(U)
-    for i in range(SHORT_BYTES):
-        at = starts + i
-        byte = np.where(at < ends, data[np.minimum(at, len(data) - 1)], 0).astype(U)
-        byte = np.where((byte >= 65) & (byte <= 90), byte + U(32), byte)
-        out = out * U(0x100000001B3) + byte
-    return out ^ (out >> U(29))
-
-
-def trigrams(symbol: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes of all texts: one for each word and one for the end, and the text of each code."""
-    text = np.repeat(np.arange(len(counts)), counts + 3)
-    heads = np.cumsum(counts + 3) - (counts + 3)
-    padded = np.zeros(len(text), dtype=np.int64)
-    place = np.arange(len(symbol)) + np.repeat(heads + 2 - (np.cumsum(counts) - counts), counts)
-    padded[place] = symbol
-    code = (padded[:-2] * SYMBOLS + padded[1:-1]) * SYMBOLS + padded[2:] if len(padded) > 2 else np.zeros(0, np.int64)
-    inside = text[: len(code)] == text[2:] if len(code) else np.zeros(0, bool)
-    return code[inside], text[: len(code)][inside]
-
-
-def _coded(text_at: int, bitmap=None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if bitmap is not None:
-                batch = batch.filter(pa.array(in_filter(bitmap.value, batch.column(0))))
-            data, offsets = buffers(batch.column(text_at))
-            for a, b in chunks(offsets):
-                symbol, counts = symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lines = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(symbol.astype(np.uint8))])
-                yield pa.record_batch([*batch.slice(a, b - a).columns[:text_at], lines], names=[*batch.schema.names[:text_at], "symbols"])
+# Name of all languages together; others begin with "l" or are empty.
+ALL = "*"
+BANDS = 64
 
-    return run
 
+def _band(n_words: str) -> Column:
+    return F.floor(F.log2(F.greatest(C(n_words), F.lit(1)))).cast("int")
 
-def coded(rows: DataFrame, bitmap=None) -> DataFrame:
-    """The columns before the last, a text, and its words' symbols, one byte each.  ``bitmap``: only rows whose first column may be in it."""
-    *kept, _ = rows.schema.fields
-    return rows.mapInArrow(_coded(len(kept), bitmap), StructType(kept).add("symbols", BinaryType()))
-
-
-def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = buffers(column)
-    return data.astype(np.int64), np.diff(offsets)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SYMBOLS**3, dtype=np.int64)
-    for batch in batches:
-        symbol, counts = _lines(batch.column(0))
-        code, text = trigrams(symbol, counts)
-        total += np.bincount(code[counts[text] > 0], minlength=len(total))
-    seen = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["code", "n"])
-
-
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of an order from the number of n-grams counted one to four times."""
-    row = counts.agg(*[F.count(F.when(C("n") == i, 1)) for i in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (max(1, x) for x in row)
-    y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(d, 0.05), k) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
-
-
-def _order(counts: DataFrame, context: Column) -> tuple[DataFrame, DataFrame]:
-    """(ngram, p): discounted shares; (context, weight): what each context leaves to the lower order."""
-    d1, d2, d3 = _discounts(counts)
-    discount = F.when(C("n") == 1, d1).when(C("n") == 2, d2).otherwise(d3)
-    rows = counts.withColumn("context", context).withColumn("discount", discount)
-    contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("left"))
-    shares = rows.join(contexts, "context").select("ngram", ((C("n") - C("discount")) / C("total")).alias("p"))
-    return shares, contexts.select("context", (C("left") / C("total")).alias("weight"))
-
-
-def train(lines: DataFrame) -> np.ndarray:
-    """Log probabilities of all trigrams, [first, second, third], from one column of symbols (see ``coded``)."""
-    counts = stored(lines.mapInArrow(_counted, "code bigint, n bigint").groupBy(C("code").alias("ngram")).agg(F.sum("n").alias("n")))
-    # Lower orders count in how many different contexts an n-gram occurs.
-    pairs = stored(counts.groupBy((C("ngram") % SYMBOLS**2).alias("ngram")).agg(F.count(F.lit(1)).alias("n")))
-    singles = pairs.groupBy((C("ngram") % SYMBOLS).alias("ngram")).agg(F.count(F.lit(1)).alias("n"))
-    lower = np.full(SYMBOLS, 1 / SYMBOLS)
-    for order, table in ((1, singles), (2, pairs), (3, counts)):
-        shares, weights = _order(table, F.floor(C("ngram") / SYMBOLS).cast("bigint"))
-        share, weight = np.zeros(SYMBOLS**order), np.ones(SYMBOLS ** (order - 1))
-        # At most SYMBOLS ** 3 rows, whatever the corpus.
-        found, left = shares.toArrow(), weights.toArrow()
-        share[found["ngram"].to_numpy()] = found["p"].to_numpy()
-        weight[left["context"].to_numpy()] = left["weight"].to_numpy()
-        below = lower if order == 1 else np.tile(lower.reshape(-1, SYMBOLS), (SYMBOLS if order == 3 else 1, 1))
-        lower = (share.reshape(-1, SYMBOLS) + weight[:, None] * below.reshape(-1, SYMBOLS)).reshape(-1)
-    return np.log(lower).astype(np.float32)
+
+def _pooled(least: int):
+    """The pool of every band: neighbouring bands, from the shortest on, until ``least`` texts are together; the last rest joins the pool before it."""
+
+    def run(sizes: pd.DataFrame) -> pd.DataFrame:
+        n = dict(zip(sizes["_band"], sizes["n"], strict=True))
+        pools, pool, held, left = [], 0, 0, sum(n.values())
+        for band in range(BANDS):
+            if held >= least and left >= least:
+                pool, held = pool + 1, 0
+            held, left = held + n.get(band, 0), left - n.get(band, 0)
+            pools.append(pool)
+        return pd.DataFrame({"_language": sizes["_language"].iloc[0], "_band": range(BANDS), "_pool": pools})
+
+    return run
 
 
 def with_quality(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    quantile: float = 0.99, spread: float = 3.0, full_words: int = 100,
+    quantile: float = 0.99, spread: float = 3.0, band_texts: int = 100,
 ) -> DataFrame:
-    """``docs`` with n_words, log_perplexity, threshold and kept.
+    """``docs`` with n_words, log_perplexity and threshold, the same of shapes, and kept.
 
     ``trusted`` has the ids (``id_col``) of the texts to learn from; all of them
-    are counted.  The perplexity of a text is that of its words and its end.  A
-    language's threshold is the median of its trusted texts (of ``full_words``
-    or more) plus ``spread`` times the distance from there to their
-    ``quantile``, both exact on values rounded to three decimals; a language
-    without trusted texts takes that of all.  A short text has few words to
-    judge by: below ``full_words`` the distance grows as the root of what is
-    missing.  Texts above their threshold are rejected, ``kept`` is false.
+    are counted.  The perplexity of a text is that of its words and its end, for
+    a trusted text without the n-grams that only it has.  Thresholds are of a
+    language and a band of lengths, the lengths from one power of two to the
+    next; bands of fewer than ``band_texts`` trusted texts are pooled with
+    their neighbours.  A threshold is the median of the band's trusted texts
+    plus ``spread`` times the distance from there to their ``quantile``, both
+    exact on values rounded to three decimals; a language without trusted texts
+    takes that of all.  Texts above either threshold, of words or of shapes,
+    are rejected, ``kept`` is false.
 
     A null, empty or blank text has no perplexity and is kept, as nothing
     speaks against it; null languages are one language.  Without trusted texts
@@ -190,7 +61,7 @@ def with_quality(
     trusted if the id is.  Columns of ``docs`` with the names of the result's
     are replaced.
     """
-    docs = docs.drop("n_words", "log_perplexity", "threshold", "kept")
+    docs = docs.drop("n_words", "log_perplexity", "threshold", "shape_log_perplexity", "shape_threshold", "kept")
     rows = docs.select(C(id_col).cast("bigint").alias("id"), C(lang_col).cast("string").alias("lang"), C(text_col).cast("string").alias("text"))
     ids = trusted.select(C(id_col).cast("bigint").alias("id")).filter(C("id").isNotNull()).distinct()
     name = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -198,34 +69,39 @@ def with_quality(
     # A trusted text is judged by what the other ones say of it.
     scores = word_scores(rows.select("id", name.alias("name"), "text"), ids).join(ids.withColumn("_trusted", F.lit(True)), "id", "left")
     scores = stored(scores.select(
-        C("id").alias("_id"), C("name").alias("_of"), "n_words", F.when(C("_trusted"), C("others")).otherwise(C("plain")).alias("log_perplexity"), "_trusted",
+        C("id").alias("_id"), C("name").alias("_of"), "n_words", F.when(C("_trusted"), C("others")).otherwise(C("plain")).alias("log_perplexity"),
+        F.when(C("_trusted"), C("other_shape")).otherwise(C("shape")).alias("shape_log_perplexity"), "_trusted",
     ).dropDuplicates(["_id", "_of"]))
-    known = rows.select("id", name.alias("name"), language.alias("language")).join(
-        scores.filter(C("_trusted") & (C("n_words") >= full_words)), (C("id") == C("_id")) & (C("name") == C("_of")))
-    known = known.select("language", F.round("log_perplexity", 3).alias("x"))
-    cut = [F.percentile("x", 0.5).alias("middle"), F.percentile("x", quantile).alias("high")]
-    cuts = stored(known.rollup("language").agg(*cut))
-    overall = cuts.filter(C("language").isNull()).select(C("middle").alias("_middle0"), C("high").alias("_high0"))
-    each = cuts.filter(C("language").isNotNull()).select(C("language").alias("_language"), C("middle").alias("_middle"), C("high").alias("_high"))
+    known = stored(rows.select("id", name.alias("name"), language.alias("language")).join(
+        scores.filter(C("_trusted") & C("log_perplexity").isNotNull()), (C("id") == C("_id")) & (C("name") == C("_of"))
+    ).select(F.explode(F.array("language", F.lit(ALL))).alias("_language"), _band("n_words").alias("_band"), F.round("log_perplexity", 3).alias("x"), F.round("shape_log_perplexity", 3).alias("y")))
+    # A row for each language and band: small whatever the data.
+    sizes = known.groupBy("_language", "_band").agg(F.count(F.lit(1)).alias("n"))
+    pools = stored(sizes.groupBy("_language").applyInPandas(_pooled(band_texts), "_language string, _band int, _pool int"))
+    cut = [F.percentile(v, q).alias(f"_{name}_{v}") for v in "xy" for name, q in (("middle", 0.5), ("high", quantile))]
+    cuts = stored(pools.join(known.join(pools, ["_language", "_band"]).groupBy("_language", "_pool").agg(*cut), ["_language", "_pool"]).drop("_pool"))
+    overall = cuts.filter(C("_language") == ALL).select("_band", *[C(f"_{n}_{v}").alias(f"_{n}0_{v}") for v in "xy" for n in ("middle", "high")])
     judged = docs.withColumns({
         "_name": F.xxhash64(F.coalesce(C(text_col).cast("string"), F.lit(""))), "_language": F.coalesce(F.concat(F.lit("l"), C(lang_col).cast("string")), F.lit("")),
     })
-    judged = judged.join(scores.drop("_trusted"), (C("_name") == C("_of")) & C(id_col).cast("bigint").eqNullSafe(C("_id")), "left")
-    # One row for each language, and one row.
-    judged = judged.join(each, "_language", "left").join(F.broadcast(overall), how="left")
-    middle, high = F.coalesce("_middle", "_middle0"), F.coalesce("_high", "_high0")
-    short = F.sqrt(full_words / F.least(F.greatest("n_words", F.lit(1)), F.lit(full_words)))
-    threshold = F.round(middle + spread * F.greatest(high - middle, F.lit(LEAST_ROOM)) * short, 6)
+    judged = judged.join(scores.drop("_trusted"), (C("_name") == C("_of")) & C(id_col).cast("bigint").eqNullSafe(C("_id")), "left").withColumn("_band", _band("n_words"))
+    judged = judged.join(F.broadcast(cuts), ["_language", "_band"], "left").join(F.broadcast(overall), "_band", "left")
+
+    def threshold(v: str) -> Column:
+        middle, high = F.coalesce(f"_middle_{v}", f"_middle0_{v}"), F.coalesce(f"_high_{v}", f"_high0_{v}")
+        return F.round(middle + spread * F.greatest(high - middle, F.lit(LEAST_ROOM)), 6)
+
+    kept = (C("log_perplexity") <= C("threshold")) & (C("shape_log_perplexity") <= C("shape_threshold"))
     return judged.select(
-        *docs.columns, "n_words", "log_perplexity", threshold.alias("threshold"),
-    ).withColumn("kept", F.coalesce(C("log_perplexity") <= C("threshold"), F.lit(True)))
+        *docs.columns, "n_words", "log_perplexity", threshold("x").alias("threshold"), "shape_log_perplexity", threshold("y").alias("shape_threshold"),
+    ).withColumn("kept", F.coalesce(kept, F.lit(True)))
 
 
 def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:
-    """(doc_id, lang, n_words, log_perplexity, threshold, kept), one row for each row of ``docs``; see ``with_quality``."""
+    """(doc_id, lang, n_words, log_perplexity, threshold, shape_log_perplexity, shape_threshold, kept), one row for each row of ``docs``; see ``with_quality``."""
     narrow = docs.select(C(id_col).alias("doc_id"), C(lang_col).alias("lang"), C(text_col).alias("text"))
     return with_quality(narrow, trusted.select(C(id_col).alias("doc_id")), **settings).drop("text")
 
 
-# Least distance between a language's median and its quantile.
+# Least distance between a band's median and its quantile.
 LEAST_ROOM = 0.01

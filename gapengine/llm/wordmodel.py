@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from gapengine.llm.common import C, partitions, stored
+from gapengine.llm.shapes import log_perplexity, symbols, train
 from gapengine.llm.wordhash import Words, buffers, chunks, mix
 
 U = np.uint64
@@ -32,7 +33,7 @@ EDGE = U(0x2545F4914F6CDD1D)  # before and behind a text
 _CLOSING = np.zeros(256, dtype=bool)
 _CLOSING[[ord(c) for c in ".,;:!?)\"'"]] = True
 
-PACKED = "chunk bigint, ids array<bigint>, names array<bigint>, counts array<int>, vocabulary binary, places binary"
+PACKED = "chunk bigint, ids array<bigint>, names array<bigint>, counts array<int>, vocabulary binary, places binary, symbols binary"
 TRIGRAM, PAIR, PAIR_CONTEXT, WORD, WORD_CONTEXT = range(5)
 
 
@@ -53,14 +54,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, names, counts)]
         chunk = TaskContext.get().partitionId() << 32 | done
         return pa.record_batch(
-            [pa.array([chunk]), *whole, pa.array([vocabulary.tobytes()]), pa.array([places.astype(np.uint32).tobytes()])],
-            names=["chunk", "ids", "names", "counts", "vocabulary", "places"])
+            [pa.array([chunk]), *whole, pa.array([vocabulary.tobytes()]), pa.array([places.astype(np.uint32).tobytes()]),
+             pa.array([np.concatenate([x[4] for x in held]).tobytes()])],
+            names=["chunk", "ids", "names", "counts", "vocabulary", "places", "symbols"])
 
     for batch in batches:
         data, offsets = buffers(batch.column(2))
         for a, b in chunks(offsets):
-            hashes, counts = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            held.append((batch.column(0)[a:b], batch.column(1)[a:b], counts, hashes))
+            run = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            hashes, counts = word_hashes(*run)
+            held.append((batch.column(0)[a:b], batch.column(1)[a:b], counts, hashes, symbols(*run)[0].astype(np.uint8)))
             n_words += len(hashes)
             if n_words >= CHUNK_WORDS:
                 yield flush()
@@ -109,7 +112,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, c, text = triples(hashes, np.where(trusted, counts, 0))
         if not len(a):
             continue
-        ids = np.array([x or 0 for x in row["ids"]], dtype=np.int64)[text]
+        ids = _ids(row)[text]
         names = key(a, b, c)
         order = np.argsort(names)
         heads = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]]))
@@ -120,6 +123,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(x[s : s + (1 << 16)]) for x in out], names=["a", "b", "c", "n", "lo", "hi"])
 
 
+def half(ids: np.ndarray) -> np.ndarray:
+    """0 or 1 for each id."""
+    return (mix(ids.astype(np.int64).view(U)) & U(1)).astype(np.int64)
+
+
+def _ids(row: dict) -> np.ndarray:
+    return np.array([x or 0 for x in row["ids"]], dtype=np.int64)
+
+
+def _lines(which: int):
+    """Symbols of each trusted text of one half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            ends, halves = np.concatenate([[0], np.cumsum(row["counts"])]), half(_ids(row))
+            yield pa.record_batch([pa.array([row["symbols"][ends[i] : ends[i + 1]] for i in row["trusted"] if halves[i] == which], pa.binary())], names=["symbols"])
+
+    return run
+
+
 def _discounts(counts: DataFrame) -> tuple[tuple[float, float, float], int, int]:
     """The three discounts of an order from the number of n-grams counted one to four times, the sum of counts, and their number."""
     row = counts.agg(*[F.count(F.when(C("n") == i, 1)) for i in (1, 2, 3, 4)], F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -150,7 +173,10 @@ class Model:
         places = chunked.select("chunk", F.posexplode("ids").alias("place", "id")).join(ids, "id", "left_semi")
         trusted = places.groupBy("chunk").agg(F.collect_list("place").alias("trusted"))
         each = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-        counted = chunked.drop("names").join(trusted, "chunk").mapInArrow(_counted, "a bigint, b bigint, c bigint, n bigint, lo bigint, hi bigint")
+        learned = chunked.drop("names").join(stored(trusted), "chunk")
+        # Each half of the trusted texts is judged by the model of the other one.
+        self.shapes = [train(learned.select("ids", "counts", "symbols", "trusted").mapInArrow(_lines(h), "symbols binary")) for h in (0, 1)]
+        counted = learned.drop("symbols").mapInArrow(_counted, "a bigint, b bigint, c bigint, n bigint, lo bigint, hi bigint")
         three = stored(counted.groupBy("a", "b", "c").agg(F.sum("n").alias("n"), *each))
         # Lower orders count in how many different contexts an n-gram occurs.
         two = stored(three.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n"), *each))
@@ -256,7 +282,15 @@ def probabilities(values: dict, grams, discounts, total: float, left: float, n_w
     return step(seen(values["three"][0]), seen(context)[grams.context], rest2[grams.context].astype(np.float64), 0, p)
 
 
-def _judged(n_shards: int, settings: tuple):
+def _shape_scores(row: dict, counts: np.ndarray, models: list[np.ndarray]) -> dict:
+    """Of each text by both halves' models: their mean, and that of the half without the text."""
+    symbol = np.frombuffer(row["symbols"], np.uint8).astype(np.int64)
+    by = [log_perplexity(m, symbol, counts).to_numpy(zero_copy_only=False) for m in models]
+    none = counts == 0
+    return {"shape": pa.array((by[0] + by[1]) / 2, mask=none), "other_shape": pa.array(np.where(half(_ids(row)) == 0, by[1], by[0]), mask=none)}
+
+
+def _judged(n_shards: int, settings: tuple, shapes):
     def run(chunked: pa.Table, answers: pa.Table) -> pa.Table:
         parts = []
         answers = answers.sort_by("shard")
@@ -273,23 +307,27 @@ def _judged(n_shards: int, settings: tuple):
                 sums = np.bincount(grams.text, weights=p[grams.event], minlength=len(grams.counts))
                 logs.append(pa.array(np.round(-sums / (grams.counts + 1), 6), mask=grams.counts == 0))
             parts.append(pa.table({
-                "id": pa.array(row["ids"], pa.int64()), "name": pa.array(row["names"], pa.int64()), "n_words": pa.array(grams.counts), "plain": logs[0], "others": logs[1]}))
+                "id": pa.array(row["ids"], pa.int64()), "name": pa.array(row["names"], pa.int64()), "n_words": pa.array(grams.counts), "plain": logs[0], "others": logs[1],
+                **_shape_scores(row, grams.counts, shapes.value)}))
         return pa.concat_tables(parts)
 
     return run
 
 
 def word_scores(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, name, n_words, plain, others) of rows (id, name, text): log perplexities under the model of the texts of ``ids``.
+    """(id, name, n_words, plain, others, shape, other_shape) of rows (id, name, text): log perplexities under the models of the texts of ``ids``.
 
     ``others`` is that without the n-grams only one trusted text holds: what the
-    other texts say of a trusted text.
+    other texts say of a trusted text.  ``shape`` is the mean of the shape
+    models of two halves of the trusted texts, ``other_shape`` that of the half
+    a trusted text is not in.
     """
     chunked = packed(rows)
     model = Model(chunked, ids)
-    asked = chunked.mapInArrow(_asks(model.n_shards), "shard bigint, chunk bigint, three binary, two binary, one binary")
+    asked = chunked.select("chunk", "counts", "vocabulary", "places").mapInArrow(_asks(model.n_shards), "shard bigint, chunk bigint, three binary, two binary, one binary")
     answers = model.entries.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(
         _answered, "chunk bigint, shard bigint, three binary, two binary, one binary")
+    shapes = rows.sparkSession.sparkContext.broadcast(model.shapes)
     settings = (model.discounts, model.total, model.left, model.n_words)
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _judged(model.n_shards, settings), "id bigint, name bigint, n_words bigint, plain double, others double")
+        _judged(model.n_shards, settings, shapes), "id bigint, name bigint, n_words bigint, plain double, others double, shape double, other_shape double")

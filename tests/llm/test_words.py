@@ -67,3 +67,15 @@ def test_words_of_ordinary_shape_in_no_ordinary_text(docs_of):
     docs = docs_of(*enumerate(good), *[(500 + i, t) for i, t in enumerate(foreign)])
     got = {r.doc_id: r.kept for r in score_quality(docs, docs.select("doc_id").filter("doc_id < 80")).collect()}
     assert all(got[i] for i in range(100)) and not any(got[500 + i] for i in range(5))
+
+
+def test_short_texts_have_thresholds_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    words = "the of and to in a is that for it with as was on be by at this from".split()
+    good = [" ".join(rng.choice(words, rng.integers(8, 30))) for _ in range(150)]
+    junk = ["zq## xv## jk## " * 4, "vvqx wwqz kkqj " * 5]
+    rows = [(i, t, "en") for i, t in enumerate(good)] + [(900 + i, t, "en") for i, t in enumerate(junk)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in score_quality(docs, spark.range(120).toDF("doc_id")).collect()}
+    assert all(r.threshold is not None for r in got.values())
+    assert sum(got[i].kept for i in range(150)) >= 148 and not any(got[900 + i].kept for i in range(2))
