@@ -44,10 +44,10 @@ LICENCES = (
     ("unlicense", "unlicense", "unlicense", "unlicense", "unlicense org"),
     ("wtfpl", "do what the fuck you want to public", "wtfpl", "want", "wtfpl net"),
     ("python", "python( software foundation)?", "(python|psf)", "python", "python org psf license"),
-    ("ruby", "ruby", "ruby", "ruby", "ruby lang org .*license"),
+    ("ruby", "ruby", "ruby", "ruby", "ruby lang org( [^ ]+){0,4} license"),
     ("php", "php", "php", "php", "php net license"),
     ("openssl", "openssl", "openssl", "openssl", "openssl org source license"),
-    ("eupl", "european union public", "eupl", "union", "joinup ec europa eu .*eupl"),
+    ("eupl", "european union public", "eupl", "union", "joinup ec europa eu( [^ ]+){0,4} eupl"),
     ("osl", "open software", "osl", "software", "opensource org licenses osl"),
     ("afl", "academic free", "afl", "academic", "opensource org licenses afl"),
     ("ms-pl", "microsoft public", "ms pl", "microsoft", "opensource org licenses ms pl"),
