@@ -39,20 +39,29 @@ NAMED = re.compile(
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
-_ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+# Words about the layout around an element, not about what it holds.
+_LAYOUT = re.compile(r"(?:with|has|no)-.*|.*-(?:layout|page)", re.IGNORECASE)
+_TALK = re.compile(r"(?:^|[_-])(?:comments?|disqus|respond|replies)(?:$|[_-]|\d)", re.IGNORECASE)
 
 OWN, LOOSE, LINK = 0, 1, 2
-
-
-def _is_named(attributes: str) -> bool:
-    if not attributes or attributes.isspace():
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(
-        m[1].lower() in ("class", "id", "role") and NAMED.search(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)
-    )
+# Why an element is silent: a name that an article or main element inside overrules, or what it is.
+SOFT, HARD = 1, 2
+
+
+def _silence(attributes: str) -> int:
+    """0, SOFT for a name in class or id, HARD for a role, comments and what is hidden."""
+    found = 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "style" and _UNSHOWN.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return HARD
+        if name in ("class", "id", "role"):
+            for word in value.split():
+                if NAMED.search(word) and not _LAYOUT.fullmatch(word):
+                    found = max(found, HARD if name == "role" or _TALK.search(word) else SOFT)
+    return found
 
 
 def page_lines(html: str) -> list[tuple[str, int]]:
@@ -64,7 +73,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     element of its name, if any, with all inside it.
     """
     lines: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, silent, inside main, inside link
+    stack: list[tuple[str, int, bool, bool]] = []  # name, silence, inside main, inside link
     piece: list[str] = []
     plain = 0
 
@@ -77,7 +86,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
         plain = 0
 
     at, n = 0, len(html)
-    silent = main = link = False
+    silent, main, link = 0, False, False
     while at < n:
         token = TOKEN.search(html, at)
         stop = token.start() if token else n
@@ -112,12 +121,15 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                         break
                     if stack[depth][0] not in INLINE:
                         break
-                silent, main, link = stack[-1][1:] if stack else (False, False, False)
-            inner = name in MAIN and not _is_named(token[3])
+                silent, main, link = stack[-1][1:] if stack else (0, False, False)
+            named = _silence(token[3]) if token[3] and name not in ("html", "body") else 0
+            inner = name in MAIN and not named
             # The heading of an article stands in its own header.
-            quiet = (name in NOT_TEXT and not (name == "header" and main)) or (name not in ("html", "body") and _is_named(token[3]))
-            stack.append((name, silent or quiet, (main or inner), link or name == "a"))
-        silent, main, link = stack[-1][1:] if stack else (False, False, False)
+            quiet = HARD if name in NOT_TEXT and not (name == "header" and main) else named
+            # A wrapper's name doesn't speak for the article inside.
+            around = 0 if inner and silent == SOFT else silent
+            stack.append((name, max(around, quiet), (main or inner), link or name == "a"))
+        silent, main, link = stack[-1][1:] if stack else (0, False, False)
     flush(main)
     return lines
 
