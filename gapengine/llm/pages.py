@@ -2,7 +2,7 @@
 
 A page becomes lines, one for each block of text, each with the zone it stands
 in.  Pages of a host are ordered by the path of their URL; a page's nearest
-neighbours in that order very likely share its template.  The lines of both
+neighbours in that order, copies passed over, very likely share its template.  The lines of both
 are aligned by their longest common subsequence, and lines in it are template
 and deleted.  Lines inside an article or main element are the page's own and
 only lose shared lines that are mere links; what markup names as menu, header,
@@ -180,14 +180,13 @@ def _outlined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         shared = []
-        for keys, open_, before, after in zip(frame["keys"], frame["open"], frame["before"], frame["after"], strict=True):
+        for keys, before, after in zip(frame["keys"], frame["before"], frame["after"], strict=True):
             mine, found = list(keys), set()
             for other in (before, after):
-                # A copy of the page can't tell template from text.
-                if other is not None and len(other) and list(other) != mine:
+                if other is not None and len(other):
                     found |= common_lines(mine, list(other))
-            shared.append(sorted(found.intersection(open_)))
-        yield pd.DataFrame({"page_id": frame["page_id"], "name": frame["name"], "shared": shared})
+            shared.append(sorted(found))
+        yield pd.DataFrame({"host": frame["host"], "lines": frame["lines"], "shared": shared})
 
 
 def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,7 +194,7 @@ def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = []
         for html, shared in zip(frame["html"], frame["shared"], strict=True):
             gone = set() if shared is None else set(shared)
-            texts.append(" ".join(t for i, (t, _) in enumerate(page_lines(html)) if i not in gone))
+            texts.append(" ".join(t for i, (t, z) in enumerate(page_lines(html)) if i not in gone or z == OWN))
         yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": pd.Series(texts, dtype=object), "n_chars": [len(t) for t in texts]})
 
 
@@ -205,10 +204,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Blocks are joined in page order by one space, white space inside a block
     is one space, character references are decoded; nothing is cut.  Null and
     empty html has empty text.  A null or hostless URL makes its page a
-    neighbour of other such pages.  Neighbours that are copies of the page are
-    passed over as evidence, so copies keep their text.  Repeated rows (equal id
-    and html) get equal results, from the same one of their places in the
-    order.  Other columns are not read.
+    neighbour of other such pages.  Pages of a host with the same lines are
+    copies, which can't tell template from text: a run of them is one place in
+    the order, compared with the nearest other lines on either side, and all
+    copies of a host lose what one of their places shares.  A host that holds
+    nothing but copies keeps its text.  Other columns are not read.
 
     Only hashes of lines are ordered and joined.  The html is parsed once for
     them and once for the text, and moves only if many pages lose lines.
@@ -222,16 +222,28 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         C(id_col).cast("bigint").alias("page_id"), url.alias("url"), F.regexp_replace(host, r"^www\.", "").alias("host"), path.alias("path"),
         F.xxhash64(html).alias("name"), html.alias("html"),
     ).mapInPandas(_outlined, "page_id bigint, url string, host string, path string, name bigint, keys array<bigint>, open array<int>")
+    outline = stored(outline.withColumn("lines", F.xxhash64("keys")))
+    # Copies at one path are one row.
+    distinct = outline.groupBy("host", "path", "lines").agg(F.min("url").alias("url"), F.first("keys").alias("keys"), F.max(F.size("open")).alias("n_open"))
     # One order over all hosts, in ranges: a host with many pages spans many tasks.
-    placed = stored(ranked(outline, [C("host"), C("path"), C("url"), C("page_id"), C("name")], "place"))
-    near = placed.select("place", C("host").alias("near_host"), C("keys").alias("near_keys"))
-    before = near.select((C("place") + 1).alias("place"), C("near_host").alias("host1"), C("near_keys").alias("keys1"))
-    after = near.select((C("place") - 1).alias("place"), C("near_host").alias("host2"), C("near_keys").alias("keys2"))
-    pairs = placed.filter(F.size("open") > 0).join(before, "place", "left").join(after, "place", "left").select(
-        "page_id", "name", "keys", "open", F.when(C("host") == C("host1"), C("keys1")).alias("before"), F.when(C("host") == C("host2"), C("keys2")).alias("after"),
+    order = [C("host"), C("path"), C("url"), C("lines")]
+    placed = ranked(distinct, order, "place")
+    earlier = placed.select((C("place") + 1).alias("place"), C("host").alias("host1"), C("lines").alias("lines1"))
+    # The first place of every run of copies, numbered again: places side by side have different lines.
+    first = placed.join(earlier, "place", "left").filter(~(C("host").eqNullSafe(C("host1")) & C("lines").eqNullSafe(C("lines1"))))
+    runs = stored(ranked(first.select("place", "host", "lines", "keys"), [C("place")], "run"))
+    near = runs.select("run", C("host").alias("near_host"), C("keys").alias("near_keys"))
+    before = near.select((C("run") + 1).alias("run"), C("near_host").alias("host1"), C("near_keys").alias("keys1"))
+    after = near.select((C("run") - 1).alias("run"), C("near_host").alias("host2"), C("near_keys").alias("keys2"))
+    asked = distinct.filter(C("n_open") > 0).select("host", "lines").distinct()
+    pairs = runs.join(asked, ["host", "lines"], "left_semi").join(before, "run", "left").join(after, "run", "left").select(
+        "host", "lines", "keys", F.when(C("host") == C("host1"), C("keys1")).alias("before"), F.when(C("host") == C("host2"), C("keys2")).alias("after"),
     )
-    shared = pairs.mapInPandas(_shared, "page_id bigint, name bigint, shared array<int>").filter(F.size("shared") > 0)
-    lost = stored(shared.groupBy(C("page_id").alias("id"), C("name").alias("of")).agg(F.max("shared").alias("shared")))
+    found = pairs.mapInPandas(_shared, "host string, lines bigint, shared array<int>")
+    shared = found.select("host", "lines", F.explode("shared").alias("line")).groupBy("host", "lines").agg(F.collect_set("line").alias("shared"))
+    losing = outline.filter(F.size("open") > 0).select("page_id", "name", "host", "lines").join(shared, ["host", "lines"])
+    # Equal html at several hosts under one id: one of its results, always the same.
+    lost = stored(losing.groupBy(C("page_id").alias("id"), C("name").alias("of")).agg(F.max(F.array_sort("shared")).alias("shared")))
     return rows.join(lost, (C("name") == C("of")) & C("page_id").eqNullSafe(C("id")), "left").select("page_id", "url", "html", "shared").mapInPandas(
         _texts, "page_id bigint, url string, text string, n_chars bigint"
     )
