@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapengine.llm import bitsliced, mixing, neardup, rotation, vectordup
+from gapengine.llm import bitsliced, hardneg, merkle, mixing, neardup, rotation, vectordup
 from gapengine.llm.bitsliced import exact_top_k
 from gapengine.llm.common import table
+from gapengine.llm.hardneg import hard_negatives, relabelled
 from gapengine.llm.kneserney import score_quality
 from gapengine.llm.licences import licence_report
+from gapengine.llm.merkle import merkle_report
 from gapengine.llm.mixing import mix_sources
 from gapengine.llm.neardup import near_duplicates
 from gapengine.llm.pages import main_text
@@ -73,10 +75,20 @@ def op10_pieces(spark: SparkSession, sf: str, model: str = VOCABULARY) -> DataFr
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(prepared(spark), sf, "embeddings")
+    return hard_negatives(vectors.withColumn("label", relabelled(F.col("label"), F.col("vec_id"))))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle_report(table(prepared(spark), sf, "documents"))
+
+
 QUERIES = [
     op1_mix_sources, op2_near_duplicates, op3_perspectives, op4_licences, op5_quality, op6_exact_top_k, op7_near_vectors, op8_main_text,
-    op9_personal_data, op10_pieces,
+    op9_personal_data, op10_pieces, op11_hard_negatives, op12_merkle_manifest,
 ]
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE, "op2_near_duplicates": neardup.ORACLE, "op3_perspectives": rotation.ORACLE, "op6_exact_top_k": bitsliced.ORACLE, "op7_near_vectors": vectordup.ORACLE,
+    "op11_hard_negatives": hardneg.ORACLE, "op12_merkle_manifest": merkle.ORACLE,
 }
