@@ -168,7 +168,7 @@ def _positives(anchors: _Block, some: slice, rows: _Block, scores: np.ndarray) -
 
 
 def _negatives(anchors: _Block, some: slice, rows: _Block, scores: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    other = anchors.labels[some, None] != rows.labels
+    other = (anchors.labels[some, None] != rows.labels) & (anchors.ids[some, None] != rows.ids)
     bounds = anchors.bounds[some]
     for slot in range(bounds.shape[1] // 2):
         yield slot, other & (scores >= bounds[:, 2 * slot, None]) & (scores <= bounds[:, 2 * slot + 1, None])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapengine.llm import bitsliced, hardneg, merkle, mixing, neardup, rotation, vectordup
+from gapengine.llm import bitsliced, decontam, hardneg, merkle, mixing, neardup, rotation, vectordup
 from gapengine.llm.bitsliced import exact_top_k
 from gapengine.llm.common import table
+from gapengine.llm.decontam import contamination_report
 from gapengine.llm.hardneg import hard_negatives, relabelled
 from gapengine.llm.kneserney import score_quality
 from gapengine.llm.licences import licence_report
@@ -84,11 +85,15 @@ def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle_report(table(prepared(spark), sf, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination_report(table(prepared(spark), sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = [
     op1_mix_sources, op2_near_duplicates, op3_perspectives, op4_licences, op5_quality, op6_exact_top_k, op7_near_vectors, op8_main_text,
-    op9_personal_data, op10_pieces, op11_hard_negatives, op12_merkle_manifest,
+    op9_personal_data, op10_pieces, op11_hard_negatives, op12_merkle_manifest, op13_decontamination,
 ]
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE, "op2_near_duplicates": neardup.ORACLE, "op3_perspectives": rotation.ORACLE, "op6_exact_top_k": bitsliced.ORACLE, "op7_near_vectors": vectordup.ORACLE,
-    "op11_hard_negatives": hardneg.ORACLE, "op12_merkle_manifest": merkle.ORACLE,
+    "op11_hard_negatives": hardneg.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_decontamination": decontam.ORACLE,
 }
