@@ -211,6 +211,33 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(lists, pa.list_(pa.int64()))], schema=_SHINGLED_SCHEMA)
 
 
+_OCCURRENCES = "region binary, shingle bigint, at int, before int, context string"
+_OCCURRENCES_SCHEMA = pa.schema([("region", pa.binary()), ("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("context", pa.string())])
+
+
+def _occurrences(bitmap: np.ndarray, window: int):
+    """Places of a passage where a prefix may stand, with as many words on both sides as a window can reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for region, text, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                hashes, words = shingles.values, text.split(" ")
+                places = np.flatnonzero(in_filter(bitmap, hashes)).tolist()
+                for start in range(0, len(places), 1000):
+                    some = places[start : start + 1000]
+                    first = [max(0, at - window + 1) for at in some]
+                    yield pa.record_batch(
+                        [
+                            pa.array([region] * len(some), pa.binary()), hashes.take(pa.array(some)), pa.array(some, pa.int32()),
+                            pa.array([at - f for at, f in zip(some, first)], pa.int32()),
+                            pa.array([" ".join(words[f : at + window]) for at, f in zip(some, first)], pa.string()),
+                        ],
+                        schema=_OCCURRENCES_SCHEMA,
+                    )
+
+    return run
+
+
 def _hot(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Keys that hold more than the n-th part of all rows, so fewer than n, and into how many parts to split them."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -282,12 +309,15 @@ def contamination(
         .agg(F.count(F.lit(1)).alias("there"), F.min(F.struct("n", "shingle", "offset")).alias("rarest"))
         .filter(C("there") == C("n_shingles")).select(C("words").alias("window"), "length", "class", "rarest.shingle", "rarest.offset")
     )
-    inside = regions.select("region", "words", F.posexplode("shingles").alias("at", "shingle")).withColumn("list", F.split("words", " ")).drop("words")
-    begin = C("at") - C("offset")
+    wanted = id_filter(prefixes.select("shingle"))
+    inside = stored(regions.select("region", "words", "shingles").mapInArrow(_occurrences(wanted, window), _OCCURRENCES))
+    # Where the window starts, in the context and in the passage.
+    begin, start = C("before") - C("offset"), (C("at") - C("offset")).cast("bigint")
+    words = F.split("context", " ")
     matches = stored(
-        inside.join(prefixes, "shingle").filter((begin >= 0) & (begin + C("length") <= F.size("list")))
-        .filter(F.array_join(F.slice("list", F.greatest(begin + 1, F.lit(1)), C("length")), " ") == C("window"))
-        .select("region", begin.cast("bigint").alias("from"), (begin + C("length")).cast("bigint").alias("to"), "class")
+        inside.join(prefixes, "shingle").filter((begin >= 0) & (begin + C("length") <= F.size(words)))
+        .filter(F.array_join(F.slice(words, F.greatest(begin + 1, F.lit(1)), C("length")), " ") == C("window"))
+        .select("region", start.alias("from"), (start + C("length")).alias("to"), "class")
     )
     covered = _disjoint(matches.select("region", "from", "to").distinct(), ["region"]).groupBy("region").agg(F.collect_list(F.struct("from", "to")).alias("covered"))
     found = stored(covered.join(matches.groupBy("region").agg(F.collect_set("class").alias("classes")), "region"))
@@ -317,7 +347,7 @@ def contamination(
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         )
     )
-    for used in (windows, distinct, members, scanned, places, regions, prefixes, matches, found, hits, sets, listed, results):
+    for used in (windows, distinct, members, scanned, places, regions, prefixes, inside, matches, found, hits, sets, listed, results):
         discard(used)
     return out
 
@@ -344,7 +374,7 @@ o AS (
   SELECT r, i, n, array_to_string(words[i : i + n - 1], ' ') AS window
   FROM (SELECT r, words, n, unnest(generate_series(1, len(words) - n + 1)) AS i FROM w JOIN (SELECT DISTINCT n FROM v) ON len(words) >= n)),
 m AS (SELECT r, i, o.n, item_id FROM o JOIN v ON o.n = v.n AND o.window = v.window),
-h AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS at FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
+h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS place FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
 t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
