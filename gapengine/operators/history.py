@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapengine import fixed
 from gapengine.functions.text import family_key, known_code, lookup, strings
+from gapengine.operators.sizing import running_total
 
 
 def latest_analysis(analyses: DataFrame, key: str = "incident_id", seq: str = "analysis_id") -> DataFrame:
@@ -50,16 +51,15 @@ def implied_families(signals: Column) -> Column:
     return F.array_distinct(F.transform(pointed, family_key))
 
 
-def recurrence_at_arrival(incidents: DataFrame, gaps: DataFrame, key: str = "incident_id", step: Column | None = None) -> DataFrame:
+def recurrence_at_arrival(incidents: DataFrame, gaps: DataFrame, key: str = "incident_id") -> DataFrame:
     """RNK-7: for each incident, the most earlier incidents any implied family
     already has gaps in.
 
     ``incidents``: key, arrival, signals; ``gaps``: key, arrival, family_key.
-    An incident counts once per family, at its first gap.  There are few
-    families, so a running count over a whole family would be one huge
-    partition: rows are counted per (family, step) first, the steps of a family
-    are added up, and only rows inside one step are ordered.  ``step`` must
-    never decrease with (arrival, key); by default it is the arrival itself.
+    An incident counts once per family, at its first gap; earlier means by
+    (arrival, key).  There are few families, so their running counts are formed
+    over ranges of (family, arrival, key): a family may hold every row, and all
+    its arrivals may differ.
     """
     firsts = gaps.groupBy("family_key", key).agg(F.min("arrival").alias("arrival")).select(
         "family_key", key, "arrival", F.lit(1).alias("is_gap")
@@ -67,21 +67,11 @@ def recurrence_at_arrival(incidents: DataFrame, gaps: DataFrame, key: str = "inc
     asks = incidents.select(
         F.explode(implied_families(F.col("signals"))).alias("family_key"), key, "arrival", F.lit(0).alias("is_gap")
     ).distinct()
-    both = firsts.unionByName(asks).withColumn("step", F.col("arrival") if step is None else step)
-    # A step's own gaps, and all gaps of the family's earlier steps.
-    per_step = both.groupBy("family_key", "step").agg(F.sum("is_gap").alias("n"))
-    earlier = Window.partitionBy("family_key").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    per_step = per_step.select("family_key", "step", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("family_key", "step").orderBy("arrival", key).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
+    # An incident asks before its own gap at the same place counts.
+    counted = running_total(
+        firsts.unionByName(asks).filter("family_key is not null"), ["family_key"], [F.col(c).asc() for c in ("arrival", key, "is_gap")], "is_gap", "n"
     )
-    # The asking incident's own gap, if it has one, stands at the same place.
-    own = Window.partitionBy("family_key", "step", "arrival", key)
-    running = both.withColumn("upto", F.sum("is_gap").over(inside) - F.sum("is_gap").over(own))
-    counted = running.filter("is_gap = 0").join(per_step, ["family_key", "step"]).select(
-        key, (F.col("before") + F.col("upto")).alias("n")
-    )
-    most = counted.groupBy(key).agg(F.max("n").alias("similar_incidents"))
+    most = counted.filter("is_gap = 0").groupBy(key).agg(F.max("n").alias("similar_incidents"))
     return incidents.select(key).join(most, key, "left").select(
         key, F.coalesce("similar_incidents", F.lit(0)).cast("bigint").alias("similar_incidents")
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapengine import fixed
 from gapengine.functions.extract import exercised_signals, no_pairs, test_text
+from gapengine.operators.impact import impact_blocks
 from gapengine.operators.sizing import materialise
 from gapengine.functions.text import explode_tokens, synonym_map, strings
 
@@ -30,6 +31,7 @@ class Index(NamedTuple):
     bucket_idf: DataFrame   # bucket, idf
     vocabulary: DataFrame   # feature, term, weight
     feature_counts: DataFrame  # feature, n_tests
+    blocks: DataFrame       # term, level, block, n_blocks, highest, n, rows ARRAY<STRUCT<impact, doc_id>>
 
 
 # ------------------------------------------------------------------- lexical half
@@ -283,7 +285,7 @@ def build_index(
     idf = materialise(bucket_idf(buckets, corpus))
     weights, counts = vocabulary(feature_words(docs, feature, vocabulary_text))
     vectors = packed_vectors(weighted_vectors(buckets, idf, corpus)) if embed is None else embed(docs.select("doc_id", "text"))
-    return Index(terms, stats, corpus, vectors, idf, weights, counts)
+    return Index(terms, stats, corpus, vectors, idf, weights, counts, materialise(impact_blocks(terms, stats, corpus)))
 
 
 SCHEMA_VERSION = 1

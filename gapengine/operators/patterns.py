@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapengine import fixed
@@ -9,10 +11,50 @@ from gapengine.functions.text import family_label, lookup
 from gapengine.operators.decide import recurrence_points, risk_level
 
 
-def _frequencies(obs: DataFrame, column: str, keep: int | None = None) -> DataFrame:
-    """Values of a column per family, most frequent first, ties by value: counted
-    map-side, and cut to ``keep`` before a family's values meet."""
-    counts = obs.groupBy("family_key", F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+class Partials(NamedTuple):
+    """What patterns are made of; two sets of partials add up row by row."""
+
+    incidents: DataFrame  # family_key, incident_id, first_seen, n_gaps, n_uncovered, worst
+    tallies: DataFrame    # family_key, kind ("gap_type" or "feature"), v, n
+
+
+_MERGE = (
+    {"first_seen": F.min, "n_gaps": F.sum, "n_uncovered": F.sum, "worst": F.max},
+    {"n": F.sum},
+)
+_KEYS = (("family_key", "incident_id"), ("family_key", "kind", "v"))
+
+
+def partials_of(obs: DataFrame, order: str = "arrival") -> Partials:
+    """AGG-14 input: one pass over the gaps for each table, counted map-side.
+
+    There are few families, so nothing is grouped by family alone here."""
+    obs = observations(obs)
+    severity = lookup(F.upper("severity"), fixed.SEVERITY_POINTS, 1)
+    incidents = obs.groupBy("family_key", "incident_id").agg(
+        F.min(order).alias("first_seen"), F.count(F.lit(1)).alias("n_gaps"),
+        F.count(F.when(F.col("coverage") == "NOT_COVERED", 1)).alias("n_uncovered"), F.max(severity).alias("worst"),
+    )
+    values = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("v")) for kind in ("gap_type", "feature")])
+    tallies = obs.select("family_key", F.inline(values)).groupBy("family_key", "kind", "v").agg(F.count(F.lit(1)).alias("n"))
+    return Partials(incidents, tallies)
+
+
+def merged(parts: list[Partials]) -> Partials:
+    """STR-2: partials of several batches as those of all their gaps together."""
+    out = []
+    for tables, keys, how in zip(zip(*parts), _KEYS, _MERGE):
+        rows = tables[0]
+        for more in tables[1:]:
+            rows = rows.unionByName(more)
+        out.append(rows.groupBy(*keys).agg(*[f(c).alias(c) for c, f in how.items()]))
+    return Partials(*out)
+
+
+def _frequencies(tallies: DataFrame, kind: str, keep: int | None = None) -> DataFrame:
+    """Values of a kind per family, most frequent first, ties by value; cut to
+    ``keep`` before a family's values meet."""
+    counts = tallies.filter(F.col("kind") == kind)
     if keep:
         order = Window.partitionBy("family_key").orderBy(F.desc("n"), "v")
         counts = counts.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= keep)
@@ -32,35 +74,31 @@ def recurring_patterns(
     """AGG-14..17: one row per family seen in enough distinct incidents.
 
     ``obs``: incident_id, gap_type, family_key, feature, severity, coverage and an
-    arrival column.  There are few families, so nothing is ever grouped by family
-    alone before it is reduced: distinct incidents are found per (family,
-    incident), counts combine map-side, and examples are cut to 12 per task.
-    """
-    obs = observations(obs)
-    firsts = obs.groupBy("family_key", "incident_id").agg(F.min(order).alias("first_seen"), F.count(F.lit(1)).alias("n_gaps"))
-    totals = firsts.groupBy("family_key").agg(
-        F.count(F.lit(1)).alias("incident_count"), F.sum("n_gaps").alias("gap_count")
-    )
-    severity = lookup(F.upper("severity"), fixed.SEVERITY_POINTS, 1)
-    facts = obs.groupBy("family_key").agg(
-        F.max(severity).alias("worst"),
-        F.count(F.when(F.col("coverage") == "NOT_COVERED", 1)).alias("n_uncovered"),
-    )
-    spread = obs.groupBy("family_key", "feature").agg(F.count(F.lit(1)).alias("n")).groupBy("family_key").agg(
-        F.count(F.lit(1)).alias("n_features")
+    arrival column."""
+    return patterns_from(partials_of(obs, order), min_incidents)
+
+
+def patterns_from(partials: Partials, min_incidents: int = fixed.PATTERN_MIN_INCIDENTS) -> DataFrame:
+    """AGG-14..17 from partials: counts combine map-side, and examples are cut to
+    12 per task before a family's incidents meet."""
+    incidents, tallies = partials
+    totals = incidents.groupBy("family_key").agg(
+        F.count(F.lit(1)).alias("incident_count"), F.sum("n_gaps").alias("gap_count"), F.max("worst").alias("worst"),
+        F.sum("n_uncovered").alias("n_uncovered"),
     )
+    spread = tallies.filter("kind = 'feature'").groupBy("family_key").agg(F.count(F.lit(1)).alias("n_features"))
     first12 = Window.partitionBy("family_key").orderBy("first_seen", "incident_id")
     examples = (
-        firsts.withColumn("p", F.row_number().over(first12)).filter(F.col("p") <= fixed.PATTERN_EXAMPLES)
+        incidents.withColumn("p", F.row_number().over(first12)).filter(F.col("p") <= fixed.PATTERN_EXAMPLES)
         .groupBy("family_key").agg(F.array_sort(F.collect_list(F.struct("p", "incident_id"))).alias("e"))
         .select("family_key", F.col("e.incident_id").alias("example_incident_ids"))
     )
-    types = _frequencies(obs, "gap_type").select("family_key", F.col("r.v").alias("gap_types"))
-    features = _frequencies(obs, "feature", fixed.PATTERN_FEATURES).select(
+    types = _frequencies(tallies, "gap_type").select("family_key", F.col("r.v").alias("gap_types"))
+    features = _frequencies(tallies, "feature", fixed.PATTERN_FEATURES).select(
         "family_key", F.col("r.v").alias("features"), (-F.get("r", F.lit(0))["n"]).alias("leading_n")
     )
     p = totals.filter(F.col("incident_count") >= min_incidents)
-    for side in (facts, spread, examples, types, features):
+    for side in (spread, examples, types, features):
         p = p.join(side, "family_key")
     share = F.col("leading_n") / F.col("gap_count")
     leading = F.get("features", F.lit(0))
@@ -99,18 +137,15 @@ def pattern_points(n_incidents, worst, n_uncovered, n_gaps, n_features) -> Colum
 
 
 def pattern_summary(label: Column, n: Column, share: Column, features: Column, gap_type: Column) -> Column:
-    """AGG-17."""
+    """AGG-17: size, place and usual kind of a pattern in one line."""
     leading = F.get(features, F.lit(0))
-    where = (
-        F.when(share >= 0.6, F.concat(F.lit(", "), F.floor(share * 100).cast("string"), F.lit("% of them in "), leading))
-        .when(F.size(features) > 1, F.concat(F.lit(", spread across "), F.array_join(F.slice(features, 1, 3), ", ")))
-        .otherwise(F.concat(F.lit(" in "), leading))
+    place = (
+        F.when(share >= 0.6, F.concat(F.lit("mostly "), leading, F.lit(" ("), F.floor(share * 100).cast("string"), F.lit(" %)")))
+        .when(F.size(features) > 1, F.concat(F.lit("several areas: "), F.array_join(F.slice(features, 1, 3), ", ")))
+        .otherwise(F.concat(F.lit("only "), leading))
     )
     kind = F.lower(F.replace(gap_type, F.lit("_"), F.lit(" ")))
-    return F.concat(
-        n.cast("string"), F.lit(" incidents involve "), F.lower(label), where,
-        F.lit(". The most common gap is "), kind, F.lit("."),
-    )
+    return F.concat(label, F.lit(" x"), n.cast("string"), F.lit("; "), place, F.lit("; usual gap: "), kind)
 
 
 def link_gaps(gaps: DataFrame, patterns: DataFrame) -> DataFrame:

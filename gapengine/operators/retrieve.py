@@ -1,27 +1,21 @@
 """Hybrid candidate retrieval: exact BM25 plus exact hashed TF-IDF cosine.
 
-The catalogue is never joined with the incidents pair by pair across the
-network.  Queries (incident terms or vectors) are sent to where the documents
-are, in blocks whose size is checked; scores are formed document by document
-and only each query's best rows per task are shuffled.
+Both halves leave out what their bounds show to be too weak (see ``impact`` and
+``vectors``), so only pairs that may still enter a result meet.  ``bm25_scores``
+is the plain form: every document that shares a term.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapengine import fixed
 from gapengine.functions.text import explode_tokens, synonym_map
+from gapengine.operators.impact import asked_levels, impact_of, kth_best, pruned_scores, score_pairs, seed_pairs
 from gapengine.operators.sizing import BROADCAST_ROWS, blocks_for, materialise
-
-# Rows of a block of queries and of a part of the documents: with 512 buckets
-# the two matrices and their product take some 60 MB.
-VECTOR_BLOCK = 1_000
-DOCUMENT_PART = 4_000
+from gapengine.operators.vectors import PART_ROWS, VectorIndex, build_vector_index, search as search_vectors
 
 
 def blend(
@@ -80,15 +74,10 @@ def bm25_scores(
     over a pair's terms closes locally and a term held by a third of the
     documents is no hot spot: its postings stay spread with their documents.
     """
-    k1, b = fixed.BM25_K1, fixed.BM25_B
-    weighted = queries.join(stats.select("term", "idf"), "term").select(
-        key, "term", (F.col("weight") * F.col("idf")).alias("w")
-    ).join(F.broadcast(corpus.select("avg_length")))  # one row
+    weighted = queries.join(stats.select("term", "idf"), "term").select(key, "term", "weight", "idf").join(F.broadcast(corpus.select("avg_length")))  # one row
 
     def score(block: DataFrame) -> DataFrame:
-        tf = F.col("tf").cast("double")
-        length = F.greatest("doc_length", F.lit(1)) / F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(1.0)
-        part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
+        part = F.col("weight") * impact_of(F.col("tf"), F.col("doc_length"), F.col("idf"), F.col("avg_length"))
         return (
             terms.join(F.broadcast(block), "term")  # at most ``rows`` rows, checked
             .groupBy("doc_id", key).agg(F.sum(part).alias("bm25"))
@@ -129,62 +118,17 @@ def best_per_query(df: DataFrame, k: int, key: str = "query_id", score: str = "s
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_top_k(
-    vectors: DataFrame, queries: DataFrame, k: int, key: str = "query_id", block: int = VECTOR_BLOCK, part: int = DOCUMENT_PART
-) -> DataFrame:
-    """JON-2/RNK-1: exact inner-product top k over packed vectors.
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "query_id", part: int = PART_ROWS) -> DataFrame:
+    """JON-2/RNK-1: exact inner-product top k over packed vectors that have no index yet.
 
-    Documents lie in parts and queries in blocks, both of bounded size; every
-    part meets every block in one group, which multiplies the two and keeps the
-    k best documents per query.  Nothing passes through the driver.
     Similarities are rounded to 9 digits so that equal texts tie whatever the
-    layout.
-    """
-    key_type = queries.schema[key].dataType.simpleString()
-    doc_type = vectors.schema["doc_id"].dataType.simpleString()
-    vectors, queries = vectors.select("doc_id", "buckets", "weights"), queries.select(key, "buckets", "weights")
-    n_parts, n_blocks = blocks_for(vectors.count(), part), blocks_for(queries.count(), block)
-
-    def numbers(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = vectors.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int")).withColumn("block", numbers(n_blocks))
-    right = queries.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")).withColumn("part", numbers(n_parts))
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(
-        _scorer(key, k), f"{key} {key_type}, doc_id {doc_type}, similarity double"
-    )
-    return best_per_query(found, k, key)
-
-
-def _dense(rows: pd.DataFrame, width: int) -> np.ndarray:
-    m = np.zeros((len(rows), width))
-    sizes = rows["buckets"].map(len).to_numpy()
-    if sizes.sum():
-        r = np.repeat(np.arange(len(rows)), sizes)
-        m[r, np.concatenate(rows["buckets"].to_list()).astype(int)] = np.concatenate(rows["weights"].to_list())
-    return m
-
-
-def _scorer(key: str, k: int):
-    def run(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if docs.empty or queries.empty:
-            return pd.DataFrame({key: queries[key].iloc[:0].reset_index(drop=True), "doc_id": docs["doc_id"].iloc[:0].reset_index(drop=True),
-                                 "similarity": np.zeros(0)})
-        docs = docs.sort_values("doc_id", ignore_index=True)
-        width = 1 + max((int(max(b)) for rows in (docs, queries) for b in rows["buckets"] if len(b)), default=0)
-        sims = np.round(_dense(queries, width) @ _dense(docs, width).T, 9)
-        keep = min(k, len(docs))
-        # The k-th best value of each query, and all documents that reach it: ties are cut by id.
-        floor = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1]
-        q, d = np.nonzero(sims >= floor[:, None])
-        order = np.lexsort((d, -sims[q, d], q))
-        q, d = q[order], d[order]
-        first = np.arange(len(q)) - np.searchsorted(q, q) < keep
-        q, d = q[first], d[first]
-        column = lambda ids, rows: pd.Series(ids.to_numpy()[rows], dtype=None if ids.dtype.kind in "iuf" else object)
-        return pd.DataFrame({key: column(queries[key], q), "doc_id": column(docs["doc_id"], d), "similarity": sims[q, d]})
-
-    return run
+    layout."""
+    return search_vectors(build_vector_index(vectors, part_rows=part), queries, k, key)
+
+
+def indexed_search(index: VectorIndex) -> Callable[[DataFrame, DataFrame, int, str], DataFrame]:
+    """UDF-3: the search of ``retrieve`` over an index built once."""
+    return lambda _, queries, k, key: search_vectors(index, queries, k, key)
 
 
 def query_vectors(queries: DataFrame, idf: DataFrame, corpus: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
@@ -197,20 +141,18 @@ def query_vectors(queries: DataFrame, idf: DataFrame, corpus: DataFrame, key: st
 # ------------------------------------------------------------------------- hybrid
 
 
-def scored_candidates(
-    lexical: DataFrame, hits: DataFrame, terms: DataFrame, words: DataFrame, incidents: DataFrame, docs: DataFrame,
-    key: str = "query_id",
-) -> DataFrame:
+def scored_candidates(lexical: DataFrame, hits: DataFrame, incidents: DataFrame, docs: DataFrame, key: str = "query_id") -> DataFrame:
     """JON-3/JON-4/RNK-3: union of both halves with the blended score.
 
-    The vector hits (at most k per query) come to the lexical pairs, which stay
-    where they are; hits that share no term with their query are added.
-    ``incidents``: key, i_feature, i_keys, i_signals; ``docs``: doc_id, t_feature,
-    t_keys, t_signals.
+    ``lexical``: key, doc_id, lexical; ``hits``: key, doc_id, similarity, at most k
+    per query.  ``incidents``: key, i_feature, i_keys, i_signals; ``docs``: doc_id,
+    t_feature, t_keys, t_signals.
     """
-    hits = hits.select(key, "doc_id", "similarity")
-    both = lexical.select(key, "doc_id", "lexical").join(hits, [key, "doc_id"], "left")
-    pairs = both.unionByName(vector_only(hits, terms, words, key).withColumn("lexical", F.lit(0.0)))
+    nothing = F.lit(None).cast("double")
+    both = lexical.select(key, "doc_id", "lexical", nothing.alias("similarity")).unionByName(
+        hits.select(key, "doc_id", nothing.alias("lexical"), "similarity")
+    )
+    pairs = both.groupBy(key, "doc_id").agg(F.coalesce(F.max("lexical"), F.lit(0.0)).alias("lexical"), F.max("similarity").alias("similarity"))
     pairs = pairs.join(docs, "doc_id").join(incidents, key)
     vector_score = F.greatest(F.lit(0.0), F.coalesce("similarity", F.lit(0.0)))
     match = (F.col("i_feature") != "") & (F.col("i_feature") == F.col("t_feature"))
@@ -228,13 +170,55 @@ def scored_candidates(
     )
 
 
-def vector_only(hits: DataFrame, terms: DataFrame, words: DataFrame, key: str = "query_id") -> DataFrame:
-    """Vector hits whose document holds none of the query's terms."""
-    sharing = (
-        terms.select("doc_id", "term").join(hits.select(key, "doc_id"), "doc_id")
-        .join(words.select(key, "term"), [key, "term"]).select(key, "doc_id").distinct()
-    )
-    return hits.join(sharing, [key, "doc_id"], "left_anti")
+def best_boost(incidents: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, boost): the most that the boosts of RNK-3 can multiply a query's scores with."""
+    product = F.lit(1.0)
+    for applies, boost in (
+        (F.col("i_feature") != "", fixed.FEATURE_BOOST), (F.size("i_keys") > 0, fixed.CONDITION_BOOST), (F.size("i_signals") > 0, fixed.SIGNAL_BOOST),
+    ):
+        product = product * F.when(F.coalesce(applies, F.lit(False)), boost).otherwise(1.0)
+    return incidents.select(key, product.alias("boost"))
+
+
+def lexical_candidates(
+    index, words: DataFrame, hits: DataFrame, incidents: DataFrame, docs: DataFrame, key: str = "query_id", keep: int = fixed.TOP_K
+) -> tuple[DataFrame, DataFrame]:
+    """JON-1/RNK-2: (key, doc_id, lexical) of every document that can be among a
+    query's ``keep`` best or is one of its vector hits, and (key, best), the
+    largest score of each query.
+
+    The seeds and the vector hits, scored in full, set a threshold on the blended
+    score; with it goes the least a document without vector hit needs of BM25.
+    Documents that carry one of the query's signals compete for places of their
+    own (RNK-5), so where a query has signals all of these are scored."""
+    parts = (index.doc_terms, index.term_stats, index.corpus)
+    levels = materialise(asked_levels(index.blocks, words, key))
+    seeds = seed_pairs(levels, index.blocks, key).unionByName(hits.select(key, "doc_id")).distinct()
+    seeds = materialise(score_pairs(seeds, *parts, words, key))
+    first = pruned_scores(index.blocks, *parts, words, 1, key, levels=levels, seeds=seeds)
+    best = materialise(first.groupBy(key).agg(F.max("bm25").alias("best")))
+    known = scored_candidates(scaled_lexical(seeds, best, key), hits, incidents, docs, key)
+    # Blended scores have four digits; a document below all of this can't be kept.
+    least = kth_best(known, keep, "score", key).join(best, key).join(best_boost(incidents, key), key)
+    need = (F.col("threshold") - 1e-4) / (fixed.LEXICAL_WEIGHT * F.col("boost")) * F.col("best")
+    thresholds = least.select(key, F.greatest(need, F.lit(0.0)).alias("threshold"))
+    strong = pruned_scores(index.blocks, *parts, words, keep, key, levels=levels, thresholds=thresholds)
+    carried = signal_carriers(index, words, incidents, docs, key)
+    every = seeds.unionByName(strong).unionByName(carried).dropDuplicates([key, "doc_id"])
+    return scaled_lexical(every, best, key).select(key, "doc_id", "lexical"), best
+
+
+def signal_carriers(index, words: DataFrame, incidents: DataFrame, docs: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, doc_id, bm25) of the documents of a query's feature that carry one of its signals and share a term."""
+    asks = incidents.filter((F.col("i_feature") != "") & (F.size("i_signals") > 0)).select(key, F.col("i_feature").alias("t_feature"), F.explode("i_signals").alias("signal"))
+    held = docs.filter(F.size("t_signals") > 0).select("doc_id", "t_feature", F.explode("t_signals").alias("signal"))
+    pairs = asks.join(held, ["t_feature", "signal"]).select(key, "doc_id").distinct()
+    return score_pairs(pairs, index.doc_terms, index.term_stats, index.corpus, words, key)
+
+
+def most_kept(top_k: int = fixed.TOP_K) -> int:
+    """Places of one list of ``finalists``."""
+    return max(top_k, fixed.FALLBACK_KEEP, len(fixed.SIGNAL_PATTERNS))
 
 
 def finalists(scored: DataFrame, key: str = "query_id", top_k: int = fixed.TOP_K) -> DataFrame:
@@ -247,7 +231,7 @@ def finalists(scored: DataFrame, key: str = "query_id", top_k: int = fixed.TOP_K
         F.array().cast("array<string>")
     )
     order = Window.partitionBy(key, "label").orderBy(F.desc("score"), "doc_id")
-    most = max(top_k, fixed.FALLBACK_KEEP, len(fixed.SIGNAL_PATTERNS))
+    most = most_kept(top_k)
     return (
         scored.withColumn("label", F.explode(F.concat(every, carried)))
         .withColumn("rank", F.row_number().over(order))
@@ -255,14 +239,13 @@ def finalists(scored: DataFrame, key: str = "query_id", top_k: int = fixed.TOP_K
     )
 
 
-def retrieval_stats(best: DataFrame, final: DataFrame, alone: DataFrame, key: str = "query_id") -> DataFrame:
-    """AGG-26: number of candidates and best score of each query."""
+def retrieval_stats(final: DataFrame, index, words: DataFrame, hits: DataFrame, key: str = "query_id") -> DataFrame:
+    """AGG-26: best score of each query, and how many documents either half finds;
+    counted only where the number is asked for."""
     top = final.filter("label = ''").groupBy(key).agg(F.max("score").alias("retrieval_top"))
-    extra = alone.groupBy(key).agg(F.count(F.lit(1)).alias("n_alone"))
-    return top.join(best.select(key, "n_hits"), key, "left").join(extra, key, "left").select(
-        key, "retrieval_top",
-        (F.coalesce("n_hits", F.lit(0)) + F.coalesce("n_alone", F.lit(0))).alias("candidate_count"),
-    )
+    sharing = index.doc_terms.select("doc_id", "term").join(words.select(key, "term"), "term").select(key, "doc_id")
+    found = sharing.unionByName(hits.select(key, "doc_id")).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return top.join(found, key, "left").select(key, "retrieval_top", F.coalesce("n", F.lit(0)).alias("candidate_count"))
 
 
 def keep_candidates(final: DataFrame, key: str = "query_id", top_k: int = fixed.TOP_K) -> DataFrame:
@@ -316,19 +299,14 @@ def retrieve(
     result: kept ones by score, witnesses after them.  ``search`` (UDF-3) finds
     the ``top_k * oversample`` nearest documents, (key, doc_id, similarity);
     ``embed`` (UDF-2) turns (key, text) into (key, buckets, weights) and must be
-    the one the index was built with.  Two passes over the
-    scored pairs (maxima, then finalists); everything after is small.
+    the one the index was built with.
     """
     words = materialise(query_terms(queries, key))
     asked = query_vectors(queries, index.bucket_idf, index.corpus, key) if embed is None else embed(queries)
-    hits = materialise(search(index.vectors, asked, top_k * oversample, key))
-    scores = bm25_scores(index.doc_terms, index.term_stats, index.corpus, words, key)
-    best = materialise(lexical_best(scores, key))
-    lexical = scaled_lexical(scores, best, key)
-    final = materialise(
-        finalists(scored_candidates(lexical, hits, index.doc_terms, words, incidents, docs, key), key, top_k)
-    )
-    stats = retrieval_stats(best, final, vector_only(hits, index.doc_terms, words, key), key)
+    hits = materialise(search(index.vectors, asked, top_k * oversample, key).select(key, "doc_id", "similarity"))
+    lexical, _ = lexical_candidates(index, words, hits, incidents, docs, key, most_kept(top_k))
+    final = materialise(finalists(scored_candidates(lexical, hits, incidents, docs, key), key, top_k))
+    stats = retrieval_stats(final, index, words, hits, key)
     kept = keep_candidates(final, key, top_k)
     columns = [key, "doc_id", "score", "vector_score", "lexical_score", "feature_match", "rank_key"]
     first = kept.withColumn("rank_key", F.col("rank"))

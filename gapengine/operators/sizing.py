@@ -65,3 +65,28 @@ def ordinal_within(
         .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
         .drop("_step", "_inside", "_before")
     )
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows before each row of its key, in ``order``; ``keys`` are not null.
+
+    Rows are spread by ranges of (key, order), so a key that holds most rows lies
+    in many tasks.  Each task sums inside its own range; what the ranges hold of
+    each key is summed apart -- as many numbers as there are ranges and keys
+    together -- and added.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = [F.col(k).asc() for k in keys] + order
+    ranged = materialise(df.repartitionByRange(n, *placed).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_total"))
+        .select(*keys, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    )
+    return (
+        ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(before, [*keys, "_range"])
+        .withColumn(out, (F.col("_before") + F.col("_inside")).cast("bigint"))
+        .drop("_range", "_inside", "_before")
+    )

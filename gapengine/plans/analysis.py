@@ -24,8 +24,9 @@ def index_catalogue(tests: DataFrame) -> tuple[DataFrame, Index]:
     return tests, index._replace(**{n: materialise(getattr(index, n)) for n in ("vectors", "vocabulary", "feature_counts")})
 
 
-def candidates_for(incidents: DataFrame, tests: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
-    """RNK-1..5 for normalised incidents and a catalogue keyed by ``doc_id``."""
+def candidates_for(incidents: DataFrame, tests: DataFrame, index: Index, **how) -> tuple[DataFrame, DataFrame]:
+    """RNK-1..5 for normalised incidents and a catalogue keyed by ``doc_id``;
+    ``how``: settings of ``retrieve``."""
     queries = incidents.select("incident_id", incident_text(*[F.col(c) for c in TEXT]).alias("text")).filter("trim(text) <> ''")
     i = incidents.select(
         "incident_id",
@@ -39,7 +40,7 @@ def candidates_for(incidents: DataFrame, tests: DataFrame, index: Index) -> tupl
         F.transform(F.coalesce("inputs", no_pairs()), lambda p: normalize(p["key"])).alias("t_keys"),
         F.coalesce("signals", strings([])).alias("t_signals"),
     )
-    return retrieve(index, queries, i, t, "incident_id")
+    return retrieve(index, queries, i, t, "incident_id", **how)
 
 
 def with_distinctive_terms(prepared: DataFrame, index: Index) -> DataFrame:
@@ -68,14 +69,15 @@ def compared(prepared: DataFrame, candidates: DataFrame, tests: DataFrame, condi
 
 def analyze(
     incidents: DataFrame, tests: DataFrame, index: Index, *, similar: DataFrame | None = None,
-    feature_points: dict | None = None, explain: bool = True,
+    feature_points: dict | None = None, explain: bool = True, **how,
 ) -> DataFrame:
     """DEC-15: one analysed row per incident.
 
     ``similar``: (incident_id, similar_incidents), the recurrence known on arrival.
+    ``how``: settings of ``retrieve`` (top_k, oversample, search, embed).
     """
     incidents = materialise(incidents)
-    candidates, stats = candidates_for(incidents, tests, index)
+    candidates, stats = candidates_for(incidents, tests, index, **how)
     candidates = materialise(candidates)
     prepared = materialise(with_distinctive_terms(prepare_incidents(incidents), index))
     most = prepared.agg(F.coalesce(F.max(F.size("i_conds")), F.lit(0))).first()[0]

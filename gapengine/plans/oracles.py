@@ -153,10 +153,10 @@ pats AS (
        JOIN examples USING (family_key) WHERE incident_count >= 3),
 patterns AS (
   SELECT *, CASE WHEN points >= 7 THEN 'HIGH' WHEN points >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS risk,
-    incident_count || ' incidents involve ' || lower(label) || CASE
-      WHEN share >= 0.6 THEN ', ' || CAST(floor(share * 100) AS BIGINT) || '% of them in ' || concentrated_in
-      WHEN n_top > 1 THEN ', spread across ' || top3 ELSE ' in ' || concentrated_in END
-    || '. The most common gap is ' || lower(replace(leading_type, '_', ' ')) || '.' AS summary
+    label || ' x' || incident_count || '; ' || CASE
+      WHEN share >= 0.6 THEN 'mostly ' || concentrated_in || ' (' || CAST(floor(share * 100) AS BIGINT) || ' %)'
+      WHEN n_top > 1 THEN 'several areas: ' || top3 ELSE 'only ' || concentrated_in END
+    || '; usual gap: ' || lower(replace(leading_type, '_', ' ')) AS summary
   FROM pats)
 """
 PATTERN_SELECT = """
@@ -421,6 +421,11 @@ ORACLES = {
     "event_recurrence": f"""WITH {EVENT_OBS}, i AS (SELECT incident_id, min(arrival) AS arrival FROM obs GROUP BY 1),
       f AS (SELECT family_key, incident_id, min(arrival) AS arrival FROM obs WHERE family_key IN ('RESILIENCE_RETRY_TIMEOUT', 'ERROR_HANDLING') GROUP BY 1, 2)
       SELECT i.incident_id, count(f.incident_id) AS similar_incidents FROM i LEFT JOIN f ON f.arrival < i.arrival GROUP BY 1""",
+    "streamed_recurrence": f"""WITH {EVENT_OBS}, i AS (SELECT incident_id, min(arrival) AS arrival FROM obs GROUP BY 1),
+      f AS (SELECT family_key, incident_id, min(arrival) AS arrival FROM obs WHERE family_key IN ('RESILIENCE_RETRY_TIMEOUT', 'ERROR_HANDLING') GROUP BY 1, 2)
+      SELECT i.incident_id, count(f.incident_id) AS similar_incidents FROM i LEFT JOIN f ON f.arrival < i.arrival GROUP BY 1""",
+    "streamed_trend": f"""WITH {EVENT_OBS} SELECT strftime(ts, '%Y-%m-%d') AS day, family_key, count(*) AS n,
+      count(*) FILTER (coverage = 'NOT_COVERED') AS n_uncovered FROM obs JOIN events ON arrival = event_id GROUP BY ALL""",
     "family_page": f"""WITH {EVENT_OBS}, h AS (SELECT incident_id, max(arrival) AS analysis_id FROM obs WHERE family_key = 'CONCURRENCY' GROUP BY 1),
       x AS (SELECT incident_id, max(feature) AS feature FROM obs GROUP BY 1)
       SELECT incident_id, analysis_id, feature FROM h JOIN x USING (incident_id) ORDER BY analysis_id DESC LIMIT 12""",

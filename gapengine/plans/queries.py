@@ -9,6 +9,7 @@ from gapengine.functions import extract as X, text as T
 from gapengine.operators import catalogue as cat, history as hist, index as ix, patterns as pat, retrieve as ret
 from gapengine.operators.compare import with_status
 from gapengine.operators.decide import confidence_level, recurrence_points, risk_level, risk_points
+from gapengine.operators.impact import impact_blocks, pruned_scores
 from gapengine.operators.incidents import merge_proposed_facts
 from gapengine.operators.sizing import materialise, ordinal_within
 from gapengine.plans import derived as d, explained, persisted, records, report
@@ -54,9 +55,7 @@ def _observations(spark, sf) -> DataFrame:
 
 def _recurrence(obs: DataFrame) -> DataFrame:
     incidents = obs.groupBy("incident_id").agg(F.min("arrival").alias("arrival"), F.max("signals").alias("signals"))
-    # Never decreases along (arrival, id): the day, then the id's leading characters.
-    step = F.struct("arrival", F.substring("incident_id", 1, 3))
-    return hist.recurrence_at_arrival(incidents, obs.select("incident_id", "arrival", "family_key"), step=step)
+    return hist.recurrence_at_arrival(incidents, obs.select("incident_id", "arrival", "family_key"))
 
 
 def recurrence_on_arrival(spark, sf):
@@ -334,24 +333,24 @@ def postings(spark, sf):
     return ix.doc_terms(_docs(spark, sf)).select("doc_id", "term", "tf", "doc_length")
 
 
-def _bm25(spark, sf):
+def _lexical(spark, sf):
     docs, queries = _docs(spark, sf), _queries(spark, sf)
-    terms, corpus, stats = ix.lexical_index(docs)
-    words = materialise(ret.query_terms(queries))
-    return ret.bm25_scores(terms, stats, corpus, words), queries
+    return *ix.lexical_index(docs), materialise(ret.query_terms(queries))
 
 
 def bm25_top(spark, sf):
-    """JON-1/AGG-2: the 20 best documents of each query."""
-    scores, _ = _bm25(spark, sf)
+    """JON-1/AGG-2: the 20 best documents of each query, reached through blocks and bounds."""
+    terms, corpus, stats, words = _lexical(spark, sf)
+    blocks = materialise(impact_blocks(terms, stats, corpus))
+    scores = pruned_scores(blocks, terms, stats, corpus, words, 20)
     top = ret.best_per_query(scores.withColumn("score", F.round("bm25", 6)), 20, score="score")
     return top.select("query_id", "doc_id", "score", C("rank").cast("bigint").alias("rank"))
 
 
 def lexical_maxima(spark, sf):
     """RNK-2."""
-    scores, _ = _bm25(spark, sf)
-    return ret.lexical_best(scores).select("query_id", F.round("best", 6).alias("best"), "n_hits")
+    terms, corpus, stats, words = _lexical(spark, sf)
+    return ret.lexical_best(ret.bm25_scores(terms, stats, corpus, words)).select("query_id", F.round("best", 6).alias("best"), "n_hits")
 
 
 def bucket_weights(spark, sf):
@@ -457,21 +456,53 @@ def event_patterns(spark, sf):
     return _pattern_columns(pat.recurring_patterns(_event_observations(table(spark, sf, "events"))))
 
 
-def streamed_patterns(spark, sf):
-    """STR-1/STR-2: the same patterns, reached by streaming the events in."""
+def _event_stream(spark, sf) -> tuple[DataFrame, str]:
+    """The events as a stream of four files in their order, one a batch, and the folder of the run."""
     import uuid
 
     from gapengine.operators.sizing import shared_folder
-    from gapengine.streaming.intake import current_patterns, start_intake
 
     run = f"{shared_folder(spark)}/intake-{uuid.uuid4().hex}"
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = table(spark, sf, "events")
+    low, high = events.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
+    step = (high - low) // 4 + 1
+    for k in range(4):  # one after another: a file source reads by time of writing
+        events.filter(F.floor((C("event_id") - low) / step) == k).coalesce(1).write.mode("append").parquet(f"{run}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/events")
+    return stream, run
+
+
+def streamed_patterns(spark, sf):
+    """STR-1/STR-2: the same patterns, reached by streaming the events in."""
+    from gapengine.streaming.intake import current_patterns, start_intake
+
+    stream, run = _event_stream(spark, sf)
     q = start_intake(stream, _event_observations, f"{run}/observations", f"{run}/patterns", f"{run}/checkpoint")
     q.awaitTermination()
     return _pattern_columns(current_patterns(spark, f"{run}/patterns"))
 
 
+def streamed_recurrence(spark, sf):
+    """STR-3: the counts of ``event_recurrence``, as each user's first event comes in."""
+    from gapengine.streaming.recurrence import recurrence_so_far, start_recurrence
+
+    stream, run = _event_stream(spark, sf)
+    facts = _event_observations(stream).withColumn("signals", T.strings(["retry", "error_handling"]))
+    start_recurrence(facts, f"{run}/recurrence", f"{run}/checkpoint").awaitTermination()
+    return recurrence_so_far(spark, f"{run}/recurrence")
+
+
+def streamed_trend(spark, sf):
+    """STR-3: gaps of each family and day; the events come in order, so none is late."""
+    from gapengine.streaming.trends import current_trend, start_trend
+
+    stream, run = _event_stream(spark, sf)
+    gap = T.lookup(C("event_type"), GAP_OF_EVENT, "MISSING_TEST")
+    gaps = stream.select("ts", T.family_key(gap).alias("family_key"), T.lookup(C("event_type"), {"error": "NOT_COVERED", "click": "NOT_COVERED"}, "PARTIAL").alias("coverage"))
+    start_trend(gaps, f"{run}/trend", f"{run}/checkpoint").awaitTermination()
+    return current_trend(spark, f"{run}/trend").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "family_key", "n", "n_uncovered")
+
+
 def family_recurrence(spark, sf):
     """AGG-13."""
     return hist.recurrence_counts(_event_observations(table(spark, sf, "events")))
@@ -481,7 +512,7 @@ def event_recurrence(spark, sf):
     """RNK-7: earlier users already hit by the family each user's events imply."""
     obs = _event_observations(table(spark, sf, "events"))
     incidents = obs.groupBy("incident_id").agg(F.min("arrival").alias("arrival")).withColumn("signals", T.strings(["retry", "error_handling"]))
-    return hist.recurrence_at_arrival(incidents, obs, step=F.floor(C("arrival") / 1000))
+    return hist.recurrence_at_arrival(incidents, obs)
 
 
 def family_page(spark, sf):
@@ -550,7 +581,7 @@ QUERIES = [
     value_numbers, token_overlap, incident_fields, url_features, code_labels, sentence_signals, sentence_conditions,
     synonym_expansion, term_statistics, postings, bm25_top, lexical_maxima, bucket_weights, text_vector_top,
     embedding_top, hybrid_candidates, learned_vocabulary, classified_documents, classification_matrix,
-    latest_analyses, coverage_counts, event_patterns, streamed_patterns, family_recurrence, event_recurrence,
+    latest_analyses, coverage_counts, event_patterns, streamed_patterns, streamed_recurrence, streamed_trend, family_recurrence, event_recurrence,
     family_page, status_updates, dashboard, recent_runs, incident_page, proposed_facts,
     *explained.QUERIES, *records.QUERIES, *persisted.QUERIES,
 ]

@@ -16,7 +16,7 @@ def test_own_embedding_and_search(spark):
 
     def search(vectors, queries, k, key):
         asked.append(k)
-        return vector_top_k(vectors, queries, k, key, block=3, part=4)
+        return vector_top_k(vectors, queries, k, key, part=4)
 
     docs = spark.createDataFrame([(f"d{i}", "w" * (i + 2) + " common", "f") for i in range(12)], "doc_id string, text string, feature string")
     index = build_index(docs, embed=embed)
@@ -37,7 +37,7 @@ def test_vector_blocks_do_not_change_results(spark):
     vectors = spark.createDataFrame(rows, "doc_id int, buckets array<int>, weights array<double>")
     queries = vectors.filter("doc_id < 50").withColumnRenamed("doc_id", "query_id")
     whole = sorted(map(tuple, vector_top_k(vectors, queries, 4).collect()))
-    assert whole == sorted(map(tuple, vector_top_k(vectors, queries, 4, block=3, part=7).collect())) and len(whole) == 200
+    assert whole == sorted(map(tuple, vector_top_k(vectors, queries, 4, part=7).collect())) and len(whole) == 200
     dense = {i: dict(zip(b, w)) for i, b, w in rows}
     for q in range(5):
         sims = sorted(((-round(sum(w * dense[d].get(b, 0) for b, w in dense[q].items()), 9), d) for d in dense))[:4]

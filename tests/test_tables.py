@@ -87,7 +87,7 @@ def test_patterns(spark):
     p = pat.recurring_patterns(spark.createDataFrame(rows, OBSERVATION_SCHEMA)).collect()
     assert len(p) == 1
     assert (p[0].incident_count, p[0].gap_count, p[0].concentrated_in, p[0].concentration, p[0].risk) == (7, 8, "Pay", 0.88, "HIGH")
-    assert p[0].gap_types == ["EMPTY_INPUT", "NULL_HANDLING"] and "87% of them in Pay" in p[0].summary
+    assert p[0].gap_types == ["EMPTY_INPUT", "NULL_HANDLING"] and "mostly Pay (87 %)" in p[0].summary
 
 
 def test_recurrence_against_brute_force(spark):
@@ -98,9 +98,22 @@ def test_recurrence_against_brute_force(spark):
     want = {
         a: sum(1 for b, bt, f in gaps if f == "CONCURRENCY" and (bt, b) < (at, a)) if s else 0 for a, at, s in asks
     }
-    for step in (None, F.floor(F.col("arrival") / 4)):
-        got = {r.incident_id: r.similar_incidents for r in hist.recurrence_at_arrival(i, g, step=step).collect()}
-        assert got == want
+    got = {r.incident_id: r.similar_incidents for r in hist.recurrence_at_arrival(i, g).collect()}
+    assert got == want
+
+
+def test_recurrence_of_one_family_is_spread(spark):
+    # One family holds every row and every arrival differs.
+    from gapengine.operators.sizing import running_total
+
+    n = 4000
+    rows = spark.range(n).select(F.format_string("g%05d", "id").alias("incident_id"), (F.col("id") * 7 % n).alias("arrival"), F.lit("CONCURRENCY").alias("family_key"))
+    asks = rows.select("incident_id", "arrival", F.array(F.lit("concurrency")).alias("signals"))
+    got = hist.recurrence_at_arrival(asks, rows)
+    assert got.join(rows, "incident_id").filter("similar_incidents <> arrival").count() == 0 and got.count() == n
+    totals = running_total(rows.withColumn("one", F.lit(1)), ["family_key"], [F.col("arrival").asc()], "one", "before")
+    parts = totals.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < n / 2
 
 
 def test_lexical_blocks_do_not_change_scores(spark):
