@@ -7,39 +7,41 @@ one place and in natural order; the logic that uses them lives elsewhere.
 
 # ---------------------------------------------------------------- text tables
 
-STOPWORDS = (
-    "a an the and or but if then than that this these those is are was were be been being to of in "
-    "on at for with without from by as it its into during when while so such do does did done can "
-    "could should would may might must will shall not no nor test tests testing case cases should_ "
-    "verify verifies check checks ensure ensures user users system app application service given "
-    "expect expected actual result results"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "if", "then", "than", "that", "this", "these", "those", "is", "are",
+    "was", "were", "be", "been", "being", "to", "of", "in", "on", "at", "for", "with", "without", "from", "by",
+    "as", "it", "its", "into", "during", "when", "while", "so", "such", "do", "does", "did", "done", "can",
+    "could", "should", "would", "may", "might", "must", "will", "shall", "not", "no", "nor", "test", "tests",
+    "testing", "case", "cases", "should_", "verify", "verifies", "check", "checks", "ensure", "ensures", "user",
+    "users", "system", "app", "application", "service", "given", "expect", "expected", "actual", "result",
+    "results",
+]
 
 SYNONYMS = {
-    "checkout": "cart order purchase basket",
-    "cart": "checkout basket",
-    "order": "checkout purchase orders",
-    "discount": "coupon promo promotion voucher offer",
-    "coupon": "discount promo voucher",
-    "payment": "pay charge billing transaction card",
-    "refund": "payment chargeback reversal",
-    "auth": "authentication login signin session token",
-    "login": "auth authentication signin session",
-    "logout": "auth session signout",
-    "password": "credential auth login",
-    "permission": "authorization authorisation role access rbac privilege",
-    "role": "permission authorization rbac",
-    "profile": "account user settings",
-    "search": "query filter lookup find",
-    "notification": "email alert push sms message",
-    "timeout": "timed expire expiry deadline latency",
-    "retry": "retries reattempt resend backoff",
-    "concurrent": "concurrency race parallel simultaneous lock",
-    "null": "none nil missing undefined",
-    "empty": "blank zero-length missing",
-    "unicode": "utf8 encoding emoji non-ascii charset",
-    "invalid": "malformed bad illegal unsupported",
-    "boundary": "limit max maximum min minimum edge",
+    "checkout": ["cart", "order", "purchase", "basket"],
+    "cart": ["checkout", "basket"],
+    "order": ["checkout", "purchase", "orders"],
+    "discount": ["coupon", "promo", "promotion", "voucher", "offer"],
+    "coupon": ["discount", "promo", "voucher"],
+    "payment": ["pay", "charge", "billing", "transaction", "card"],
+    "refund": ["payment", "chargeback", "reversal"],
+    "auth": ["authentication", "login", "signin", "session", "token"],
+    "login": ["auth", "authentication", "signin", "session"],
+    "logout": ["auth", "session", "signout"],
+    "password": ["credential", "auth", "login"],
+    "permission": ["authorization", "authorisation", "role", "access", "rbac", "privilege"],
+    "role": ["permission", "authorization", "rbac"],
+    "profile": ["account", "user", "settings"],
+    "search": ["query", "filter", "lookup", "find"],
+    "notification": ["email", "alert", "push", "sms", "message"],
+    "timeout": ["timed", "expire", "expiry", "deadline", "latency"],
+    "retry": ["retries", "reattempt", "resend", "backoff"],
+    "concurrent": ["concurrency", "race", "parallel", "simultaneous", "lock"],
+    "null": ["none", "nil", "missing", "undefined"],
+    "empty": ["blank", "zero-length", "missing"],
+    "unicode": ["utf8", "encoding", "emoji", "non-ascii", "charset"],
+    "invalid": ["malformed", "bad", "illegal", "unsupported"],
+    "boundary": ["limit", "max", "maximum", "min", "minimum", "edge"],
 }
 
 TOKEN_SPLIT = r"[^a-z0-9%.]+"
@@ -47,11 +49,12 @@ PERCENT_PATTERN = r"(-?\d+(?:\.\d+)?)\s*(?:%|percent|pct)\b"
 NUMBER_PATTERN = r"(-?\d+(?:\.\d+)?)"
 
 # Provenance words that never name a feature, and the longest derived name.
-FEATURE_NOISE = (
-    "test tests testing spec specs src app apps lib suite suites e2e it integration unit functional "
-    "regression smoke acceptance automation qa cases case main root project code py js ts feature "
-    "features init conftest helpers helper utils util common fixtures fixture support base sheet data"
-).split()
+FEATURE_NOISE = [
+    "test", "tests", "testing", "spec", "specs", "src", "app", "apps", "lib", "suite", "suites", "e2e", "it",
+    "integration", "unit", "functional", "regression", "smoke", "acceptance", "automation", "qa", "cases", "case",
+    "main", "root", "project", "code", "py", "js", "ts", "feature", "features", "init", "conftest", "helpers",
+    "helper", "utils", "util", "common", "fixtures", "fixture", "support", "base", "sheet", "data",
+]
 FEATURE_WORDS = 3
 UNKNOWN = "Unknown"
 
@@ -119,10 +122,10 @@ SIGNAL_PATTERNS = {
 }
 
 # Signals a test has to exercise before it can count as coverage.
-DECISIVE_SIGNALS = (
-    "null empty missing_field invalid boundary_max boundary_min timeout retry concurrency permission "
-    "unicode error_handling state_transition environment"
-).split()
+DECISIVE_SIGNALS = [
+    "null", "empty", "missing_field", "invalid", "boundary_max", "boundary_min", "timeout", "retry", "concurrency",
+    "permission", "unicode", "error_handling", "state_transition", "environment",
+]
 
 SEQUENCE_SIGNALS = ["retry", "timeout", "concurrency", "state_transition"]
 
@@ -160,20 +163,24 @@ SIGNAL_PHRASES = {
 
 # ------------------------------------------------------- condition extraction
 
-CONDITION_NOUNS = (
-    "discount coupon promo voucher tax shipping total subtotal amount price quantity payment card "
-    "currency refund balance limit retry retries timeout attempts password email username name address "
-    "phone token session role permission scope query filter page size offset results status state order "
-    "item items notification message subject locale timezone encoding format field value input threshold "
-    "percentage percent rate count length duration delay interval"
-).split()
-
-STOP_BEFORE_NOUN = "a an the with of for to and or is was when applied using".split()
-GENERIC_NOUNS = "field value input parameter param attribute key".split()
-QUALIFIERS = (
-    "null empty blank missing invalid negative duplicate expired unicode malformed declined unknown "
-    "locked cancelled canceled disabled unverified valid"
-).split()
+CONDITION_NOUNS = [
+    "discount", "coupon", "promo", "voucher", "tax", "shipping", "total", "subtotal", "amount", "price",
+    "quantity", "payment", "card", "currency", "refund", "balance", "limit", "retry", "retries", "timeout",
+    "attempts", "password", "email", "username", "name", "address", "phone", "token", "session", "role",
+    "permission", "scope", "query", "filter", "page", "size", "offset", "results", "status", "state", "order",
+    "item", "items", "notification", "message", "subject", "locale", "timezone", "encoding", "format", "field",
+    "value", "input", "threshold", "percentage", "percent", "rate", "count", "length", "duration", "delay",
+    "interval",
+]
+
+STOP_BEFORE_NOUN = [
+    "a", "an", "the", "with", "of", "for", "to", "and", "or", "is", "was", "when", "applied", "using",
+]
+GENERIC_NOUNS = ["field", "value", "input", "parameter", "param", "attribute", "key"]
+QUALIFIERS = [
+    "null", "empty", "blank", "missing", "invalid", "negative", "duplicate", "expired", "unicode", "malformed",
+    "declined", "unknown", "locked", "cancelled", "canceled", "disabled", "unverified", "valid",
+]
 
 _QUALIFIER = "|".join(QUALIFIERS)
 
@@ -329,10 +336,11 @@ COLUMN_ALIASES = {
 INPUT_PAIR_PATTERN = r"^\s*([A-Za-z_][\w .-]*?)\s*[=:]\s*(.+?)\s*$"
 CSV_DELIMITERS = ",;\t|"
 
-IGNORED_DIRECTORIES = (
-    ".git .hg .svn .idea .vscode .vs __pycache__ .pytest_cache .mypy_cache .ruff_cache node_modules "
-    "bower_components vendor venv .venv env .env virtualenv site-packages dist build out target coverage "
-    "htmlcov .tox .nox .next .nuxt .cache .gradle bin obj Debug Release .terraform"
-).split()
+IGNORED_DIRECTORIES = [
+    ".git", ".hg", ".svn", ".idea", ".vscode", ".vs", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache",
+    "node_modules", "bower_components", "vendor", "venv", ".venv", "env", ".env", "virtualenv", "site-packages",
+    "dist", "build", "out", "target", "coverage", "htmlcov", ".tox", ".nox", ".next", ".nuxt", ".cache", ".gradle",
+    "bin", "obj", "Debug", "Release", ".terraform",
+]
 
 EXPECTATION_PREFIXES = ["expected:", "expect:", "then:", "should ", "asserts "]

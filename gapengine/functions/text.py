@@ -164,7 +164,7 @@ def explode_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 def synonym_map() -> Column:
     quoted = lambda words: ", ".join(f"'{w}'" for w in words)
     return F.expr(
-        "map(" + ", ".join(f"'{h}', array({quoted(r.split())})" for h, r in fixed.SYNONYMS.items()) + ")"
+        "map(" + ", ".join(f"'{h}', array({quoted(r)})" for h, r in fixed.SYNONYMS.items()) + ")"
     )
 
 

@@ -86,8 +86,8 @@ def family_incidents(gaps: DataFrame, analyses: DataFrame, incidents: DataFrame,
 
 
 def first_gap_types(gaps: DataFrame) -> DataFrame:
-    """JON-12."""
-    return gaps.groupBy("analysis_id").agg(F.min_by("gap_type", "gap_id").alias("gap_type"))
+    """JON-12; of gaps that share an id, the first kind by name."""
+    return gaps.groupBy("analysis_id").agg(F.min(F.struct("gap_id", "gap_type"))["gap_type"].alias("gap_type"))
 
 
 def incident_detail(

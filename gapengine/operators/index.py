@@ -83,9 +83,8 @@ def term_stats(terms: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def lexical_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, corpus row and term statistics, texts split once.  Stored postings
-    are spread by document again, which is what keeps scoring local."""
-    terms = by_document(materialise(doc_terms(docs)))
+    """Postings, corpus row and term statistics, texts split once."""
+    terms = materialise(doc_terms(docs))
     corpus = materialise(corpus_stats(docs, terms))
     return terms, corpus, materialise(term_stats(terms, corpus))
 
@@ -277,7 +276,7 @@ def build_index(
 ) -> Index:
     """AGG-24: all retrieval tables of documents ``(doc_id, text, feature)``.
     ``embed`` (UDF-2) turns (doc_id, text) into (doc_id, buckets, weights)
-    instead of the hashed features."""
+    instead of the hashed features.  ``blocks`` are only worked out where a search needs them."""
     if vocabulary_text not in docs.columns:
         docs = docs.withColumn(vocabulary_text, F.concat_ws(" ", "text", feature))
     terms, corpus, stats = lexical_index(docs)
@@ -285,7 +284,7 @@ def build_index(
     idf = materialise(bucket_idf(buckets, corpus))
     weights, counts = vocabulary(feature_words(docs, feature, vocabulary_text))
     vectors = packed_vectors(weighted_vectors(buckets, idf, corpus)) if embed is None else embed(docs.select("doc_id", "text"))
-    return Index(terms, stats, corpus, vectors, idf, weights, counts, materialise(impact_blocks(terms, stats, corpus)))
+    return Index(terms, stats, corpus, vectors, idf, weights, counts, impact_blocks(terms, stats, corpus))
 
 
 SCHEMA_VERSION = 1

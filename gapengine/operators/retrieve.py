@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapengine import fixed
 from gapengine.functions.text import explode_tokens, synonym_map
-from gapengine.operators.impact import asked_levels, impact_of, kth_best, pruned_scores, score_pairs, seed_pairs
+from gapengine.operators.impact import asked_levels, impact_blocks, impact_of, kth_best, pruned_scores, score_pairs, seed_pairs
 from gapengine.operators.sizing import BROADCAST_ROWS, blocks_for, materialise
-from gapengine.operators.vectors import PART_ROWS, VectorIndex, build_vector_index, search as search_vectors
+from gapengine.operators.vectors import PART_ROWS, PLAIN_ROWS, VectorIndex, build_vector_index, search as search_vectors
 
 
 def blend(
@@ -70,10 +70,11 @@ def bm25_scores(
 ) -> DataFrame:
     """JON-1/AGG-2: ``(key, doc_id, bm25)`` for every document sharing a term.
 
-    ``terms`` lies document by document, the query terms come to it, so the sum
-    over a pair's terms closes locally and a term held by a third of the
-    documents is no hot spot: its postings stay spread with their documents.
+    ``terms`` is spread by document, the query terms come to it, so the sum over
+    a pair's terms closes locally and a term held by a third of the documents is
+    no hot spot: its postings stay spread with their documents.
     """
+    terms = terms.repartition("doc_id")
     weighted = queries.join(stats.select("term", "idf"), "term").select(key, "term", "weight", "idf").join(F.broadcast(corpus.select("avg_length")))  # one row
 
     def score(block: DataFrame) -> DataFrame:
@@ -118,12 +119,14 @@ def best_per_query(df: DataFrame, k: int, key: str = "query_id", score: str = "s
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "query_id", part: int = PART_ROWS) -> DataFrame:
+def vector_top_k(
+    vectors: DataFrame, queries: DataFrame, k: int, key: str = "query_id", part: int = PART_ROWS, plain_rows: int = PLAIN_ROWS
+) -> DataFrame:
     """JON-2/RNK-1: exact inner-product top k over packed vectors that have no index yet.
 
     Similarities are rounded to 9 digits so that equal texts tie whatever the
     layout."""
-    return search_vectors(build_vector_index(vectors, part_rows=part), queries, k, key)
+    return search_vectors(build_vector_index(vectors, part_rows=part, plain_rows=plain_rows), queries, k, key)
 
 
 def indexed_search(index: VectorIndex) -> Callable[[DataFrame, DataFrame, int, str], DataFrame]:
@@ -180,8 +183,29 @@ def best_boost(incidents: DataFrame, key: str = "query_id") -> DataFrame:
     return incidents.select(key, product.alias("boost"))
 
 
+# Postings that queries touch up to which adding up all of them is less work than the steps of a bounded search.
+PLAIN_POSTINGS = 20_000_000
+
+
+def touched_postings(stats: DataFrame, words: DataFrame) -> int:
+    return words.join(stats.select("term", "df"), "term").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+
+
+def best_scores(
+    terms: DataFrame, stats: DataFrame, corpus: DataFrame, words: DataFrame, k: int, key: str = "query_id", blocks: DataFrame | None = None,
+    plain_postings: int = PLAIN_POSTINGS,
+) -> DataFrame:
+    """JON-1/AGG-2: scores among which each query's ``k`` best are, through bounds
+    where queries touch many postings.  Both ways give the same best."""
+    if touched_postings(stats, words) <= plain_postings:
+        return bm25_scores(terms, stats, corpus, words, key)
+    blocks = materialise(impact_blocks(terms, stats, corpus)) if blocks is None else blocks
+    return pruned_scores(blocks, terms, stats, corpus, words, k, key)
+
+
 def lexical_candidates(
-    index, words: DataFrame, hits: DataFrame, incidents: DataFrame, docs: DataFrame, key: str = "query_id", keep: int = fixed.TOP_K
+    index, words: DataFrame, hits: DataFrame, incidents: DataFrame, docs: DataFrame, key: str = "query_id", keep: int = fixed.TOP_K,
+    plain_postings: int = PLAIN_POSTINGS,
 ) -> tuple[DataFrame, DataFrame]:
     """JON-1/RNK-2: (key, doc_id, lexical) of every document that can be among a
     query's ``keep`` best or is one of its vector hits, and (key, best), the
@@ -190,19 +214,24 @@ def lexical_candidates(
     The seeds and the vector hits, scored in full, set a threshold on the blended
     score; with it goes the least a document without vector hit needs of BM25.
     Documents that carry one of the query's signals compete for places of their
-    own (RNK-5), so where a query has signals all of these are scored."""
-    parts = (index.doc_terms, index.term_stats, index.corpus)
-    levels = materialise(asked_levels(index.blocks, words, key))
-    seeds = seed_pairs(levels, index.blocks, key).unionByName(hits.select(key, "doc_id")).distinct()
+    own (RNK-5), so where a query has signals all of these are scored.  Where
+    queries touch few postings, all documents that share a term are given."""
+    if touched_postings(index.term_stats, words) <= plain_postings:
+        scores = materialise(bm25_scores(index.doc_terms, index.term_stats, index.corpus, words, key))
+        best = materialise(lexical_best(scores, key))
+        return scaled_lexical(scores, best, key).select(key, "doc_id", "lexical"), best
+    parts, blocks = (index.doc_terms, index.term_stats, index.corpus), materialise(index.blocks)
+    levels = materialise(asked_levels(blocks, words, key))
+    seeds = seed_pairs(levels, blocks, key).unionByName(hits.select(key, "doc_id")).distinct()
     seeds = materialise(score_pairs(seeds, *parts, words, key))
-    first = pruned_scores(index.blocks, *parts, words, 1, key, levels=levels, seeds=seeds)
+    first = pruned_scores(blocks, *parts, words, 1, key, levels=levels, seeds=seeds)
     best = materialise(first.groupBy(key).agg(F.max("bm25").alias("best")))
     known = scored_candidates(scaled_lexical(seeds, best, key), hits, incidents, docs, key)
     # Blended scores have four digits; a document below all of this can't be kept.
     least = kth_best(known, keep, "score", key).join(best, key).join(best_boost(incidents, key), key)
     need = (F.col("threshold") - 1e-4) / (fixed.LEXICAL_WEIGHT * F.col("boost")) * F.col("best")
     thresholds = least.select(key, F.greatest(need, F.lit(0.0)).alias("threshold"))
-    strong = pruned_scores(index.blocks, *parts, words, keep, key, levels=levels, thresholds=thresholds)
+    strong = pruned_scores(blocks, *parts, words, keep, key, levels=levels, thresholds=thresholds)
     carried = signal_carriers(index, words, incidents, docs, key)
     every = seeds.unionByName(strong).unionByName(carried).dropDuplicates([key, "doc_id"])
     return scaled_lexical(every, best, key).select(key, "doc_id", "lexical"), best
@@ -291,7 +320,7 @@ def signal_witnesses(final: DataFrame, kept: DataFrame, key: str = "query_id") -
 def retrieve(
     index, queries: DataFrame, incidents: DataFrame, docs: DataFrame, key: str = "query_id", top_k: int = fixed.TOP_K,
     search: Callable[[DataFrame, DataFrame, int, str], DataFrame] = vector_top_k, embed: Callable[[DataFrame], DataFrame] | None = None,
-    oversample: int = fixed.VECTOR_OVERSAMPLE,
+    oversample: int = fixed.VECTOR_OVERSAMPLE, plain_postings: int = PLAIN_POSTINGS,
 ) -> tuple[DataFrame, DataFrame]:
     """RNK-1..5 end to end: ``(candidates, stats)``.
 
@@ -304,7 +333,7 @@ def retrieve(
     words = materialise(query_terms(queries, key))
     asked = query_vectors(queries, index.bucket_idf, index.corpus, key) if embed is None else embed(queries)
     hits = materialise(search(index.vectors, asked, top_k * oversample, key).select(key, "doc_id", "similarity"))
-    lexical, _ = lexical_candidates(index, words, hits, incidents, docs, key, most_kept(top_k))
+    lexical, _ = lexical_candidates(index, words, hits, incidents, docs, key, most_kept(top_k), plain_postings)
     final = materialise(finalists(scored_candidates(lexical, hits, incidents, docs, key), key, top_k))
     stats = retrieval_stats(final, index, words, hits, key)
     kept = keep_candidates(final, key, top_k)

@@ -17,14 +17,13 @@ well the vectors cluster, the result doesn't.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 
 from gapengine.operators.sizing import blocks_for, materialise
 
@@ -32,10 +31,12 @@ from gapengine.operators.sizing import blocks_for, materialise
 PART_ROWS = 2_048
 QUERY_BLOCK = 1_000
 # The centres, the only thing every task holds, are at most this many; they are
-# fitted on at most ``SAMPLE`` vectors.  All vectors are indexed.
+# fitted on some ``SAMPLE`` vectors, twice that at most.  All vectors are indexed.
 CENTRES = 1_024
 SAMPLE = 8_192
 ROUNDS = 5
+# Up to so many vectors all parts together are less work than centres and visits.
+PLAIN_ROWS = 50_000
 # More than what rounding can add to a bound or a score.
 SLACK = 1e-7
 
@@ -48,31 +49,35 @@ class VectorIndex(NamedTuple):
     centres: np.ndarray  # directions of the groups, one row each
 
 
-def _dense(buckets, weights, width: int) -> np.ndarray:
-    """Sparse rows as a matrix; buckets from ``width`` on are left out."""
-    out = np.zeros((len(buckets), width))
-    sizes = np.array([len(b) for b in buckets], dtype=np.int64)
-    if sizes.sum():
-        rows = np.repeat(np.arange(len(buckets)), sizes)
-        at = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets])
-        values = np.concatenate([np.asarray(w, dtype=np.float64) for w in weights])
-        inside = at < width
-        out[rows[inside], at[inside]] = values[inside]
+def _dense(buckets: pa.ListArray, weights: pa.ListArray, width: int = 0) -> np.ndarray:
+    """Sparse rows as a matrix of at least ``width`` columns."""
+    sizes = np.nan_to_num(buckets.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    at = buckets.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), max(width, 1 + (int(at.max()) if len(at) else 0))))
+    out[np.repeat(np.arange(len(sizes)), sizes), at] = weights.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
+def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    width = min(a.shape[1], b.shape[1])
+    return a[:, :width], b[:, :width]
+
+
 def fit_centres(sample: np.ndarray, n: int) -> np.ndarray:
     """Directions of ``n`` groups: rounds of assignment and averaging, starting from the first vectors."""
     lengths = np.linalg.norm(sample, axis=1, keepdims=True)
     units = sample[lengths[:, 0] > 0] / lengths[lengths > 0][:, None]
     if not len(units):
         return np.zeros((1, sample.shape[1]))
-    _, first = np.unique(np.round(units, 9), axis=0, return_index=True)
-    centres = units[np.sort(first)[:n]]
+    different: dict[bytes, int] = {}
+    for at, row in enumerate(np.round(units, 9)):
+        different.setdefault(row.tobytes(), at)
+        if len(different) == n:
+            break
+    centres = units[list(different.values())]
     for _ in range(ROUNDS):
         nearest = (units @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, units)
+        sums = (nearest == np.arange(len(centres))[:, None]).astype(np.float64) @ units
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
     return centres
@@ -80,7 +85,8 @@ def fit_centres(sample: np.ndarray, n: int) -> np.ndarray:
 
 def _split(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest centre of each vector, and its lengths along and across it."""
-    scores = vectors[:, : centres.shape[1]] @ centres.T
+    a, b = _same_width(vectors, centres)
+    scores = a @ b.T
     group = scores.argmax(axis=1)
     along = scores[np.arange(len(vectors)), group]
     across = np.sqrt(np.maximum((vectors * vectors).sum(axis=1) - along * along, 0.0))
@@ -88,24 +94,37 @@ def _split(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _assigned(centres: np.ndarray):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            width = max(centres.shape[1], 1 + max((int(max(b)) for b in frame["buckets"] if len(b)), default=0))
-            group, along, across = _split(_dense(frame["buckets"], frame["weights"], width), centres)
-            yield frame.assign(group=group.astype("int32"), along=along, across=across)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, along, across = _split(_dense(batch.column("buckets"), batch.column("weights"), centres.shape[1]), centres)
+            more = [pa.array(group.astype(np.int32)), pa.array(along), pa.array(across)]
+            yield pa.record_batch([*batch.columns, *more], [*batch.schema.names, "group", "along", "across"])
 
     return run
 
 
-def build_vector_index(vectors: DataFrame, rows_per_group: int = 512, part_rows: int = PART_ROWS) -> VectorIndex:
-    """The index of ``(doc_id, buckets, weights)``; every vector is in exactly one part."""
+def build_vector_index(
+    vectors: DataFrame, rows_per_group: int = 512, part_rows: int = PART_ROWS, plain_rows: int = PLAIN_ROWS
+) -> VectorIndex:
+    """The index of ``(doc_id, buckets, weights)``; every vector is in exactly one part.
+
+    ``plain_rows`` vectors or fewer are one group, which every query visits."""
     vectors = materialise(vectors.select("doc_id", "buckets", "weights"))
-    sample = vectors.orderBy(F.xxhash64("doc_id")).limit(SAMPLE).toPandas()  # bounded, for the centres only
-    width = 1 + max((int(max(b)) for b in sample["buckets"] if len(b)), default=0)
-    n = min(CENTRES, max(1, vectors.count() // rows_per_group))
-    centres = fit_centres(_dense(sample["buckets"], sample["weights"], width), n)
+    n = vectors.count()
+    if n <= plain_rows:
+        one = F.lit(0).alias("group")
+        parts = vectors.groupBy(one, F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // part_rows) or 1)).cast("int").alias("part"))
+        groups = vectors.sparkSession.range(1).select(
+            one, F.lit(n).alias("n"), *[F.lit(0.0).alias(c) for c in ("low", "high", "across")], F.lit(-(-n // part_rows) or 1).alias("n_parts")
+        )
+        return VectorIndex(materialise(_packed(parts)), groups, np.zeros((1, 1)))
+    # About ``SAMPLE`` of them, for the centres only.
+    few = vectors.filter(F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // SAMPLE) or 1)) == 0).limit(2 * SAMPLE)
+    sample = few.select("buckets", "weights").toArrow().combine_chunks()
+    dense = _dense(*[c.chunk(0) for c in sample.columns]) if sample.num_rows else np.zeros((0, 1))
+    centres = fit_centres(dense, min(CENTRES, max(1, n // rows_per_group)))
     schema = vectors.schema.simpleString()[7:-1].replace(":", " ")
-    placed = materialise(vectors.mapInPandas(_assigned(centres), f"{schema}, group int, along double, across double"))
+    placed = materialise(vectors.mapInArrow(_assigned(centres), f"{schema}, group int, along double, across double"))
     groups = materialise(
         placed.groupBy("group").agg(
             F.count(F.lit(1)).alias("n"), F.min("along").alias("low"), F.max("along").alias("high"), F.max("across").alias("across")
@@ -113,10 +132,12 @@ def build_vector_index(vectors: DataFrame, rows_per_group: int = 512, part_rows:
     )
     part = F.pmod(F.xxhash64("doc_id"), F.col("n_parts")).cast("int")
     # At most ``CENTRES`` rows; a part holds about ``part_rows`` vectors.
-    parts = placed.join(F.broadcast(groups.select("group", "n_parts")), "group").groupBy("group", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", "buckets", "weights"))).alias("rows")
-    )
-    return VectorIndex(materialise(parts), groups, centres)
+    parts = placed.join(F.broadcast(groups.select("group", "n_parts")), "group").groupBy("group", part.alias("part"))
+    return VectorIndex(materialise(_packed(parts)), groups, centres)
+
+
+def _packed(parts: GroupedData) -> DataFrame:
+    return parts.agg(F.array_sort(F.collect_list(F.struct("doc_id", "buckets", "weights"))).alias("rows"))
 
 
 # ------------------------------------------------------------------------ visits
@@ -124,8 +145,8 @@ def build_vector_index(vectors: DataFrame, rows_per_group: int = 512, part_rows:
 
 def _bounds(queries: np.ndarray, index: pd.DataFrame, centres: np.ndarray) -> np.ndarray:
     """Upper bound of the score of each query with each group of ``index``."""
-    directions = centres[index["group"].to_numpy()]
-    along = queries[:, : directions.shape[1]] @ directions.T
+    a, b = _same_width(queries, centres[index["group"].to_numpy()])
+    along = a @ b.T
     across = np.sqrt(np.maximum((queries * queries).sum(axis=1, keepdims=True) - along * along, 0.0))
     reach = np.maximum(along * index["low"].to_numpy(), along * index["high"].to_numpy())
     return reach + across * index["across"].to_numpy() + SLACK
@@ -134,23 +155,20 @@ def _bounds(queries: np.ndarray, index: pd.DataFrame, centres: np.ndarray) -> np
 def _planned(index: pd.DataFrame, centres: np.ndarray, key: str, k: int):
     """Groups each query visits: the best ones until k vectors are seen, or, with a threshold, all others that can reach it."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups = index["group"].to_numpy()
-        sizes = index["n"].to_numpy()
-        for frame in frames:
-            width = max(centres.shape[1], 1 + max((int(max(b)) for b in frame["buckets"] if len(b)), default=0))
-            bounds = _bounds(_dense(frame["buckets"], frame["weights"], width), index, centres)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, sizes = index["group"].to_numpy(), index["n"].to_numpy()
+        for batch in batches:
+            bounds = _bounds(_dense(batch.column("buckets"), batch.column("weights"), centres.shape[1]), index, centres)
             order = np.argsort(-bounds, axis=1, kind="stable")
             seen = np.cumsum(sizes[order], axis=1) - sizes[order]
             first = np.zeros_like(bounds, dtype=bool)
             np.put_along_axis(first, order, seen < k, axis=1)
-            if "threshold" in frame:
-                floor = frame["threshold"].fillna(-np.inf).to_numpy()
+            chosen = first
+            if "threshold" in batch.schema.names:
+                floor = batch.column("threshold").fill_null(-np.inf).to_numpy(zero_copy_only=False)
                 chosen = ~first & (bounds >= floor[:, None])
-            else:
-                chosen = first
             q, g = np.nonzero(chosen)
-            yield pd.DataFrame({key: frame[key].to_numpy()[q], "group": groups[g]})
+            yield pa.record_batch([batch.column(key).take(pa.array(q)), pa.array(groups[g], pa.int32())], [key, "group"])
 
     return run
 
@@ -162,21 +180,20 @@ def planned_visits(index: VectorIndex, queries: DataFrame, k: int, key: str = "q
     if thresholds is not None:
         asked = asked.join(thresholds, key, "left")
     kind = queries.schema[key].dataType.simpleString()
-    return asked.mapInPandas(_planned(bounds, index.centres, key, k), f"{key} {kind}, group int")
+    return asked.mapInArrow(_planned(bounds, index.centres, key, k), f"{key} {kind}, group int")
 
 
-def _product(rows: pa.Array, asked: pa.Array) -> np.ndarray:
+def _product(rows: pa.StructArray, asked: pa.StructArray) -> np.ndarray:
     """Scores of the queries of a block with the vectors of a part, rounded so that equal vectors tie."""
-    lists = [x.field(name).to_pylist() for x in (asked, rows) for name in ("buckets", "weights")]
-    width = 1 + max((int(max(b)) for b in (*lists[0], *lists[2]) if len(b)), default=0)
-    return np.round(_dense(lists[0], lists[1], width) @ _dense(lists[2], lists[3], width).T, 9)
+    a, b = _same_width(*[_dense(x.field("buckets"), x.field("weights")) for x in (asked, rows)])
+    return np.round(a @ b.T, 9)
 
 
 def _visited(key: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                rows, asked = batch.column(0)[at].values, batch.column(1)[at].values
+                rows, asked = (pa.concat_arrays([batch.column(c)[at].values]) for c in (0, 1))
                 scores = _product(rows, asked)
                 keep = min(k, scores.shape[1])
                 # The k-th best score of each query and all that reach it; rows lie in order of their ids.
@@ -220,6 +237,8 @@ def search(index: VectorIndex, queries: DataFrame, k: int, key: str = "query_id"
     Similarities are rounded to nine digits.  A query with fewer than k vectors
     in all gets every one."""
     queries = materialise(queries.select(key, "buckets", "weights"))
+    if len(index.centres) == 1:
+        return _ranked(visit(index, queries, queries.select(key, F.lit(0).alias("group")), k, key), k, key)
     near = materialise(visit(index, queries, planned_visits(index, queries, k, key), k, key))
     kth = _ranked(near, k, key).filter(F.col("rank") == k).select(key, F.col("similarity").alias("threshold"))
     far = visit(index, queries, planned_visits(index, queries, k, key, kth), k, key)

@@ -190,7 +190,7 @@ stats AS (SELECT term, count(*) AS df, ln(1.0 + (n_docs - count(*) + 0.5) / (cou
           FROM terms, corpus GROUP BY term, n_docs)
 """
 
-_SYN_ROWS = ", ".join(f"('{h}', '{s}')" for h, r in fixed.SYNONYMS.items() for s in r.split())
+_SYN_ROWS = ", ".join(f"('{h}', '{s}')" for h, r in fixed.SYNONYMS.items() for s in r)
 
 QUERY_WORDS = f""",
 syn(term, synonym) AS (VALUES {_SYN_ROWS}),
@@ -445,7 +445,9 @@ ORACLES = {
       ORDER BY c_custkey DESC LIMIT 25 OFFSET 5""",
 }
 
-_SYNONYMS = ", ".join(f"('{head}', '{word}')" for head, words in fixed.SYNONYMS.items() for word in words.split())
+ORACLES |= {f"{name}_by_bounds": ORACLES[name] for name in ("bm25_top", "hybrid_candidates", "text_vector_top", "embedding_top")}
+
+_SYNONYMS = ", ".join(f"('{head}', '{word}')" for head, words in fixed.SYNONYMS.items() for word in words)
 ORACLES |= records.ORACLES | persisted.ORACLES | explained.oracles(LINES, VERDICTS) | {
     "url_features": f"""WITH s AS (SELECT page_id, list_filter(string_split(replace(url, '\\', '/'), '/'), lambda x: trim(x) <> '') AS p FROM pages),
       n AS (SELECT page_id, list_concat(list_reverse(p[:len(p) - 1]), [regexp_replace(p[len(p)], '\\.[^.]*$', '')]) AS p FROM s),

@@ -113,7 +113,7 @@ _LATEST = "l AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey, CASE max_by(o_
 ORACLES = {
     "stored_incidents": "SELECT o_orderkey AS incident_id, o_orderpriority AS severity, CASE WHEN o_orderkey % 3 <> 0 THEN 'first' ELSE 'second' END AS batch FROM orders",
     "run_log": "SELECT event_id AS run_id, event_type AS kind, ts AS started_at FROM events ORDER BY ts DESC, event_id LIMIT 12",
-    "incident_details": f"""WITH {_LATEST}, g AS (SELECT l_orderkey, count(*) AS n, min_by(l_returnflag, l_linenumber * 1000000 + l_partkey) AS f,
+    "incident_details": f"""WITH {_LATEST}, g AS (SELECT l_orderkey, count(*) AS n, first(l_returnflag ORDER BY l_linenumber * 1000000 + l_partkey, l_returnflag) AS f,
         string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS e, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS t FROM lineitem GROUP BY l_orderkey)
       SELECT c_custkey AS incident_id, o_orderkey AS analysis_id, f AS first_gap, coalesce(n, 0) AS n_gaps, e AS evidence, t AS tests
       FROM customer LEFT JOIN l ON c_custkey = o_custkey LEFT JOIN g ON o_orderkey = l_orderkey""",

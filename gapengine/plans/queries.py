@@ -9,7 +9,6 @@ from gapengine.functions import extract as X, text as T
 from gapengine.operators import catalogue as cat, history as hist, index as ix, patterns as pat, retrieve as ret
 from gapengine.operators.compare import with_status
 from gapengine.operators.decide import confidence_level, recurrence_points, risk_level, risk_points
-from gapengine.operators.impact import impact_blocks, pruned_scores
 from gapengine.operators.incidents import merge_proposed_facts
 from gapengine.operators.sizing import materialise, ordinal_within
 from gapengine.plans import derived as d, explained, persisted, records, report
@@ -338,15 +337,23 @@ def _lexical(spark, sf):
     return *ix.lexical_index(docs), materialise(ret.query_terms(queries))
 
 
-def bm25_top(spark, sf):
-    """JON-1/AGG-2: the 20 best documents of each query, reached through blocks and bounds."""
-    terms, corpus, stats, words = _lexical(spark, sf)
-    blocks = materialise(impact_blocks(terms, stats, corpus))
-    scores = pruned_scores(blocks, terms, stats, corpus, words, 20)
+def _best_20(scores: DataFrame) -> DataFrame:
     top = ret.best_per_query(scores.withColumn("score", F.round("bm25", 6)), 20, score="score")
     return top.select("query_id", "doc_id", "score", C("rank").cast("bigint").alias("rank"))
 
 
+def bm25_top(spark, sf):
+    """JON-1/AGG-2: the 20 best documents of each query."""
+    terms, corpus, stats, words = _lexical(spark, sf)
+    return _best_20(ret.best_scores(terms, stats, corpus, words, 20))
+
+
+def bm25_top_by_bounds(spark, sf):
+    """JON-1/AGG-2: the same, reached through impact blocks and bounds whatever the size."""
+    terms, corpus, stats, words = _lexical(spark, sf)
+    return _best_20(ret.best_scores(terms, stats, corpus, words, 20, plain_postings=0))
+
+
 def lexical_maxima(spark, sf):
     """RNK-2."""
     terms, corpus, stats, words = _lexical(spark, sf)
@@ -360,13 +367,13 @@ def bucket_weights(spark, sf):
     return ix.bucket_idf(buckets, n).select(C("bucket").cast("bigint").alias("bucket"), F.round("idf", 6).alias("idf"))
 
 
-def _vector_hits(spark, sf, k):
+def _vector_hits(spark, sf, k, **how):
     docs, queries = _docs(spark, sf), _queries(spark, sf)
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     buckets = materialise(ix.raw_buckets(ix.weighted_features(docs)))
     idf = materialise(ix.bucket_idf(buckets, n))
     vectors = ix.packed_vectors(ix.weighted_vectors(buckets, idf, n))
-    return ret.vector_top_k(vectors, ret.query_vectors(queries, idf, n), k)
+    return ret.vector_top_k(vectors, ret.query_vectors(queries, idf, n), k, **how)
 
 
 def text_vector_top(spark, sf):
@@ -374,30 +381,53 @@ def text_vector_top(spark, sf):
     return _vector_hits(spark, sf, 10).select("query_id", "doc_id", F.round("similarity", 5).alias("similarity"))
 
 
-def embedding_top(spark, sf):
-    """JON-2/RNK-1: the ten nearest vectors of every labelled embedding."""
+def text_vector_top_by_bounds(spark, sf):
+    """JON-2: the same through groups and bounds whatever the size."""
+    return _vector_hits(spark, sf, 10, plain_rows=0).select("query_id", "doc_id", F.round("similarity", 5).alias("similarity"))
+
+
+def _embedding_hits(spark, sf, **how):
     e = table(spark, sf, "embeddings")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     v = e.select(C("vec_id").alias("doc_id"), F.transform("embedding", lambda x, i: i).alias("buckets"), C("embedding"), norm.alias("n")).select(
         "doc_id", "buckets", F.transform("embedding", lambda x: x.cast("double") / C("n")).alias("weights"))
-    top = ret.vector_top_k(v, v.withColumnRenamed("doc_id", "query_id"), 10)
+    top = ret.vector_top_k(v, v.withColumnRenamed("doc_id", "query_id"), 10, **how)
     return top.select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"))
 
 
+def embedding_top(spark, sf):
+    """JON-2/RNK-1: the ten nearest vectors of every labelled embedding."""
+    return _embedding_hits(spark, sf)
+
+
+def embedding_top_by_bounds(spark, sf):
+    """JON-2/RNK-1: the same through groups and bounds whatever the size."""
+    return _embedding_hits(spark, sf, plain_rows=0)
+
+
 def _index(spark, sf):
     return ix.build_index(_docs(spark, sf).withColumn("vocabulary_text", F.concat_ws(" ", "text", "feature")))
 
 
-def hybrid_candidates(spark, sf):
-    """RNK-1..5 end to end: benchmark items against documents."""
+def _hybrid(spark, sf, **how):
     index = _index(spark, sf)
     queries = _queries(spark, sf)
     incidents = queries.select("query_id", F.lit("en").alias("i_feature"), T.strings([]).alias("i_keys"), T.strings([]).alias("i_signals"))
     docs = _docs(spark, sf).select("doc_id", C("feature").alias("t_feature"), T.strings([]).alias("t_keys"), T.strings([]).alias("t_signals"))
-    kept, _ = ret.retrieve(index, queries, incidents, docs)
+    kept, _ = ret.retrieve(index, queries, incidents, docs, **how)
     return kept.select("query_id", "doc_id", "score", "feature_match")
 
 
+def hybrid_candidates(spark, sf):
+    """RNK-1..5 end to end: benchmark items against documents."""
+    return _hybrid(spark, sf)
+
+
+def hybrid_candidates_by_bounds(spark, sf):
+    """RNK-1..5: the same, with the bounds of both halves whatever the size."""
+    return _hybrid(spark, sf, plain_postings=0)
+
+
 def learned_vocabulary(spark, sf):
     words = ix.feature_words(_docs(spark, sf).withColumn("text", F.concat_ws(" ", "text", "feature")))
     return ix.vocabulary(words)[0].select("feature", "term", "weight")
@@ -579,8 +609,8 @@ QUERIES = [
     boundary_recommendations, return_profiles, unique_test_ids, document_duplicates, cross_source_duplicates,
     catalogue_search, normalized_documents, document_tokens, document_bigrams, document_keywords, document_numbers,
     value_numbers, token_overlap, incident_fields, url_features, code_labels, sentence_signals, sentence_conditions,
-    synonym_expansion, term_statistics, postings, bm25_top, lexical_maxima, bucket_weights, text_vector_top,
-    embedding_top, hybrid_candidates, learned_vocabulary, classified_documents, classification_matrix,
+    synonym_expansion, term_statistics, postings, bm25_top, bm25_top_by_bounds, lexical_maxima, bucket_weights, text_vector_top,
+    text_vector_top_by_bounds, embedding_top, embedding_top_by_bounds, hybrid_candidates, hybrid_candidates_by_bounds, learned_vocabulary, classified_documents, classification_matrix,
     latest_analyses, coverage_counts, event_patterns, streamed_patterns, streamed_recurrence, streamed_trend, family_recurrence, event_recurrence,
     family_page, status_updates, dashboard, recent_runs, incident_page, proposed_facts,
     *explained.QUERIES, *records.QUERIES, *persisted.QUERIES,

@@ -77,7 +77,7 @@ def test_candidates_equal_those_of_all_pairs(spark, corpus):
     keys = lambda c: F.when(c % 4 == 0, F.array(F.lit("k"))).otherwise(F.array().cast("array<string>"))
     incidents = queries.select("query_id", F.when(F.col("query_id") % 5 == 0, "").otherwise("A").alias("i_feature"), keys(F.col("query_id")).alias("i_keys"), pick(F.col("query_id"), 3).alias("i_signals"))
     sides = docs.select("doc_id", F.col("feature").alias("t_feature"), keys(F.col("doc_id")).alias("t_keys"), pick(F.col("doc_id"), 40).alias("t_signals"))
-    kept, stats = ret.retrieve(index, queries, incidents, sides, top_k=4, oversample=2)
+    kept, stats = ret.retrieve(index, queries, incidents, sides, top_k=4, oversample=2, plain_postings=0)
     # The same from every pair that shares a term.
     words = ret.query_terms(queries)
     scores = ret.bm25_scores(index.doc_terms, index.term_stats, index.corpus, words)
@@ -90,6 +90,8 @@ def test_candidates_equal_those_of_all_pairs(spark, corpus):
     want = sorted([(r.query_id, r.doc_id, r.score) for r in plain.collect()] + [(r.query_id, r.doc_id, r.score) for r in witnesses.collect()])
     assert sorted((r.query_id, r.doc_id, r.score) for r in kept.collect()) == want
     assert witnesses.count() > 5
+    short, _ = ret.retrieve(index, queries, incidents, sides, top_k=4, oversample=2)
+    assert sorted((r.query_id, r.doc_id, r.score) for r in short.collect()) == want
     n = {r.query_id: r.candidate_count for r in stats.collect()}
     pairs = scores.select("query_id", "doc_id").unionByName(hits.select("query_id", "doc_id")).distinct()
     assert n == {r.query_id: r["count"] for r in pairs.groupBy("query_id").count().collect()}
@@ -110,7 +112,7 @@ def test_vector_search_visits_few_groups_and_misses_nothing(spark, noise):
     rows += [(5000 + i, rows[7][1], rows[7][2]) for i in range(300)] + [(9000, [], []), (9001, [40], [2.0])]
     vectors = spark.createDataFrame(rows, "doc_id int, buckets array<int>, weights array<double>")
     queries = vectors.filter("doc_id % 97 = 0 or doc_id > 8000").withColumnRenamed("doc_id", "query_id")
-    index = build_vector_index(vectors, rows_per_group=60, part_rows=50)
+    index = build_vector_index(vectors, rows_per_group=60, part_rows=50, plain_rows=0)
     got = {}
     for r in search(index, queries, 5).collect():
         got.setdefault(r.query_id, []).append((-r.similarity, r.doc_id))
@@ -126,6 +128,8 @@ def test_vector_search_visits_few_groups_and_misses_nothing(spark, noise):
     kth = spark.createDataFrame([(q, -max(f)[0]) for q, f in got.items()], "query_id int, threshold double")
     n = planned_visits(index, queries, 5).count() + planned_visits(index, queries, 5, thresholds=kth).count()
     every = index.groups.count() * queries.count()
+    plain = search(build_vector_index(vectors, part_rows=50), queries, 5).collect()
+    assert sorted((r.query_id, -r.similarity, r.doc_id) for r in plain) == sorted((q, s, d) for q, f in got.items() for s, d in f)
     assert n <= every if noise > 0.5 else 4 * n < every
 
 
@@ -133,6 +137,8 @@ def test_vector_search_of_little(spark):
     schema = "doc_id int, buckets array<int>, weights array<double>"
     none, one = spark.createDataFrame([], schema), spark.createDataFrame([(1, [0], [1.0])], schema)
     queries = lambda d: d.withColumnRenamed("doc_id", "query_id")
-    assert search(build_vector_index(none), queries(one), 3).count() == 0
-    assert search(build_vector_index(one), queries(none), 3).count() == 0
-    assert [tuple(r)[:3] for r in search(build_vector_index(one), queries(one), 3).collect()] == [(1, 1, 1.0)]
+    for plain in (0, 9):
+        index = lambda d: build_vector_index(d, plain_rows=plain)  # noqa: B023, E731
+        assert search(index(none), queries(one), 3).count() == 0
+        assert search(index(one), queries(none), 3).count() == 0
+        assert [tuple(r)[:3] for r in search(index(one), queries(one), 3).collect()] == [(1, 1, 1.0)]
