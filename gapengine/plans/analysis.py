@@ -9,6 +9,8 @@ from gapengine.functions.text import normalize, strings
 from gapengine.operators.compare import PER_WORD, compare_pairs, describe_columns, prepare_incidents, prepare_tests, summarise
 from gapengine.operators.decide import decide
 from gapengine.operators.explain import with_explanations
+from gapengine.operators.history import recurrence_at_arrival
+from gapengine.operators.incidents import normalize_incidents
 from gapengine.operators.index import Index, build_index, searchable_tests, with_index_signals
 from gapengine.operators.retrieve import retrieve
 from gapengine.operators.sizing import materialise
@@ -67,15 +69,8 @@ def compared(prepared: DataFrame, candidates: DataFrame, tests: DataFrame, condi
     return compare_pairs(pairs, condition_words)
 
 
-def analyze(
-    incidents: DataFrame, tests: DataFrame, index: Index, *, similar: DataFrame | None = None,
-    feature_points: dict | None = None, explain: bool = True, **how,
-) -> DataFrame:
-    """DEC-15: one analysed row per incident.
-
-    ``similar``: (incident_id, similar_incidents), the recurrence known on arrival.
-    ``how``: settings of ``retrieve`` (top_k, oversample, search, embed).
-    """
+def compared_incidents(incidents: DataFrame, tests: DataFrame, index: Index, **how) -> DataFrame:
+    """One row per incident with all that its verdict is decided from; ``how``: settings of ``retrieve``."""
     incidents = materialise(incidents)
     candidates, stats = candidates_for(incidents, tests, index, **how)
     candidates = materialise(candidates)
@@ -86,21 +81,52 @@ def analyze(
         pairs, "incident_id", detail=True,
         best_columns=("test_id", "feature", "source", "line_number", "described"),
     ).drop("retrieval_top")
-    rows = (
+    return (
         prepared.join(summary, "incident_id", "left").join(stats, "incident_id", "left")
         .join(F.broadcast(index.corpus.select(F.col("n_docs").alias("corpus_size"))))  # one row
     )
-    if similar is not None:
-        rows = rows.join(similar, "incident_id", "left")
-    else:
-        rows = rows.withColumn("similar_incidents", F.lit(0))
-    decided = decide(
+
+
+def _decided(rows: DataFrame, similar: DataFrame | None, feature_points: dict | None) -> DataFrame:
+    rows = rows.withColumn("similar_incidents", F.lit(0)) if similar is None else rows.join(similar, "incident_id", "left")
+    return decide(
         rows, corpus_size=F.col("corpus_size"), retrieval_top="retrieval_top", feature_points=feature_points,
         similar=F.coalesce("similar_incidents", F.lit(0)),
     )
+
+
+def analyze(
+    incidents: DataFrame, tests: DataFrame, index: Index, *, similar: DataFrame | None = None,
+    feature_points: dict | None = None, explain: bool = True, **how,
+) -> DataFrame:
+    """DEC-15: one analysed row per incident.
+
+    ``similar``: (incident_id, similar_incidents), the recurrence known on arrival.
+    ``how``: settings of ``retrieve`` (top_k, oversample, search, embed).
+    """
+    decided = _decided(compared_incidents(incidents, tests, index, **how), similar, feature_points)
     return with_explanations(materialise(decided)) if explain else decided
 
 
+def analyze_batch(
+    raw: DataFrame, tests: DataFrame, index: Index, *, feature_points: dict | None = None, explain: bool = True, **how
+) -> tuple[DataFrame, DataFrame]:
+    """DEC-20: (analysed incidents, issues) of a list of raw reports with any supplied fields.
+
+    ``raw``: as for ``normalize_incidents``, with ``arrival``, the place in the
+    list.  Verdicts don't depend on recurrence, so all are decided at once; the
+    gaps found give each incident its recurrence on arrival, and that its risk.
+    """
+    incidents, issues = normalize_incidents(raw, index.vocabulary, index.feature_counts)
+    incidents = materialise(incidents)
+    rows = materialise(compared_incidents(incidents, tests, index, **how))
+    gaps = _decided(rows, None, feature_points).filter("gap_type is not null").select("incident_id", "family_key")
+    gaps = materialise(gaps).join(incidents.select("incident_id", "arrival"), "incident_id")
+    similar = recurrence_at_arrival(incidents.select("incident_id", "arrival", "signals"), gaps)
+    decided = materialise(_decided(rows, similar, feature_points))
+    return with_explanations(decided) if explain else decided, issues
+
+
 def relevant_tests(candidates: DataFrame, tests: DataFrame, matched: DataFrame) -> DataFrame:
     """FLT-8: the stored projection of each candidate."""
     fields = ("test_id", "name", "feature", "scenario", "inputs", "expected_behavior", "source", "framework", "line_number")

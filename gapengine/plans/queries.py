@@ -11,7 +11,7 @@ from gapengine.operators.compare import with_status
 from gapengine.operators.decide import confidence_level, recurrence_points, risk_level, risk_points
 from gapengine.operators.incidents import merge_proposed_facts
 from gapengine.operators.sizing import materialise, ordinal_within
-from gapengine.plans import derived as d, explained, persisted, records, report
+from gapengine.plans import derived as d, endtoend, explained, persisted, records, report
 from gapengine.plans.derived import table
 
 C = F.col
@@ -266,8 +266,8 @@ def code_labels(spark, sf):
     return e.unionByName(p).groupBy("code", T.code_label(C("code")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _sentences(spark, sf) -> DataFrame:
-    """One report sentence per line item, its wording chosen by the line's values."""
+def _sentences(spark, sf, *more: Column) -> DataFrame:
+    """One report sentence per line item, its wording chosen by the line's values; ``more``: other columns of the line."""
     li = table(spark, sf, "lineitem")
     pct = F.round(C("l_discount") * 100).cast("int").cast("string")
     tax = F.round(C("l_tax") * 100).cast("int").cast("string")
@@ -283,7 +283,7 @@ def _sentences(spark, sf) -> DataFrame:
         .when(kind == 6, F.concat(F.lit("A user without permission saw status "), qty, F.lit(" in staging; unknown username")))
         .otherwise(F.concat(F.lit("Retry count of "), qty, F.lit(" followed by a server error in the xml parser, discount at "), pct, F.lit(" pct")))
     )
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s.alias("sentence"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", s.alias("sentence"), *more)
 
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -613,5 +613,5 @@ QUERIES = [
     text_vector_top_by_bounds, embedding_top, embedding_top_by_bounds, hybrid_candidates, hybrid_candidates_by_bounds, learned_vocabulary, classified_documents, classification_matrix,
     latest_analyses, coverage_counts, event_patterns, streamed_patterns, streamed_recurrence, streamed_trend, family_recurrence, event_recurrence,
     family_page, status_updates, dashboard, recent_runs, incident_page, proposed_facts,
-    *explained.QUERIES, *records.QUERIES, *persisted.QUERIES,
+    *explained.QUERIES, *endtoend.QUERIES, *records.QUERIES, *persisted.QUERIES,
 ]

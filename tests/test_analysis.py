@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gapengine.operators.explain import evidence_rows, gap_rows, guarded_text, recommendation_rows
 from gapengine.operators.incidents import merge_proposed_facts, normalize_incidents
 from gapengine.operators.index import describe_index, load_index, save_index
-from gapengine.plans.analysis import analyze, index_catalogue
+from gapengine.plans.analysis import analyze, analyze_batch, index_catalogue
 from gapengine.schemas import PROPOSED_FACT_SCHEMA, TEST_SCHEMA
 
 TESTS = [
@@ -128,3 +128,21 @@ def test_any_number_of_conditions(spark, loaded):
     incidents, _ = normalize_incidents(raw, index.vocabulary, index.feature_counts)
     row = analyze(incidents, tests, index).first()
     assert len(row.facts) == 40 and row.coverage in ("PARTIAL", "NOT_COVERED")
+
+
+def test_batch_with_supplied_fields_and_arrivals(spark, loaded, analysed):
+    tests, index, _, _ = loaded
+    raw = spark.createDataFrame(
+        [(i, t, f, n, "LOW" if i == "I5" else None) for n, (i, t, f) in enumerate(REPORTS)] + [(f"B{n}", REPORTS[6][1], "Search", 10 + n, None) for n in range(3)],
+        "incident_id string, text string, feature string, arrival bigint, severity string",
+    )
+    rows, issues = analyze_batch(raw, tests, index)
+    got = {r.incident_id: r for r in rows.collect()}
+    assert [r.location for r in issues.collect()] == ["I6"]
+    one_by_one = {r.incident_id: (r.coverage, r.gap_type, r.confidence) for r in analysed.collect()}
+    assert {i: (r.coverage, r.gap_type, r.confidence) for i, r in got.items() if i in one_by_one} == one_by_one
+    # Each deadlock report knows of those that came before it.
+    assert [got[i].similar_incidents for i in ("I7", "B0", "B1", "B2")] == [0, 1, 2, 3]
+    assert got["B2"].risk_points > got["B0"].risk_points and got["I5"].severity == "LOW"
+    bounded, _ = analyze_batch(raw, tests, index, plain_postings=0)
+    assert {r.incident_id: (r.coverage, r.confidence, r.candidate_count) for r in bounded.collect()} == {i: (r.coverage, r.confidence, r.candidate_count) for i, r in got.items()}
