@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from gapengine import fixed
 from gapengine.functions.text import contains_any_case
@@ -88,6 +90,29 @@ def ingest(tests: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataF
     return kept, metrics.withColumn("duplicates", F.col("discovered") - F.col("stored"))
 
 
+def ingest_in_one_pass(
+    rows: DataFrame, to_tests: Callable[[DataFrame], DataFrame], path: str, others: DataFrame | None = None,
+) -> dict[str, int]:
+    """SNK-1..4/SNK-12/SNK-13: write the tests of ``rows`` to ``path`` and return the load's metrics, counted on the way.
+
+    ``rows`` are a reader's, with a column ``issue``; ``to_tests`` makes tests
+    with a ``source_id`` of those without.  One job reads, counts, drops
+    duplicates and writes.  scanned: rows read; issues: rows with one; skipped:
+    rows without any text; discovered: tests; duplicates and stored: tests left
+    out and written.  Counts are exact unless a task of the reading stage ran
+    again after its executor was lost: the rows written are right even then,
+    and ``stored`` can be counted again from them.
+    """
+    read, found, kept = Observation(), Observation(), Observation()
+    n = F.count(F.lit(1))
+    seen = rows.observe(read, n.alias("scanned"), F.count_if(F.col("issue").isNotNull()).alias("issues"))
+    tests = to_tests(seen.filter("issue is null").drop("issue")).observe(found, n.alias("discovered"))
+    stored = unique_ids(without_duplicates(with_fingerprint(tests), others)).observe(kept, n.alias("stored"))
+    stored.write.mode("overwrite").parquet(path)
+    m = {**read.get, **found.get, **kept.get}
+    return m | {"skipped": m["scanned"] - m["issues"] - m["discovered"], "duplicates": m["discovered"] - m["stored"]}
+
+
 def catalogue(stored: DataFrame) -> DataFrame:
     """SRC-12: every stored test; ``seq`` carries insertion order.  The key of a
     test is its source and id together."""

@@ -67,11 +67,15 @@ def term_stats(terms: DataFrame, corpus: DataFrame) -> DataFrame:
 
     A term is distinctive when at most 2 % of the documents (or one document)
     hold it; a term in every document never is."""
+    return term_weights_of(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
+
+
+def term_weights_of(counts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The same from document frequencies ``(term, df)``."""
     n = F.col("n_docs")
     share = F.col("df") / n
     return (
-        terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        .join(F.broadcast(corpus.select("n_docs")))  # one row
+        counts.join(F.broadcast(corpus.select("n_docs")))  # one row
         .select(
             "term",
             "df",
@@ -147,10 +151,13 @@ def raw_buckets(features: DataFrame, key: str = "doc_id", dimensions: int = fixe
 
 def bucket_idf(buckets: DataFrame, corpus: DataFrame) -> DataFrame:
     """AGG-6: smoothed idf; at most ``dimensions`` rows, however large the catalogue."""
-    return (
-        buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-        .join(F.broadcast(corpus.select("n_docs")))  # one row
-        .select("bucket", (F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    return bucket_weights_of(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")), corpus)
+
+
+def bucket_weights_of(counts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The same from document frequencies ``(bucket, df)``."""
+    return counts.join(F.broadcast(corpus.select("n_docs"))).select(  # one row
+        "bucket", (F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")
     )
 
 

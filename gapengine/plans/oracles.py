@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gapengine import fixed
-from gapengine.plans import explained, persisted, records
+from gapengine.plans import explained, maintained, persisted, records
 
 
 def _quoted(values) -> str:
@@ -448,7 +448,7 @@ ORACLES = {
 ORACLES |= {f"{name}_by_bounds": ORACLES[name] for name in ("bm25_top", "hybrid_candidates", "text_vector_top", "embedding_top")}
 
 _SYNONYMS = ", ".join(f"('{head}', '{word}')" for head, words in fixed.SYNONYMS.items() for word in words)
-ORACLES |= records.ORACLES | persisted.ORACLES | explained.oracles(LINES, VERDICTS) | {
+ORACLES |= records.ORACLES | persisted.ORACLES | maintained.oracles(TERMS, QUERY_WORDS, VECTORS) | explained.oracles(LINES, VERDICTS) | {
     "url_features": f"""WITH s AS (SELECT page_id, list_filter(string_split(replace(url, '\\', '/'), '/'), lambda x: trim(x) <> '') AS p FROM pages),
       n AS (SELECT page_id, list_concat(list_reverse(p[:len(p) - 1]), [regexp_replace(p[len(p)], '\\.[^.]*$', '')]) AS p FROM s),
       f AS (SELECT page_id, list_filter(list_transform(p, lambda x: array_to_string(list_transform(list_filter(string_split_regex({norm('x')}, '[^A-Za-z0-9]+'),

@@ -11,7 +11,7 @@ from gapengine.operators.compare import with_status
 from gapengine.operators.decide import confidence_level, recurrence_points, risk_level, risk_points
 from gapengine.operators.incidents import merge_proposed_facts
 from gapengine.operators.sizing import materialise, ordinal_within
-from gapengine.plans import derived as d, endtoend, explained, persisted, records, report
+from gapengine.plans import derived as d, endtoend, explained, maintained, persisted, records, report
 from gapengine.plans.derived import table
 
 C = F.col
@@ -613,5 +613,5 @@ QUERIES = [
     text_vector_top_by_bounds, embedding_top, embedding_top_by_bounds, hybrid_candidates, hybrid_candidates_by_bounds, learned_vocabulary, classified_documents, classification_matrix,
     latest_analyses, coverage_counts, event_patterns, streamed_patterns, streamed_recurrence, streamed_trend, family_recurrence, event_recurrence,
     family_page, status_updates, dashboard, recent_runs, incident_page, proposed_facts,
-    *explained.QUERIES, *endtoend.QUERIES, *records.QUERIES, *persisted.QUERIES,
+    *explained.QUERIES, *endtoend.QUERIES, *records.QUERIES, *persisted.QUERIES, *maintained.QUERIES,
 ]

@@ -53,8 +53,22 @@ def list_files(
     return marked.filter("reason is null").drop("reason"), issues
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def scan(
+    spark: SparkSession, root: str, kinds: Callable[[Column], Column] | None = None, max_bytes: int | None = None,
+) -> DataFrame:
+    """SRC-6: the files under ``root`` with their content.
+
+    With ``kinds``, files that no reader takes, and with ``max_bytes`` larger
+    ones, are left out while files are listed: the conditions are on the files'
+    metadata, so content that they reject is not read.  What ``list_files`` is
+    to report must be listed, so give it a scan without them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if kinds is not None:
+        files = files.filter(kinds(F.col("_metadata.file_path")).isNotNull())
+    if max_bytes is not None:
+        files = files.filter(F.col("_metadata.file_size") <= max_bytes)
+    return files
 
 
 def read_catalogue(

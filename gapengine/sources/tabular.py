@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gapengine import fixed
 from gapengine.functions.extract import extract_conditions, feature_from_source, first_wins, infer_scenario, pair, detect_signals
@@ -122,6 +122,40 @@ def named_columns(table: DataFrame, source: str) -> DataFrame:
 ROW_SCHEMA = "source string, row_no int, " + ", ".join(f"`{f}` string" for f in FIELDS) + ", issue string"
 
 
+CORRUPT = "_corrupt"
+
+
+def read_split_exports(
+    spark: SparkSession, paths: str | list[str], headers: Sequence[str], delimiter: str = ",", names: str = "*", lines_in_cells: bool = False,
+) -> DataFrame:
+    """SRC-1 where the layout is known: rows ``(source, row_no, fields, issue)`` of exports that all have the columns ``headers``.
+
+    Spark reads the files itself: one large file is split over many tasks,
+    cells may have any length, and files whose name doesn't fit the pattern
+    ``names`` are never opened.  The first line of each file is its header.  A row with too many or too few cells has
+    an ``issue``.  ``lines_in_cells``: cells may hold line ends, which costs the
+    splitting.  ``row_no`` ascends with the place in the file and is no line
+    number.
+    """
+    mapping = map_headers(headers)
+    if "name" not in mapping and "scenario" not in mapping:
+        raise ValueError("no recognisable name or scenario column")
+    schema = ", ".join(f"_c{i} string" for i in range(len(headers))) + f", {CORRUPT} string"
+    # Counting cells needs all of them, so the parser may not skip columns.
+    table = spark.read.schema(schema).option("columnPruning", False).csv(
+        paths, sep=delimiter, header=True, enforceSchema=True, multiLine=lines_in_cells, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
+        quote='"', escape='"', maxCharsPerColumn=-1, recursiveFileLookup=True, pathGlobFilter=names,
+    )
+    # Splits start at multiples of a megabyte and more; inside one, rows count up.
+    split = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return table.select(
+        F.col("_metadata.file_name").alias("source"), split.bitwiseOR(inside).alias("row_no"),
+        *[(F.col(f"_c{mapping[f]}") if f in mapping else F.lit("")).alias(f) for f in FIELDS],
+        F.when(F.col(CORRUPT).isNotNull(), F.lit("Row doesn't have the header's cells.")).alias("issue"),
+    )
+
+
 def rows_reader(header_rows: int):
     """SRC-1 inside a task; the header stands in one of the first ``header_rows`` rows."""
     return lambda files: read_rows(files, header_rows)
@@ -131,6 +165,9 @@ def read_rows(files: Iterator[pd.DataFrame], header_rows: int) -> Iterator[pd.Da
     """SRC-1 inside a task: each file's rows under canonical names, or its issue."""
     import csv
     import io
+    import sys
+
+    csv.field_size_limit(sys.maxsize)  # cells of any length
 
     def issue(source: str, reason: str) -> dict:
         return {"source": source, "row_no": 0, **{f: "" for f in FIELDS}, "issue": reason}
