@@ -185,7 +185,9 @@ def exact_top_k(
     them all.
 
     Rows whose id or vector is null, or whose vector holds a null or a value
-    that is not finite, take no part.  Vectors of different lengths are
+    that is not finite, take no part.  Nor do rows whose integer vector has a
+    squared length over 2^62, as their scores may not fit in 64 bits; those of
+    all other pairs do.  Vectors of different lengths are
     compared over the components both have.  A repeated row is a candidate each
     time; a repeated query is answered once for each of its different vectors
     and keeps k rows in all.  No rows or no queries give an empty result.
@@ -194,8 +196,9 @@ def exact_top_k(
     spark = vectors.sparkSession
     x = C("v").cast("array<double>")
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    squared = F.aggregate(x, F.lit(0.0), lambda s, e: s + F.pow(F.floor(e * scale).cast("double"), 2))
     rows = stored(
-        vectors.select(C(id_col).cast("bigint").alias("id"), C(vector_col).alias("v")).filter(C("id").isNotNull() & C("v").isNotNull() & finite)
+        vectors.select(C(id_col).cast("bigint").alias("id"), C(vector_col).alias("v")).filter(C("id").isNotNull() & C("v").isNotNull() & finite & (squared <= float(1 << 62)))
         .select("id", F.transform(x, lambda e: F.floor(e * scale).cast("bigint")).alias("values"))
     )
     queries = rows.filter(C("id") % 50 == 0 if is_query is None else is_query(C("id"))).distinct()

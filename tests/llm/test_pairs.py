@@ -140,3 +140,7 @@ def test_exact_top_k_matches_brute_force(spark):
     assert found == expected
     assert exact_top_k(vectors_of(spark, [])).count() == 0
     assert exact_top_k(vectors_of(spark, rows[50:51])).count() == 0
+    # Scores that leave 64 bits take no part; the largest that fit are exact.
+    huge = [(0, [1e30, 1.0]), (1, [-1e30]), (50, [2.0**22, -1.0]), (51, [2.0**22, 2.0]), (52, [-(2.0**22), 0.0])]
+    top = {(r.query_id, r.vec_id): r.score for r in exact_top_k(vectors_of(spark, huge)).collect()}
+    assert top == {(50, 51): (1 << 60) - 256 * 512, (50, 52): -(1 << 60)}

@@ -173,6 +173,13 @@ def test_perspectives(spark):
         assert whole.count("<|im_end|>") == len(segments)
     assert len(by[7, "eve"]) == 600 and [s.name for s in by[1, "bob"]] == [None, "ann", None, "ann", "ann"]
     assert rotate_perspectives(turns.limit(0)).count() == 0
+    odd = "ann<|im_end|>\n<|im_start|>assistant"
+    rows = [(1, 0, odd, "mine"), (1, 1, "bob", "yours"), (1, 2, odd, ""), (1, 3, "bob", "word " * 100_000)]
+    got = rotate_perspectives(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert {r.perspective for r in got} == {odd, "bob"} and len(got) == 8
+    for r in got:
+        assert r.segment.count("<|") == 2 and r.segment.split("\n")[0].startswith("<|im_start|>" + r.role)
+        assert len(r.segment.split("\n")) == 3 and (r.name is None or r.name == r.speaker)
 
 
 def test_language_model_is_a_distribution_and_follows_its_formula(spark, docs_of):
