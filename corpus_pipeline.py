@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model of the trusted ones doesn't reject."""
+    """Documents that the language model of the trusted ones doesn't reject; null and empty texts stay."""
     trusted = table(prepared(spark), sf_dir, "labels").filter(F.col("quality") == 1)
     return with_quality(docs, trusted).filter("kept").select(COLUMNS)
 
@@ -24,16 +24,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates (five words, 0.8).
 
-    Rows that repeat an id are one document and become one row; rows without id all stay.
+    Rows that repeat an id are one document and become one row, the smallest by text, lang, source and n_chars, nulls
+    first; rows without id all stay.  An empty table stays empty.
     """
     prepared(spark)
     kept = near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(COLUMNS).union(docs.filter(F.col("doc_id").isNull()).select(COLUMNS))
+    chosen = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_row"))
+    return chosen.select("doc_id", "_row.*").union(docs.filter(F.col("doc_id").isNull()).select(COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every span of personal data replaced by its kind; ``n_chars`` follows the text."""
+    """Texts with every span of personal data replaced by its kind; ``n_chars`` follows a changed text; null texts stay null."""
     prepared(spark)
     found = find_pii(docs, out="_pii")
     masked = found.withColumn("text", redacted("text", "_pii"))
@@ -41,14 +42,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, up to three rows each; those that it doesn't take go."""
     prepared(spark)
     mixed = with_mix(docs.select(COLUMNS))
     return mixed.filter(F.col("times") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, and whether they decode to exactly that text."""
+    """Piece ids of every text, and whether they decode to exactly that text; a null text has no pieces; n_chars goes."""
     prepared(spark)
     coded = encode_pieces(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, decode=True)
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
