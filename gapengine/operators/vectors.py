@@ -37,6 +37,14 @@ SAMPLE = 8_192
 ROUNDS = 5
 # Up to so many vectors all parts together are less work than centres and visits.
 PLAIN_ROWS = 50_000
+# Queries are sent to their groups; all copies together are at most this many times the rows of both sides.
+COPIES = 4
+# Queries one task meets a part with; a part goes to as many tasks as that takes.
+TASK_QUERIES = 32_000
+# A part never holds more than this many bytes of buckets and weights.
+PART_BYTES = 64_000_000
+# Scores held at a time.
+SCORES = 2_000_000
 # More than what rounding can add to a bound or a score.
 SLACK = 1e-7
 
@@ -104,13 +112,17 @@ def _assigned(centres: np.ndarray):
 
 
 def build_vector_index(
-    vectors: DataFrame, rows_per_group: int = 512, part_rows: int = PART_ROWS, plain_rows: int = PLAIN_ROWS
+    vectors: DataFrame, rows_per_group: int = 512, part_rows: int = PART_ROWS, plain_rows: int = PLAIN_ROWS, n_queries: int = 0
 ) -> VectorIndex:
     """The index of ``(doc_id, buckets, weights)``; every vector is in exactly one part.
 
-    ``plain_rows`` vectors or fewer are one group, which every query visits."""
+    ``plain_rows`` vectors or fewer are one group, which every query visits.  Where many
+    queries (``n_queries``) will come, groups and parts are fewer and larger, so that
+    sending queries to them stays in proportion to the rows."""
     vectors = materialise(vectors.select("doc_id", "buckets", "weights"))
-    n = vectors.count()
+    n, n_numbers = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("buckets")), F.lit(0))).first()
+    most = max(1, COPIES * (n + n_queries) // max(1, n_queries))
+    part_rows = max(part_rows, min(-(-n // most), PART_BYTES * n // max(1, 12 * n_numbers)))
     if n <= plain_rows:
         one = F.lit(0).alias("group")
         parts = vectors.groupBy(one, F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // part_rows) or 1)).cast("int").alias("part"))
@@ -122,7 +134,7 @@ def build_vector_index(
     few = vectors.filter(F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // SAMPLE) or 1)) == 0).limit(2 * SAMPLE)
     sample = few.select("buckets", "weights").toArrow().combine_chunks()
     dense = _dense(*[c.chunk(0) for c in sample.columns]) if sample.num_rows else np.zeros((0, 1))
-    centres = fit_centres(dense, min(CENTRES, max(1, n // rows_per_group)))
+    centres = fit_centres(dense, min(CENTRES, most, max(1, n // rows_per_group)))
     schema = vectors.schema.simpleString()[7:-1].replace(":", " ")
     placed = materialise(vectors.mapInArrow(_assigned(centres), f"{schema}, group int, along double, across double"))
     groups = materialise(
@@ -183,29 +195,41 @@ def planned_visits(index: VectorIndex, queries: DataFrame, k: int, key: str = "q
     return asked.mapInArrow(_planned(bounds, index.centres, key, k), f"{key} {kind}, group int")
 
 
-def _product(rows: pa.StructArray, asked: pa.StructArray) -> np.ndarray:
-    """Scores of the queries of a block with the vectors of a part, rounded so that equal vectors tie."""
-    a, b = _same_width(*[_dense(x.field("buckets"), x.field("weights")) for x in (asked, rows)])
-    return np.round(a @ b.T, 9)
+def _best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k best of each row, ties by column; rounded so that equal vectors tie."""
+    n, width = scores.shape
+    # The k-th best maximum of strips is at most the k-th best score, and far less has to be ordered for it.
+    strip = max(1, min(64, width // (4 * k)))
+    across = width // strip
+    tops = scores[:, : strip * across].reshape(n, strip, across).max(axis=1)
+    tops = scores if np.isnan(tops).any() else tops
+    floor = np.round(-np.partition(-tops, k - 1, axis=1)[:, k - 1], 9)
+    q, d = np.nonzero(scores >= (floor - 1e-9)[:, None])
+    found = np.round(scores[q, d], 9)
+    order = np.lexsort((d, -found, q))
+    q, d, found = q[order], d[order], found[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], d[first], found[first]
 
 
 def _visited(key: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                rows, asked = (pa.concat_arrays([batch.column(c)[at].values]) for c in (0, 1))
-                scores = _product(rows, asked)
-                keep = min(k, scores.shape[1])
-                # The k-th best score of each query and all that reach it; rows lie in order of their ids.
-                floor = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                q, d = np.nonzero(scores >= floor[:, None])
-                order = np.lexsort((d, -scores[q, d], q))
-                q, d = q[order], d[order]
-                first = np.arange(len(q)) - np.searchsorted(q, q) < keep
-                q, d = q[first], d[first]
-                yield pa.record_batch(
-                    [asked.field(key).take(pa.array(q)), rows.field("doc_id").take(pa.array(d)), pa.array(scores[q, d])], [key, "doc_id", "similarity"]
-                )
+                # Rows lie in order of their ids.
+                rows, every = (pa.concat_arrays([batch.column(c)[at].values]) for c in (0, 1))
+                right = _dense(rows.field("buckets"), rows.field("weights"))
+                step = max(1, SCORES // len(right))
+                for start in range(0, len(every), step):
+                    asked = every.slice(start, step)
+                    # Fields of a slice are taken through flatten, which minds its offset.
+                    names = [f.name for f in asked.type]
+                    fields = dict(zip(names, asked.flatten()))
+                    a, b = _same_width(_dense(fields["buckets"], fields["weights"]), right)
+                    q, d, found = _best_of(a @ b.T, min(k, len(right)))
+                    yield pa.record_batch(
+                        [fields[key].take(pa.array(q)), rows.field("doc_id").take(pa.array(d)), pa.array(found)], [key, "doc_id", "similarity"]
+                    )
 
     return run
 
@@ -215,14 +239,17 @@ def visit(index: VectorIndex, queries: DataFrame, visits: DataFrame, k: int, key
     kind, doc = queries.schema[key].dataType.simpleString(), index.parts.schema["rows"].dataType.elementType["doc_id"].dataType.simpleString()
     n = blocks_for(queries.count(), block)
     number = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    shares = blocks_for(n * block, TASK_QUERIES)
     # A block holds about ``block`` queries; each goes to all parts of its group.
     asked = (
         visits.join(queries.select(key, "buckets", "weights"), key).groupBy("group", number.alias("block"))
         .agg(F.collect_list(F.struct(key, "buckets", "weights")).alias("asked"))
         .join(F.broadcast(index.groups.select("group", "n_parts")), "group")  # at most ``CENTRES`` rows
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+        .withColumn("share", F.pmod("block", F.lit(shares)).cast("int"))
     )
-    pairs = index.parts.join(asked.select("group", "part", "asked"), ["group", "part"])
+    parts = index.parts.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    pairs = parts.join(asked.select("group", "part", "share", "asked"), ["group", "part", "share"])
     return pairs.select("rows", "asked").mapInArrow(_visited(key, k), f"{key} {kind}, doc_id {doc}, similarity double")
 
 
