@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gapengine import fixed
 from gapengine.functions.extract import exercised_signals, no_pairs, test_text
 from gapengine.operators.impact import impact_blocks
-from gapengine.operators.sizing import materialise
+from gapengine.operators.sizing import blocks_for, materialise
 from gapengine.functions.text import explode_tokens, synonym_map, strings
 
 
@@ -37,8 +37,21 @@ class Index(NamedTuple):
 # ------------------------------------------------------------------- lexical half
 
 
-def by_document(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return docs.repartition(key)
+# Text of one task.  Its terms and neighbours take up to some 120 times as much memory while they are counted.
+TASK_BYTES = 2_000_000
+# Bucket sums of one task.
+TASK_ROWS = 2_000_000
+
+
+def by_document(docs: DataFrame, key: str = "doc_id", text: str = "text", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Documents spread by key over as many tasks as their text asks for.
+
+    The number is named because adaptive execution merges small partitions by their bytes and doesn't know
+    what their terms will take."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    if size <= task_bytes:
+        return docs.repartition(key)
+    return docs.repartition(max(blocks_for(size, task_bytes), docs.sparkSession.sparkContext.defaultParallelism), key)
 
 
 def doc_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,7 +60,7 @@ def doc_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     Spreading the documents first lets both counts finish locally: no posting
     crosses the network, and no term gathers its documents anywhere.
     """
-    counts = explode_tokens(by_document(docs, key), key, text).groupBy(key, "term").agg(
+    counts = explode_tokens(by_document(docs, key, text), key, text).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
     length = F.sum("tf").over(Window.partitionBy(key))
@@ -118,7 +131,7 @@ def weighted_features(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """AGG-4: ``(key, feature, count)``: words 1.0 each, neighbours 0.7 each, and
     0.4 once for a synonym the text does not hold by itself."""
     ordered = Window.partitionBy(key).orderBy("pos")
-    terms = explode_tokens(by_document(docs, key), key, text).withColumn("next", F.lead("term").over(ordered))
+    terms = explode_tokens(by_document(docs, key, text), key, text).withColumn("next", F.lead("term").over(ordered))
     related = F.when(
         F.col("term").isin(list(fixed.SYNONYMS)), F.try_element_at(synonym_map(), F.col("term"))
     )
@@ -163,7 +176,10 @@ def bucket_weights_of(counts: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def weighted_vectors(buckets: DataFrame, idf: DataFrame, corpus: DataFrame, key: str = "doc_id") -> DataFrame:
     """AGG-6: L2-normalised sparse vectors as rows.  A bucket no catalogue test
-    touches has document frequency 0, so its idf is the one of an empty bucket."""
+    touches has document frequency 0, so its idf is the one of an empty bucket.
+    ``buckets`` are counted first: rows of one task are sorted there."""
+    n = blocks_for(buckets.count(), TASK_ROWS)
+    buckets = buckets.repartition(n, key) if n > 1 else buckets
     weighted = (
         buckets.join(F.broadcast(idf), "bucket", "left")  # bounded by the vector dimension
         .join(F.broadcast(corpus.select((F.log(F.col("n_docs") + 1.0) + 1.0).alias("unseen"))))  # one row
@@ -237,7 +253,7 @@ def classify(
     """
     weights, counts = materialise(weights), materialise(counts)
     if words is None:
-        words = explode_tokens(by_document(items, key), key, text).select(key, "term")
+        words = explode_tokens(by_document(items, key, text), key, text).select(key, "term")
     words = words.select(key, "term").distinct()
     scores = (
         words.join(weights, "term")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gapengine.operators import vectors as vec
+from gapengine.operators import index as ix, vectors as vec
 
 
 def test_many_queries_are_not_sent_to_many_groups(spark):
@@ -32,3 +32,10 @@ def test_best_of_keeps_ties_in_order(width):
     for row in range(30):
         order = np.lexsort((np.arange(width), -np.nan_to_num(scores[row], nan=-1.0)))[:k]
         assert at[q == row].tolist() == order.tolist() and found[q == row].tolist() == scores[row, order].tolist()
+
+
+def test_texts_are_dealt_by_their_size(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common " * 50) for i in range(300)], "doc_id long, text string")
+    dealt = ix.by_document(docs, task_bytes=10_000)
+    assert dealt.rdd.getNumPartitions() >= 20  # adaptive execution leaves a named number alone
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, docs.collect()))
