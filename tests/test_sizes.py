@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapengine.operators import index as ix, vectors as vec
+from gapengine.plans import derived as d
 
 
 def test_many_queries_are_not_sent_to_many_groups(spark):
@@ -39,3 +40,11 @@ def test_texts_are_dealt_by_their_size(spark):
     dealt = ix.by_document(docs, task_bytes=10_000)
     assert dealt.rdd.getNumPartitions() >= 20  # adaptive execution leaves a named number alone
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(d, "PAIRS_A_TASK", 100)
+    rows = [(p, "x", a, 1, f"{p}-{a}") for p in range(40) for a in range(10)]
+    tests = spark.createDataFrame(rows, "l_partkey long, feature string, discount_pct int, tax_pct int, test_id string")
+    pairs = d.profile_pairs(tests, tests)
+    assert pairs.count() == 4_000 and pairs.rdd.getNumPartitions() >= 20
