@@ -48,3 +48,25 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     tests = spark.createDataFrame(rows, "l_partkey long, feature string, discount_pct int, tax_pct int, test_id string")
     pairs = d.profile_pairs(tests, tests)
     assert pairs.count() == 4_000 and pairs.rdd.getNumPartitions() >= 20
+
+
+def test_summaries_stay_where_they_are(spark):
+    profile = "l_partkey long, feature string, discount_pct int, tax_pct int"
+    incidents = spark.createDataFrame([(p, "x", 5, 1) for p in range(50)] + [(50, "x", None, 1), (51, "x", 5, 1)], profile)
+    tests = spark.createDataFrame([(p, "x", 5, 1) for p in range(40)] + [(51, "x", None, 1)], profile)
+    summary = incidents.filter("l_partkey < 40").repartition(7, "l_partkey").withColumn("judged", F.array("tax_pct"))
+    rows = d.with_lonely(summary, incidents, tests)
+    got = {r.l_partkey: r.judged for r in rows.collect()}
+    assert rows.count() == 52 and got == {p: [1] if p < 40 else None for p in range(52)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "judged" not in "".join(x for x in plan.splitlines() if "Join" in x) and plan.count("Join") == 1
+
+
+def test_few_combinations_are_compared_without_pairs(spark):
+    rows = [(p, "x", a, 1, f"{p}-{a}") for p in range(40) for a in range(3)]
+    profiles = spark.createDataFrame(rows, "l_partkey long, feature string, discount_pct int, tax_pct int, test_id string")
+    cases = d.compared_cases(profiles, profiles, None).select(*d.CASE, *[f"test_{c}" for c in d.CASE])
+    assert cases.count() == cases.distinct().count() == 9
+    apart = spark.createDataFrame([(p, "x", p, p, str(p)) for p in range(30)], profiles.schema)
+    pairs = d.profile_pairs(apart, apart)
+    assert d.compared_cases(apart, apart, pairs).count() == 30  # 900 combinations, 60 profiles: only what meets
