@@ -199,15 +199,26 @@ def packed_vectors(weighted: DataFrame, key: str = "doc_id") -> DataFrame:
 # --------------------------------------------------------------------- vocabulary
 
 
+def _named(tests: DataFrame, feature: str = "feature") -> DataFrame:
+    return tests.withColumn(feature, F.trim(feature)).filter((F.col(feature) != "") & (F.col(feature) != "Unknown"))
+
+
 def feature_words(tests: DataFrame, feature: str = "feature", text: str = "text", key: str = "doc_id") -> DataFrame:
     """AGG-7 input: tokens of tests whose feature is known."""
-    named = tests.select(key, F.trim(feature).alias("feature"), text).filter(
-        "feature <> '' and feature <> 'Unknown'"
-    )
-    words = explode_tokens(
-        named.select(F.struct(key, "feature").alias("k"), text), "k", text
-    )
-    return words.select(F.col(f"k.{key}").alias(key), F.col("k.feature").alias("feature"), "term")
+    named = _named(tests.select(key, F.col(feature).alias("feature"), text))
+    return explode_tokens(by_document(named, key, text), key, text, "feature").select(key, "feature", "term")
+
+
+def counted_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, feature, term, n): how often each text holds a word; counted where the text is."""
+    return explode_tokens(by_document(docs, key, text), key, text, "feature").groupBy(key, "feature", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_feature_names(words: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """AGG-7 input: ``counted_words`` of ``docs`` whose feature is known, and the words of its name as if they stood in the text."""
+    names = docs.select(key, "feature", F.col("feature").alias("name"))
+    own = explode_tokens(_named(names), key, "name", "feature").select(key, "feature", "term", F.lit(1).cast("bigint").alias("n"))
+    return _named(words).unionByName(own)
 
 
 def vocabulary(words: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -215,8 +226,9 @@ def vocabulary(words: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFr
 
     All counts combine map-side; after them only (feature, word) rows remain.
     The 40 best words per feature are cut before rows of one feature meet.
+    ``words`` that have a count ``n`` are taken as they are.
     """
-    per_test = materialise(words.groupBy(key, "feature", "term").agg(F.count(F.lit(1)).alias("n")))
+    per_test = words if "n" in words.columns else materialise(words.groupBy(key, "feature", "term").agg(F.count(F.lit(1)).alias("n")))
     tests = per_test.select(key, "feature").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_tests"))
     pairs = materialise(per_test.groupBy("feature", "term").agg(F.sum("n").alias("n")))
     per_feature = pairs.groupBy("feature").agg(F.sum("n").alias("feature_total"))
@@ -254,9 +266,9 @@ def classify(
     weights, counts = materialise(weights), materialise(counts)
     if words is None:
         words = explode_tokens(by_document(items, key, text), key, text).select(key, "term")
-    words = words.select(key, "term").distinct()
+    # Only words of the vocabulary are told apart by text: the others don't leave their task.
     scores = (
-        words.join(weights, "term")
+        words.select(key, "term").join(weights, "term").select(key, "feature", "term", "weight").distinct()
         .groupBy(key, "feature").agg(F.round(F.sum("weight"), 6).alias("score"))
         .filter("score > 0")
     )
@@ -295,17 +307,18 @@ def with_index_signals(tests: DataFrame) -> DataFrame:
 
 def build_index(
     docs: DataFrame, feature: str = "feature", vocabulary_text: str = "vocabulary_text",
-    embed: Callable[[DataFrame], DataFrame] | None = None,
+    embed: Callable[[DataFrame], DataFrame] | None = None, learn: bool = True,
 ) -> Index:
     """AGG-24: all retrieval tables of documents ``(doc_id, text, feature)``.
     ``embed`` (UDF-2) turns (doc_id, text) into (doc_id, buckets, weights)
-    instead of the hashed features.  ``blocks`` are only worked out where a search needs them."""
+    instead of the hashed features.  ``blocks`` are only worked out where a search needs them.
+    Without ``learn`` the vocabulary stays empty: searching doesn't need it."""
     if vocabulary_text not in docs.columns:
         docs = docs.withColumn(vocabulary_text, F.concat_ws(" ", "text", feature))
     terms, corpus, stats = lexical_index(docs)
     buckets = materialise(raw_buckets(weighted_features(docs)))
     idf = materialise(bucket_idf(buckets, corpus))
-    weights, counts = vocabulary(feature_words(docs, feature, vocabulary_text))
+    weights, counts = vocabulary(feature_words(docs if learn else docs.limit(0), feature, vocabulary_text))
     vectors = packed_vectors(weighted_vectors(buckets, idf, corpus)) if embed is None else embed(docs.select("doc_id", "text"))
     return Index(terms, stats, corpus, vectors, idf, weights, counts, impact_blocks(terms, stats, corpus))
 

@@ -70,3 +70,15 @@ def test_few_combinations_are_compared_without_pairs(spark):
     apart = spark.createDataFrame([(p, "x", p, p, str(p)) for p in range(30)], profiles.schema)
     pairs = d.profile_pairs(apart, apart)
     assert d.compared_cases(apart, apart, pairs).count() == 30  # 900 combinations, 60 profiles: only what meets
+
+
+def test_vocabulary_words_are_counted_where_the_text_is(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common " * 50, "ab" if i % 3 else None) for i in range(300)], "doc_id long, text string, feature string")
+    counted = ix.counted_words(docs)
+    assert counted.count() == 600 and {r.n for r in counted.select("n").distinct().collect()} == {50}
+    for words in (counted, ix.feature_words(docs).groupBy("doc_id", "feature", "term").count()):
+        plan = words._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")  # of texts, before they are split
+    both = ix.with_feature_names(counted, docs)
+    joined = ix.feature_words(docs.withColumn("text", F.concat_ws(" ", "text", "feature")))
+    assert sorted(map(tuple, both.groupBy("feature", "term").agg(F.sum("n")).collect())) == sorted(map(tuple, joined.groupBy("feature", "term").count().collect()))
