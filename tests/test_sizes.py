@@ -82,3 +82,19 @@ def test_vocabulary_words_are_counted_where_the_text_is(spark):
     both = ix.with_feature_names(counted, docs)
     joined = ix.feature_words(docs.withColumn("text", F.concat_ws(" ", "text", "feature")))
     assert sorted(map(tuple, both.groupBy("feature", "term").agg(F.sum("n")).collect())) == sorted(map(tuple, joined.groupBy("feature", "term").count().collect()))
+
+
+def test_verdicts_behind_recurrence_are_worked_out_once(spark, monkeypatch):
+    from gapengine.plans import queries as q
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"i{i}", float(i), ["retry"], "CONCURRENCY", "extra") for i in range(200)]
+    schema = "incident_id string, arrival double, signals array<string>, family_key string, more string"
+    monkeypatch.setattr(q, "_observations", lambda *_: spark.createDataFrame(rows, schema).mapInArrow(counted, schema))
+    assert q.recurrence_on_arrival(spark, "").count() == 200 and made.value == 200
