@@ -98,3 +98,11 @@ def test_verdicts_behind_recurrence_are_worked_out_once(spark, monkeypatch):
     schema = "incident_id string, arrival double, signals array<string>, family_key string, more string"
     monkeypatch.setattr(q, "_observations", lambda *_: spark.createDataFrame(rows, schema).mapInArrow(counted, schema))
     assert q.recurrence_on_arrival(spark, "").count() == 200 and made.value == 200
+
+
+def test_search_index_learns_no_vocabulary(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 5} {'cart basket' if i % 2 else 'invoice'}", "checkout" if i % 2 else "billing") for i in range(60)], "doc_id long, text string, feature string")
+    whole, bare = ix.build_index(docs), ix.build_index(docs, learn=False)
+    assert whole.vocabulary.count() > 0 and bare.vocabulary.count() == 0 and bare.feature_counts.count() == 0
+    for name in ("doc_terms", "term_stats", "corpus", "vectors", "bucket_idf"):
+        assert sorted(map(repr, getattr(whole, name).collect())) == sorted(map(repr, getattr(bare, name).collect()))
