@@ -79,3 +79,35 @@ def test_short_texts_have_thresholds_of_their_own(spark):
     got = {r.doc_id: r for r in score_quality(docs, spark.range(120).toDF("doc_id")).collect()}
     assert all(r.threshold is not None for r in got.values())
     assert sum(got[i].kept for i in range(150)) >= 148 and not any(got[900 + i].kept for i in range(2))
+
+
+def test_rounds_and_lists_change_no_score(spark, monkeypatch):
+    from gapengine.llm import wordmodel
+
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(40)]
+    rows = spark.createDataFrame([(i, i, " ".join(rng.choice(words, 30))) for i in range(24)], "id bigint, name bigint, text string").repartition(6)
+    scores = lambda: sorted(map(tuple, word_scores(rows, spark.range(12).toDF("id")).collect()))
+    whole = scores()
+    monkeypatch.setattr(wordmodel, "ROUND_WORDS", 200)  # 24 * 30 words: four rounds
+    assert len(whole) == 24 and scores() == whole
+    numbers = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    for arrays in ([numbers, np.arange(7, dtype=np.float32)], [numbers[:0], np.zeros(0, np.float32)]):
+        got = wordmodel.unpack(wordmodel.pack(*arrays), ("u8", "f4"))
+        assert all(np.array_equal(a, b) for a, b in zip(arrays, got, strict=True))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from gapengine.llm.common import stored
+
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*.data", recursive=True))
+    before = files()
+    kept = stored(spark.range(1000).selectExpr("id % 7 AS a").groupBy("a").count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)  # they are deleted in the background
+    assert not files() - before and kept.count() == 7
