@@ -28,7 +28,8 @@ from gapengine.llm.shapes import log_perplexity, symbols, train
 from gapengine.llm.wordhash import Words, buffers, chunks, mix
 
 U = np.uint64
-CHUNK_WORDS = 1 << 20
+# A chunk takes a worker some 130 MB while it is counted or scored.
+CHUNK_WORDS = 1 << 19
 # Words of all texts for each shard of the tables.
 SHARD_WORDS = 1 << 21
 # Rounds of summing pairs and of scoring, each of at least so many words; each reads the tables once, so there are never more.
