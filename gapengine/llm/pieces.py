@@ -226,7 +226,7 @@ def _encoded(shared, text: int, keep: Sequence[int], decode: bool):
         for batch in batches:
             column = batch.column(text)
             data, offsets = buffers(column)
-            for a, b in chunks(offsets, CHUNK_BYTES // 2):
+            for a, b in chunks(offsets, CHUNK_BYTES // 8):
                 ids, counts = pieces.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ends = np.zeros(b - a + 1, dtype=np.int32)
                 np.cumsum(counts, out=ends[1:])

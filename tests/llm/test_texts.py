@@ -277,3 +277,23 @@ def test_pieces(spark, docs_of):
     assert again == dict(enumerate(texts))
     assert pieces.decode([1, 2, 99999999, None]) == " ⁇  ⁇ "[1:]
     assert encode_pieces(docs_of((1, "a")).limit(0), VOCABULARY).count() == 0
+
+
+def test_pieces_are_made_of_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from gapengine.llm import pieces
+
+    taken = []
+
+    class Model:
+        def encode(self, data, offsets):
+            taken.append(len(data))
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+
+    class Shared:
+        value = Model()
+
+    batch = pa.record_batch([pa.array(["x" * 1000] * 2000)], names=["text"])
+    assert sum(out.num_rows for out in pieces._encoded(Shared, 0, [0], False)(iter([batch]))) == 2000
+    assert sum(taken) == 2_000_000 and max(taken) <= 1 << 18
