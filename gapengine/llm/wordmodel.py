@@ -28,7 +28,7 @@ from gapengine.llm.shapes import log_perplexity, symbols, train
 from gapengine.llm.wordhash import Words, buffers, chunks, mix
 
 U = np.uint64
-# A chunk takes a worker some 130 MB while it is counted or scored.
+# A chunk of 1 << 20 words takes a worker up to 240 MB while it is counted or scored.
 CHUNK_WORDS = 1 << 19
 # Words of all texts for each shard of the tables.
 SHARD_WORDS = 1 << 21
