@@ -12,13 +12,15 @@ from collections.abc import Callable
 
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapengine import fixed
 from gapengine.functions.extract import exercised_signals, no_pairs, test_text
+from gapengine.operators.counting import counted_texts
 from gapengine.operators.impact import impact_blocks
-from gapengine.operators.sizing import blocks_for, materialise
-from gapengine.functions.text import explode_tokens, synonym_map, strings
+from gapengine.operators.sizing import BROADCAST_ROWS, blocks_for, materialise
+from gapengine.functions.text import explode_tokens, let, synonym_map, strings
 
 
 class Index(NamedTuple):
@@ -41,6 +43,8 @@ class Index(NamedTuple):
 TASK_BYTES = 2_000_000
 # Bucket sums of one task.
 TASK_ROWS = 2_000_000
+# Text of a task that counts slice by slice.
+SLICED_BYTES = 8_000_000
 
 
 def by_document(docs: DataFrame, key: str = "doc_id", text: str = "text", task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -196,6 +200,18 @@ def packed_vectors(weighted: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def vectors_of(counted: DataFrame, idf: DataFrame, corpus: DataFrame, key: str = "doc_id", dimensions: int = fixed.VECTOR_DIMENSIONS) -> DataFrame:
+    """AGG-6: the same from the lists of ``counted_texts``, where they are."""
+    places = idf.sparkSession.range(dimensions).select(F.col("id").cast("int").alias("bucket"))
+    weights = places.join(idf, "bucket", "left").agg(F.array_sort(F.collect_list(F.struct("bucket", "idf"))).alias("idf")).select("idf.idf")
+    one = weights.join(F.broadcast(corpus.select((F.log(F.col("n_docs") + 1.0) + 1.0).alias("unseen"))))  # one row each
+    weighted = F.zip_with("buckets", "raws", lambda b, r: r * F.coalesce(F.get(F.col("idf"), b), F.col("unseen")))
+    norm = lambda w: F.greatest(F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
+    return counted.filter(F.size("buckets") > 0).join(F.broadcast(one)).select(
+        key, "buckets", let(weighted, lambda w: let(norm(w), lambda n: F.transform(w, lambda x: x / n))).alias("weights")
+    )
+
+
 # --------------------------------------------------------------------- vocabulary
 
 
@@ -305,21 +321,38 @@ def with_index_signals(tests: DataFrame) -> DataFrame:
     )
 
 
+def counted_docs(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Every text's counted words and features, worked out once: what ``build_index`` starts from.
+
+    Where all queries are known, ``asked`` (term) names their words: other words can't change a result and aren't
+    listed, unless the words asked for are more than a task can hold."""
+    only = None
+    if asked is not None:
+        asked = materialise(asked.select("term").distinct())
+        only = pa.array([r.term for r in asked.collect()], pa.string()) if asked.count() <= BROADCAST_ROWS else None
+    return materialise(counted_texts(by_document(docs.select("doc_id", "text"), task_bytes=SLICED_BYTES), only=only))
+
+
 def build_index(
     docs: DataFrame, feature: str = "feature", vocabulary_text: str = "vocabulary_text",
-    embed: Callable[[DataFrame], DataFrame] | None = None, learn: bool = True,
+    embed: Callable[[DataFrame], DataFrame] | None = None, learn: bool = True, counted: DataFrame | None = None,
 ) -> Index:
     """AGG-24: all retrieval tables of documents ``(doc_id, text, feature)``.
     ``embed`` (UDF-2) turns (doc_id, text) into (doc_id, buckets, weights)
     instead of the hashed features.  ``blocks`` are only worked out where a search needs them.
-    Without ``learn`` the vocabulary stays empty: searching doesn't need it."""
+    Without ``learn`` the vocabulary stays empty: searching doesn't need it.
+    With ``counted``, what ``counted_docs`` gave for the documents, postings are read off its lists where a search needs them."""
     if vocabulary_text not in docs.columns:
         docs = docs.withColumn(vocabulary_text, F.concat_ws(" ", "text", feature))
-    terms, corpus, stats = lexical_index(docs)
-    buckets = materialise(raw_buckets(weighted_features(docs)))
-    idf = materialise(bucket_idf(buckets, corpus))
+    lists = counted_docs(docs) if counted is None else counted
+    terms = lists.select("doc_id", "doc_length", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    terms = terms.select("doc_id", "term", "tf", "doc_length")
+    terms = materialise(terms) if counted is None else terms
+    corpus = materialise(corpus_stats(docs, lists.select(F.col("doc_length").alias("tf"))))
+    stats = materialise(term_stats(lists.select(F.explode("terms").alias("term")), corpus))
+    idf = materialise(bucket_idf(lists.select(F.explode("buckets").alias("bucket")), corpus))
     weights, counts = vocabulary(feature_words(docs if learn else docs.limit(0), feature, vocabulary_text))
-    vectors = packed_vectors(weighted_vectors(buckets, idf, corpus)) if embed is None else embed(docs.select("doc_id", "text"))
+    vectors = vectors_of(lists, idf, corpus) if embed is None else embed(docs.select("doc_id", "text"))
     return Index(terms, stats, corpus, vectors, idf, weights, counts, impact_blocks(terms, stats, corpus))
 
 

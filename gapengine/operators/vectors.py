@@ -23,6 +23,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 
 from gapengine.operators.sizing import blocks_for, materialise
@@ -258,6 +259,39 @@ def _ranked(found: DataFrame, k: int, key: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def _scanned(asked: np.ndarray, ids: pa.Array, key: str, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What a document has to reach: each query's best k-th score of any slice so far.
+        floor = np.full(len(ids), -np.inf)
+        step = max(1, min(PART_ROWS, SCORES // max(1, len(ids))))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                rows = batch.slice(start, step)
+                rows = rows.take(pc.sort_indices(rows.column("doc_id")))  # ties go by id
+                a, b = _same_width(asked, _dense(rows.column("buckets"), rows.column("weights"), asked.shape[1]))
+                q, d, found = _best_of(a @ b.T, min(k, rows.num_rows))
+                if rows.num_rows >= k:
+                    np.maximum.at(floor, q[k - 1 :: k], found[k - 1 :: k])
+                over = found >= floor[q]
+                yield pa.record_batch([ids.take(pa.array(q[over])), rows.column("doc_id").take(pa.array(d[over])), pa.array(found[over])], [key, "doc_id", "similarity"])
+
+    return run
+
+
+def scan(vectors: DataFrame, queries: DataFrame, k: int, key: str = "query_id") -> DataFrame:
+    """JON-2/RNK-1: what ``search`` gives, by meeting every vector with every query where the vectors are.
+
+    For at most ``CENTRES`` queries, which every task holds: less work than finding each vector's centre.  Vectors
+    don't move; of a slice, only what may be among a query's best k leaves its task."""
+    rows = queries.select(key, "buckets", "weights").toArrow().combine_chunks()
+    kind, doc = queries.schema[key].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()
+    if not rows.num_rows:
+        return vectors.sparkSession.createDataFrame([], f"{key} {kind}, doc_id {doc}, similarity double, rank int")
+    ids, buckets, weights = (c.chunk(0) for c in rows.columns)
+    found = vectors.select("doc_id", "buckets", "weights").mapInArrow(_scanned(_dense(buckets, weights), ids, key, k), f"{key} {kind}, doc_id {doc}, similarity double")
+    return _ranked(found, k, key)
+
+
 def search(index: VectorIndex, queries: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     """JON-2/RNK-1: exact (key, doc_id, similarity, rank), the k best by inner product, ties by id.
 
